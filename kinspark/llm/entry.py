@@ -11,6 +11,32 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import measure
+
+    return measure(_documents(spark, sf_dir)).drop("rejected_by")
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import evaluate
+
+    return evaluate(_documents(spark, sf_dir))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_and_decode
+
+    return encode_and_decode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -19,6 +45,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lcp import compare
+
+    return compare(_documents(spark, sf_dir))
+
+
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,10 +61,54 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality_rules": op3_quality_rules,
+        "op4_html_text": op4_html_text,
+        "op5_language_id": op5_language_id,
+        "op6_byte_bpe": op6_byte_bpe,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_fingerprints": op8_fingerprints,
         "op10_token_file": op10_token_file,
     }
 
 
+#: The verdict in the same terms as rules.RULES.
+OP3_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls
+  FROM documents
+), c AS (
+  SELECT *, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines
+  FROM w
+), g AS (
+  SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 4), ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM c WHERE len(ws) >= 5)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM g) WHERE n > 1
+), p AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id
+), f AS (
+  SELECT c.*, coalesce(p.n_repeat_words, 0)::BIGINT AS n_repeat_words FROM c LEFT JOIN p USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words
+            OR n_symbols * 10 > n_words
+            OR len(list_filter(ws, lambda x: x LIKE '%!!')) * 10 > n_words * 3
+            OR len(list_filter(ws, lambda x: x = upper(x) AND x <> lower(x) AND length(x) > 1)) * 2 > n_words
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR length(regexp_replace(t, '[^\pL]+', '', 'g')) * 2 < word_chars
+            OR len(list_distinct(ws)) * 10 < n_words AND n_words < 1000
+            OR len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) * 10 > n_words * 3
+            OR n_dup_lines * 2 > n_lines) AS kept
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": OP3_SQL}
