@@ -63,6 +63,12 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(_documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import removed
+
+    return removed(_documents(spark, sf_dir))
+
+
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_fingerprints": op8_fingerprints,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_token_file": op10_token_file,
     }
 
