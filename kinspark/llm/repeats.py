@@ -183,26 +183,39 @@ def flushes(pairs, limit: int = FLUSH):
         yield held
 
 
-def addressed(docs: DataFrame, parts: int) -> DataFrame:
-    """The documents' texts, packed by part."""
+def addressed(docs: DataFrame, parts: int, carry: bool = False) -> DataFrame:
+    """The documents' texts, packed by part; with all other columns if ``carry``."""
 
     def run(batches):
         for batch in batches:
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            rest, done = batch.drop_columns(["text"]), 0
             for held in flushes(documents_in(batch), 4 * FLUSH):
                 ids = np.array([d for d, _ in held], np.int64)
+                others = rest.slice(done, len(held))
+                done += len(held)
                 order, groups = slices_by(part_of(ids, parts))
                 rows = []
                 for part, a, b in groups:
                     own = [held[i][1] for i in order[a:b]]
                     size = np.fromiter(map(len, own), np.int64, len(own))
-                    rows.append((part, TEXTS, squeezed(ids[order[a:b]], size, np.frombuffer(b"".join(own), np.uint8))))
+                    table = pa.Table.from_batches([others.take(pa.array(order[a:b]))]) if carry else None
+                    packed = np.frombuffer(written(table), np.uint8) if carry else np.zeros(0, np.uint8)
+                    rows.append((part, TEXTS, squeezed(ids[order[a:b]], size, np.frombuffer(b"".join(own), np.uint8), packed)))
                 yield rows_of(rows)
 
     return docs.mapInArrow(run, ROWS)
 
 
+def written(table: pa.Table) -> pa.Buffer:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue()
+
+
 def texts_in(blob: bytes) -> list[tuple[int, bytes]]:
-    ids, size, raw = spread(blob, "<i8", "<i8", "u1")
+    ids, size, raw, _ = spread(blob, "<i8", "<i8", "u1", "u1")
     raw, ends = raw.tobytes(), np.cumsum(size).tolist()
     return [(d, raw[e - n : e]) for d, n, e in zip(ids.tolist(), size.tolist(), ends, strict=True)]
 
@@ -429,30 +442,33 @@ def covered(runs: list[np.ndarray], size: int) -> tuple[np.ndarray, int]:
     return out, int(out[0]) + int((out[1:] & ~out[:-1]).sum()) if size else 0
 
 
-def settled_parts(docs: DataFrame) -> tuple[DataFrame, int]:
+def gathered(whole: DataFrame, carry: bool = False) -> tuple[DataFrame, int]:
     """Texts, firsts and starts of repeated strings, by part."""
-    spark = docs.sparkSession
+    spark = whole.sparkSession
     parts = partitions(spark)
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = whole.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     firsts = first_of_each(docs, parts)
     grams = find_grams(send_grams(docs, parts), parts)
     starts = find_strings(send_strings(firsts.union(grams).union(addressed(docs, parts)), parts), parts)
-    return firsts.union(starts).union(addressed(docs, parts)), parts
+    return firsts.union(starts).union(addressed(whole if carry else docs, parts, carry)), parts
 
 
 def cuts(rows):
-    """(doc_id, bytes, which are repeats or None for all, number of runs) of one part's documents."""
+    """Per blob of one part's documents, (doc_id, bytes, what stays, number of removed runs) of each."""
     firsts, said, blobs = by_documents(rows)
     starts = noted(said, 2)
     for blob in blobs:
+        out = []
         for d, raw in texts_in(blob):
-            if len(raw) < SPAN:
-                yield d, raw, np.zeros(len(raw), bool), 0
-            elif digest(raw) not in firsts.get(d, ()):
-                yield d, raw, None, 1
-            else:
-                yield d, raw, *covered(starts.get(d, []), len(raw))
+            kept, spans = raw, 0
+            if len(raw) >= SPAN and digest(raw) not in firsts.get(d, ()):
+                kept, spans = b"", 1
+            elif d in starts and len(raw) >= SPAN:
+                gone, spans = covered(starts[d], len(raw))
+                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+            out.append((d, raw, kept, spans))
+        yield blob, out
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -460,19 +476,34 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 
 def removed(docs: DataFrame) -> DataFrame:
     """What is removed from every document, and the hash of what stays."""
-    rows, parts = settled_parts(docs)
+    rows, parts = gathered(docs)
 
     def run(batches):
         for _, own in by_part(batches):
-            out = []
-            for d, raw, gone, spans in cuts(own):
-                kept = b"" if gone is None else raw if not spans else np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                out.append((d, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in OUT.split(", ")])
+            for _, out in cuts(own):
+                cols = list(zip(*((d, len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()) for d, raw, kept, n in out), strict=True))
+                kinds = [pa.int64()] * 4 + [pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in OUT.split(", ")])
 
     found = rows.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, OUT)
     text = F.coalesce("text", F.lit("")).cast("binary")
     whole = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
     return found.unionByName(whole)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with repeated strings cut out of their texts; a character of which a part goes, goes."""
+    rows, parts = gathered(docs, carry=True)
+    names = docs.columns
+
+    def run(batches):
+        for _, own in by_part(batches):
+            for blob, out in cuts(own):
+                *_, packed = spread(blob, "<i8", "<i8", "u1", "u1")
+                others = pa.ipc.open_stream(packed.tobytes()).read_all()
+                text = pa.array([kept.decode("utf-8", "ignore") for _, _, kept, _ in out], pa.string())
+                table = pa.table([text if c == "text" else others.column(c) for c in names], names)
+                yield from table.combine_chunks().to_batches()
+
+    found = rows.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, docs.schema)
+    return found.unionByName(docs.where("doc_id IS NULL"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITE = r"[\x20\x09-\x0D]+"
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 300
 WINDOW = 5
 _P = "__rule_"
 
@@ -103,8 +103,9 @@ def cascade(sample: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Rule]:
 
 
 def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` documents with counts, held in memory while rules are timed."""
-    return with_counts(with_words(docs.select("text").limit(rows))).select(f"{_P}text", f"{_P}words", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines")
+    """The first ``rows`` documents that Spark comes upon, with counts: only the order of rules hangs on them."""
+    found = docs.sparkSession.createDataFrame(docs.select("text").take(rows), "text string")
+    return with_counts(with_words(found)).select(f"{_P}text", f"{_P}words", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines")
 
 
 def verdict(order: list[Rule]) -> Column:
@@ -136,11 +137,15 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that no rule rejects, with all their columns."""
+    """The documents that no rule rejects, with all their columns.
+
+    Each row is exploded into none or one: a filter would be pushed below the
+    steps that its statistics are made in, and repeat them for every use."""
     order = ordered_rules(docs, rules)
     own = docs.columns
     hidden = [f"{_P}own_{i}" for i in range(len(own))]
     df = docs.toDF(*hidden).withColumn("text", F.col(hidden[own.index("text")]))
     df = with_repeats(with_counts(with_words(df)))
-    kept = df.where(~F.expr(BASE_FAILED)).where(verdict(order).isNull())
+    passes = F.when(F.expr(BASE_FAILED), False).otherwise(verdict(order).isNull())
+    kept = df.select(*hidden, F.explode(F.when(passes, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias(f"{_P}kept"))
     return kept.select(*(F.col(h).alias(c) for h, c in zip(hidden, own, strict=True)))
