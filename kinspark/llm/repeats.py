@@ -44,7 +44,8 @@ from .scratch import partitions, ship
 
 SPAN, GRAM = 50, 20
 DIGITS = ((0, 16), (16, 33), (33, 50))
-FLUSH = 8_000_000
+#: Bytes of text in one array, and of texts whose grams are merged before they are sent.
+FLUSH, HOLD = 2_000_000, 16_000_000
 FIRSTS, NOTES, TEXTS, WORK = range(4)
 ROWS = "part int, kind int, blob binary"
 
@@ -190,7 +191,7 @@ def addressed(docs: DataFrame, parts: int, carry: bool = False) -> DataFrame:
         for batch in batches:
             batch = batch.filter(batch.column("doc_id").is_valid())
             rest, done = batch.drop_columns(["text"]), 0
-            for held in flushes(documents_in(batch), 4 * FLUSH):
+            for held in flushes(documents_in(batch), HOLD):
                 ids = np.array([d for d, _ in held], np.int64)
                 others = rest.slice(done, len(held))
                 done += len(held)
@@ -269,7 +270,7 @@ def send_grams(docs: DataFrame, parts: int) -> DataFrame:
                     key = digest(raw)
                     if key not in smallest or d < smallest[key][0]:
                         smallest[key] = (d, raw)
-            for held in flushes(((k, d, raw) for k, (d, raw) in smallest.items()), 4 * FLUSH):
+            for held in flushes(((k, d, raw) for k, (d, raw) in smallest.items()), HOLD):
                 ids = np.array([d for _, d, _ in held], np.int64)
                 sums = np.frombuffer(b"".join(k for k, _, _ in held), "<u4").reshape(-1, 4)[:, 0]
                 grams, owners, done = [], [], 0
@@ -336,7 +337,7 @@ def find_grams(sent: DataFrame, parts: int) -> DataFrame:
             if out:
                 yield rows_of(out)
 
-    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, ROWS)
+    return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(run, ROWS)
 
 
 def by_documents(rows):
@@ -399,7 +400,7 @@ def send_strings(rows: DataFrame, parts: int) -> DataFrame:
                     out.append((part, WORK, squeezed(ids[t], (s - texts.starts[t]).astype("<u4"), n.astype("u1"), stretch)))
                 yield rows_of(out)
 
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, ROWS)
+    return rows.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, ROWS)
 
 
 def told(start: np.ndarray, text: np.ndarray, texts: Texts, ids: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
@@ -428,7 +429,7 @@ def find_strings(sent: DataFrame, parts: int) -> DataFrame:
             if out:
                 yield rows_of(out)
 
-    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, ROWS)
+    return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(run, ROWS)
 
 
 def covered(runs: list[np.ndarray], size: int) -> tuple[np.ndarray, int]:
@@ -485,7 +486,7 @@ def removed(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64()] * 4 + [pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in OUT.split(", ")])
 
-    found = rows.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, OUT)
+    found = rows.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, OUT)
     text = F.coalesce("text", F.lit("")).cast("binary")
     whole = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
     return found.unionByName(whole)
@@ -505,5 +506,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 table = pa.table([text if c == "text" else others.column(c) for c in names], names)
                 yield from table.combine_chunks().to_batches()
 
-    found = rows.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, docs.schema)
+    found = rows.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, docs.schema)
     return found.unionByName(docs.where("doc_id IS NULL"))
