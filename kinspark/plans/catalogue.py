@@ -1,11 +1,13 @@
-"""Named queries over the driver's tables, each with equivalent SQL."""
+"""Named queries over the driver's tables, with equivalent SQL where there is one."""
 
 from __future__ import annotations
 
+from . import matching, scoring, sequences
+
 
 def queries() -> dict:
-    return {}
+    return matching.QUERIES | scoring.QUERIES | sequences.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return matching.SQL | scoring.SQL | sequences.SQL
