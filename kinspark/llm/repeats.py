@@ -45,7 +45,9 @@ from .scratch import partitions, ship
 SPAN, GRAM = 50, 20
 DIGITS = ((0, 16), (16, 33), (33, 50))
 #: Bytes of text in one array, and of texts whose grams are merged before they are sent.
-FLUSH, HOLD = 2_000_000, 16_000_000
+FLUSH, HOLD = 1_000_000, 16_000_000
+#: Strings of a part are sorted in so many shares, one at a time.
+SHARES = 8
 FIRSTS, NOTES, TEXTS, WORK = range(4)
 ROWS = "part int, kind int, blob binary"
 
@@ -167,9 +169,11 @@ def digest(raw: bytes) -> bytes:
 
 def documents_in(batch: pa.RecordBatch):
     """(doc_id, bytes) of the rows that have a doc_id."""
-    for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-        if d is not None:
-            yield d, (t or "").encode()
+    for i in range(0, batch.num_rows, 256):
+        some = batch.slice(i, 256)
+        for d, t in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
+            if d is not None:
+                yield d, (t or "").encode()
 
 
 def flushes(pairs, limit: int = FLUSH):
@@ -264,13 +268,16 @@ def send_grams(docs: DataFrame, parts: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            smallest: dict[bytes, tuple[int, bytes]] = {}
-            for d, raw in documents_in(batch):
-                if len(raw) >= SPAN:
-                    key = digest(raw)
-                    if key not in smallest or d < smallest[key][0]:
-                        smallest[key] = (d, raw)
-            for held in flushes(((k, d, raw) for k, (d, raw) in smallest.items()), HOLD):
+            for group in flushes(documents_in(batch), HOLD):
+                smallest: dict[bytes, tuple[int, bytes]] = {}
+                for d, raw in group:
+                    if len(raw) >= SPAN:
+                        key = digest(raw)
+                        if key not in smallest or d < smallest[key][0]:
+                            smallest[key] = (d, raw)
+                held = [(k, d, raw) for k, (d, raw) in smallest.items()]
+                if not held:
+                    continue
                 ids = np.array([d for _, d, _ in held], np.int64)
                 sums = np.frombuffer(b"".join(k for k, _, _ in held), "<u4").reshape(-1, 4)[:, 0]
                 grams, owners, done = [], [], 0
@@ -388,10 +395,10 @@ def send_strings(rows: DataFrame, parts: int) -> DataFrame:
                 if not len(start):
                     continue
                 gone = equals(texts.rolling, start, ids[text])
-                out = told(start[gone], text[gone], texts, ids, parts)
+                out = [(p * SHARES, kind, blob) for p, kind, blob in told(start[gone], text[gone], texts, ids, parts)]
                 start, text, place, gram = start[~gone], text[~gone], place[~gone], gram[~gone]
                 first, count = runs_of(place, text, start=start)
-                at = (gram[first] % np.uint64(parts)).astype(np.int64)
+                at = (gram[first] % np.uint64(parts * SHARES)).astype(np.int64)
                 order, groups = slices_by(at)
                 for part, a, b in groups:
                     i = order[a:b]
@@ -414,7 +421,7 @@ def find_strings(sent: DataFrame, parts: int) -> DataFrame:
 
     def run(batches):
         for part, rows in by_part(batches):
-            out = [(part, NOTES, blob) for kind, blob in rows if kind == NOTES]
+            out = [(part // SHARES, NOTES, blob) for kind, blob in rows if kind == NOTES]
             found = [spread(blob, "<i8", "<u4", "u1", "u1") for kind, blob in rows if kind == WORK]
             if found:
                 docs, at, count, raw = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -429,7 +436,7 @@ def find_strings(sent: DataFrame, parts: int) -> DataFrame:
             if out:
                 yield rows_of(out)
 
-    return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(run, ROWS)
+    return sent.repartitionById(parts, F.floor(F.col("part") / SHARES).cast("int")).sortWithinPartitions("part").mapInArrow(run, ROWS)
 
 
 def covered(runs: list[np.ndarray], size: int) -> tuple[np.ndarray, int]:
