@@ -128,12 +128,17 @@ def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Rule
 
 
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The base statistics of every document and whether it is kept."""
+    """The base statistics of every document and whether it is kept.
+
+    The row is made by a generator, so that no later filter is pushed into the
+    steps above it, where each use of a column would repeat them all."""
     order = ordered_rules(docs, rules)
     df = with_repeats(with_counts(with_words(docs.select(F.col("doc_id").cast("long"), "text"))))
     df = df.withColumn("base_failed", F.expr(BASE_FAILED))
     df = df.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(verdict(order)))
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by")
+    df = df.withColumn("kept", F.col("rejected_by").isNull())
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"]
+    return df.select(F.inline(F.array(F.struct(*names))))
 
 
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
