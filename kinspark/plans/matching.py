@@ -38,8 +38,8 @@ def coverage_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return rolled.select(F.coalesce("o_orderstatus", F.lit("ALL")).alias("status"), "total", "urgent", diffing.percent(F.col("urgent"), F.col("total")).alias("percent"))
 
 
-@query("uniq_gate_match", f"WITH {HALVES} {_unique('p_brand, p_type, p_size, p_name')}")
-def uniq_gate_match(spark: SparkSession, sf: str) -> DataFrame:
+@query("unique_key_match", f"WITH {HALVES} {_unique('p_brand, p_type, p_size, p_name')}")
+def unique_key_match(spark: SparkSession, sf: str) -> DataFrame:
     old, new = halves(spark, sf)
     return matching.unique_match(old, new, ["p_brand", "p_type", "p_size", "p_name"], "p_partkey")
 
