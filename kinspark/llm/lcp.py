@@ -145,7 +145,7 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     also = F.struct(extra_of("key").alias("bucket"), F.lit(True).alias("extra"))
     placed = docs.withColumn("at", F.explode(F.filter(F.array(own, also), lambda x: x.bucket >= 0)))
     placed = placed.select("at.bucket", "at.extra", "key", "doc_id", "text")
-    return placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "extra", F.col("key").desc(), "text")
+    return placed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "extra", F.col("key").desc(), "text")
 
 
 def compare(docs: DataFrame) -> DataFrame:
