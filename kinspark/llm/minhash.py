@@ -271,8 +271,11 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component, with all columns; of rows with one doc_id, the first by text."""
-    kept = linked(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    first = Window.partitionBy("__kept").orderBy("text")
-    chosen = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"))
-    chosen = chosen.withColumn("__place", F.row_number().over(first)).where("__place = 1").select(*docs.columns)
+    kept = linked(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    own = docs.columns
+    hidden = [f"own_{i}" for i in range(len(own))]  # so that no name of docs' clashes with these
+    key, text = (F.col(hidden[own.index(c)]) for c in ("doc_id", "text"))
+    chosen = docs.toDF(*hidden).join(kept, key.cast("long") == F.col("kept_id"))
+    place = F.row_number().over(Window.partitionBy("kept_id").orderBy(text))
+    chosen = chosen.withColumn("place", place).where("place = 1").select(*(F.col(h).alias(c) for h, c in zip(hidden, own, strict=True)))
     return chosen.unionByName(docs.where("doc_id IS NULL"))
