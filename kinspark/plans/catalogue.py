@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import matching, scoring, sequences
+from . import identities, matching, scoring, sequences
 
 
 def queries() -> dict:
-    return matching.QUERIES | scoring.QUERIES | sequences.QUERIES
+    return matching.QUERIES | scoring.QUERIES | sequences.QUERIES | identities.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return matching.SQL | scoring.SQL | sequences.SQL
+    return matching.SQL | scoring.SQL | sequences.SQL | identities.SQL
