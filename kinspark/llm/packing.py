@@ -68,7 +68,14 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, how many sequences are filled so), using up all counts."""
+    """(lengths, how many sequences are filled so), using up all counts: of the plans that
+    fill gaps with up to three, two, one or no lengths before best fit, the one with the
+    fewest sequences (where small lengths are scarce, triples can use them up too soon)."""
+    return min((filled(counts, size, most) for most in (3, 2, 1, 0)), key=lambda p: sum(n for _, n in p))
+
+
+def filled(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan whose exact combinations put at most ``most`` lengths beside the longest."""
     left = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -85,17 +92,17 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
             out.append((lengths, m))
 
     use((size,))
-    for long in range(size - 1, 0, -1):
+    for long in range(size - 1, 0, -1) if most else ():
         gap = size - long
         if left[long] and gap <= long:
             use((long, gap))
         # Two that fill the gap, the most even first: small lengths are kept for later.
-        for b in range(gap // 2, 0, -1):
+        for b in range(gap // 2, 0, -1) if most > 1 else ():
             if not left[long]:
                 break
             if left[b] and left[gap - b]:
                 use((long, gap - b, b))
-        for c in range(gap // 3, 0, -1):
+        for c in range(gap // 3, 0, -1) if most > 2 else ():
             if not left[long]:
                 break
             if not left[c]:
@@ -128,11 +135,11 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
     return out + [x for group in free.values() for x in group]
 
 
-def slots(filled: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def slots(planned: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted keys (length, first rank), and for each the first sequence and the offset."""
     used: dict[int, int] = defaultdict(int)
     rows, base = [], 0
-    for lengths, m in filled:
+    for lengths, m in planned:
         offset = 0
         for x in lengths:
             rows.append(((x << _SHIFT) + used[x], base, offset))
