@@ -137,12 +137,12 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, learn_from: DataFrame | None = None) -> DataFrame:
     """The documents that score the threshold or more, with all their columns.
 
-    The model is fitted on the statistics alone; each document is then scored
-    where it is read, so no text is shuffled."""
-    model = fitted(settled(vectors(docs), "statistics"), labels)
+    The model is fitted on the statistics of ``learn_from`` (by default the same
+    documents); each document is then scored where it is read, so no text is shuffled."""
+    model = fitted(vectors(docs if learn_from is None else learn_from), labels)
 
     def run(batches):
         for batch in batches:
