@@ -20,8 +20,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the discriminant scores 0.7 or more."""
-    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the discriminant scores 0.7 or more. It learns from the table before the
+    rules, which leave few documents of low quality to learn from."""
+    labels, raw = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "documents"))
+    return quality.accepted(docs, labels, learn_from=raw)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
