@@ -23,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,24 +38,28 @@ BLOCK_IDS = 1_000_000
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens and the ids (uint16 where the vocabulary allows, else uint32)."""
+    """doc_id, n_tokens and the compressed ids (uint16 where the vocabulary allows, else uint32)."""
     width = id_type(tokenizer)
 
     def run(batches):
-        encoder = library_encoder(tokenizer)
+        encoder, squeeze = library_encoder(tokenizer), zstandard.ZstdCompressor(level=1).compress
         end = np.array([end_id], width).tobytes()
         for batch in batches:
             counts, blobs = [], []
             for ids, edge in encoder.encode(texts_of(batch)):
                 raw = ids.astype(width)
                 counts += (np.diff(edge) + 1).tolist()
-                blobs += [raw[a:b].tobytes() + end for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                blobs += [squeeze(raw[a:b].tobytes() + end) for a, b in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
+def unpacked(blob: bytes, width: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), width)
+
+
 def id_type(tokenizer: str) -> str:
     from tokenizers import Tokenizer
 
@@ -147,7 +152,7 @@ def write_files(tokens: DataFrame, order: np.ndarray, width: str, files: int) ->
             for f, d, blob in zip(*(batch.column(c).to_pylist() for c in ("file", "doc_id", "ids")), strict=True):
                 file = f
                 doc_ids.append(d)
-                ids.append(np.frombuffer(blob, width))
+                ids.append(unpacked(blob, width))
                 size += len(ids[-1])
                 if size >= BLOCK_IDS:
                     yield flush()
