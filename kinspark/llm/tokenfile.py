@@ -73,7 +73,7 @@ def frequency_order(tokens: DataFrame, width: str) -> np.ndarray:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for blob in batch.column("ids").to_pylist():
-                n = np.bincount(np.frombuffer(blob, width))
+                n = np.bincount(unpacked(blob, width))
                 if len(n) > len(total):
                     n, total = total, n
                 total[: len(n)] += n
