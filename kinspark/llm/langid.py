@@ -99,17 +99,18 @@ class Model:
         for k in self.languages:
             codes = self.code[folds[k]]
             states = automaton([c for c in codes.tolist() if c])
-            table = np.full((len(states), self.width), np.iinfo(np.int32).min, np.int32)
+            # One state more than the automaton's: where the next character begins a phrase.
+            begin = base + len(states)
+            table = np.full((len(states) + 1, self.width), -1, np.int32)
             for i, row in enumerate(states):
                 for c, to in row.items():
                     table[i, c] = base + to
-            # Without a transition, the character begins a phrase at the root.
-            first = np.where(table[0] >= 0, table[0], base)
+            first = np.where(table[0] >= 0, table[0], begin)
             table = np.where(table >= 0, table, ~first)
             tables.append(table)
-            self.roots.append(base)
+            self.roots.append(begin)
             self.bits.append(math.log2(max(len(codes), 2)))
-            base += len(states)
+            base = begin + 1
         self.table = np.concatenate(tables).astype(np.int32).reshape(-1) if tables else np.zeros(0, np.int32)
         self.roots, self.bits = np.array(self.roots, np.int32), np.array(self.bits)
 
@@ -118,7 +119,7 @@ class Model:
         order = np.argsort(-size, kind="stable")
         start, size = start[order], size[order]
         state = np.repeat(self.roots[:, None], len(start), 1)
-        count = np.ones(state.shape, np.int32)
+        count = np.zeros(state.shape, np.int32)
         active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")
         for step, k in enumerate(active.tolist()):
             to = self.table.take(state[:, :k] * self.width + codes[start[:k] + step])
