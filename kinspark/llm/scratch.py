@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""The package on the executors, intermediate tables, and the number of shuffle partitions."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..sources.shared import settled, shared_folder
+
+__all__ = ["partitions", "settled", "shared_folder", "ship"]
 
 _ROOT = Path(__file__).resolve().parents[2]
 _SHIPPED: set[str] = set()
@@ -30,27 +33,5 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, a temporary folder (local masters only)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="spark-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: later jobs neither
-    recompute it nor depend on any executor that made it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
