@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
     """The pieces of every document's ids and end id."""
 
     def run(batches):
-        encoder = library_encoder(tokenizer)
+        encoder = library_encoder(tokenizer, added=True)
         for batch in batches:
             rows: list[tuple] = []
             doc_ids, at = batch.column("doc_id").to_pylist(), 0

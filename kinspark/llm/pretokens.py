@@ -8,7 +8,7 @@ pre-tokens, so each distinct one is encoded once and its ids are copied.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -77,10 +77,13 @@ def starts_of(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts. ``encode_all`` gives the ids of each of a list of pre-tokens."""
+    """Ids of texts. ``encode_all`` gives the ids of each of a list of pre-tokens; each of
+    ``whole`` is a pre-token wherever it stands, and texts are cut there first."""
 
-    def __init__(self, encode_all: Callable[[list[str]], list], memo: int = MEMO):
+    def __init__(self, encode_all: Callable[[list[str]], list], memo: int = MEMO, whole: Iterable[str] = ()):
         self.encode_all, self.memo = encode_all, memo
+        self.whole = sorted(whole, key=len, reverse=True)
+        self.mark = regex.compile("|".join(map(regex.escape, self.whole)))
         self._reset()
 
     def _reset(self) -> None:
@@ -116,11 +119,26 @@ class Encoder:
         self.keys = np.insert(self.keys, at, keys[order])
         self.slot = np.insert(self.slot, at, old + order)
 
+    def starts(self, points: np.ndarray, lengths: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Indexes where pre-tokens begin, with each of ``whole`` as one."""
+        begin, end = [], []
+        for at, text in zip((np.cumsum(lengths) - lengths).tolist(), texts, strict=True):
+            if any(w in text for w in self.whole):
+                for m in self.mark.finditer(text):
+                    begin.append(at + m.start())
+                    end.append(at + m.end())
+        if not begin:
+            return starts_of(points, lengths)
+        edges = np.unique(np.concatenate([[0], np.cumsum(lengths), begin, end]))
+        start = starts_of(points, np.diff(edges))
+        last = np.searchsorted(begin, start) - 1  # the last that begins before
+        return start[(last < 0) | (start >= np.array(end)[last])]
+
     def slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The memo slot of every pre-token, and the number of pre-tokens of each text."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         points = points_of(texts)
-        start = starts_of(points, lengths)
+        start = self.starts(points, lengths, texts)
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         end = np.append(start[1:], len(points))
@@ -157,15 +175,24 @@ def byte_letters() -> str:
     return "".join(chr(b if b in plain else next(other)) for b in range(256))
 
 
-def library_encoder(path: str) -> Encoder:
-    """An Encoder by the BPE model of the tokenizers library, for byte-level files."""
+def library_encoder(path: str, added: bool = False) -> Encoder:
+    """An Encoder by the BPE model of the tokenizers library, for byte-level files.
+
+    added: the file's added tokens are matched inside texts, as the library's
+    encode does by default; without it they are spelt like any other text.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     letters = dict(enumerate(byte_letters()))
+    ids = {}
+    for i, t in tokenizer.get_added_tokens_decoder().items() if added else ():
+        if t.lstrip or t.rstrip or t.single_word:
+            raise ValueError(f"the added token {t.content!r} takes its surroundings into account")
+        ids[t.content] = [i]
 
     def encode_all(tokens: list[str]) -> list:
         model = tokenizer.model
-        return [[x.id for x in model.tokenize(t.encode().decode("latin-1").translate(letters))] for t in tokens]
+        return [ids.get(t) or [x.id for x in model.tokenize(t.encode().decode("latin-1").translate(letters))] for t in tokens]
 
-    return Encoder(encode_all)
+    return Encoder(encode_all, whole=ids)

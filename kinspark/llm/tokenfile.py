@@ -42,7 +42,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
     width = id_type(tokenizer)
 
     def run(batches):
-        encoder, squeeze = library_encoder(tokenizer), zstandard.ZstdCompressor(level=1).compress
+        encoder, squeeze = library_encoder(tokenizer, added=True), zstandard.ZstdCompressor(level=1).compress
         end = np.array([end_id], width).tobytes()
         for batch in batches:
             counts, blobs = [], []

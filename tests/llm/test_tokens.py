@@ -147,3 +147,33 @@ def test_token_file(odd, odd_rows, nothing, library, monkeypatch):
 def test_block_needs_its_mark():
     with pytest.raises(ValueError, match="block"):
         tokenfile.read_block(b"????" + bytes(20), np.zeros(1, np.uint32))
+
+
+ADDED = ["a<|endoftext|>b", "<|endoftext|>", "it's <|endoftext|> 've  <|endoftext|><|endoftext|>\n", "<|endoftext|", "中 <|endoftext|>🙂<|endo<|endoftext|>ftext|>", "", "plain text"]
+
+
+def test_added_tokens_as_the_library_does():
+    default = Tokenizer.from_file(JSON)
+    want = [default.encode(t, add_special_tokens=False).ids for t in ADDED]
+    assert want[0] == [64, 50256, 65]
+    encoder = pretokens.library_encoder(JSON, added=True)
+    for ids, edge in encoder.encode(ADDED):
+        assert [ids[a:b].tolist() for a, b in zip(edge, edge[1:], strict=False)] == want
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text(alphabet="ab' s\n<|", max_size=8), max_size=5))
+def test_added_tokens_among_any_text(parts):
+    text = "<|endoftext|>".join(parts)
+    [(ids, _)] = pretokens.library_encoder(JSON, added=True).encode([text, text[1:]])
+    default = Tokenizer.from_file(JSON)
+    assert ids.tolist() == [i for t in (text, text[1:]) for i in default.encode(t, add_special_tokens=False).ids]
+
+
+def test_added_tokens_in_rows(spark):
+    default = Tokenizer.from_file(JSON)
+    df = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    check_packed(packing.pack(df, JSON).collect(), list(enumerate(ADDED)), lambda t: default.encode(t, add_special_tokens=False).ids)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokenfile.write_and_read(df, JSON).collect()}
+    ids = [np.array([*default.encode(t, add_special_tokens=False).ids, 2], "<u4") for t in ADDED]
+    assert got == {d: (len(x), zlib.crc32(x.tobytes())) for d, x in enumerate(ids)}
