@@ -3,9 +3,10 @@
 A suffix automaton per language holds a bounded sample of its labelled text. A
 text is parsed greedily into the longest phrases that occur in the sample; the
 fewer phrases it needs (times log2 of the sample's size, per character), the
-closer the language. The automata are transition tables, and numpy walks all
-languages over thousands of text segments at once; a parse starts anew at each
-segment of SEGMENT characters, so long texts are read whole.
+closer the language. Every letter of a sample counts. The automata are transition
+tables over the DENSE most frequent letters and sorted keys for the others, and
+numpy walks all languages over thousands of text segments at once; a parse starts
+anew at each segment of SEGMENT characters, so long texts are read whole.
 
 Texts are compared in lower case, with each run of other characters than
 letters as one space.
@@ -31,7 +32,7 @@ from .ragged import chunks
 from .scratch import ship
 
 SEGMENT = 1024
-LETTERS = 62
+DENSE = 62
 SAMPLE_CHARS = 40_000
 CHUNK = 2_000_000
 
@@ -90,29 +91,54 @@ class Model:
         common = Counter()
         for points in folds.values():
             common.update(points.tolist())
-        known = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])) if c != 32][:LETTERS]
-        self.width = len(known) + 2  # 0: other letters, 1: space
-        self.code = np.zeros(0x110000, np.uint8)
+        known = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])) if c != 32]
+        self.codes = len(known) + 2  # 0: letters of no sample, 1: space
+        self.width = min(self.codes, DENSE + 2)  # codes from here on are looked up by keys
+        self.code = np.zeros(0x110000, np.int32)
         self.code[32] = 1
-        self.code[known] = np.arange(2, self.width)
+        self.code[known] = np.arange(2, self.codes)
         tables, self.roots, self.bits, base = [], [], [], 0
+        keys, targets, firsts = [], [], []
         for k in self.languages:
             codes = self.code[folds[k]]
-            states = automaton([c for c in codes.tolist() if c])
+            states = automaton(codes.tolist())
             # One state more than the automaton's: where the next character begins a phrase.
             begin = base + len(states)
             table = np.full((len(states) + 1, self.width), -1, np.int32)
+            rare = np.full(self.codes - self.width, ~begin, np.int32)
             for i, row in enumerate(states):
                 for c, to in row.items():
-                    table[i, c] = base + to
+                    if c < self.width:
+                        table[i, c] = base + to
+                    else:
+                        keys.append((base + i) * self.codes + c)
+                        targets.append(base + to)
+                        if i == 0:
+                            rare[c - self.width] = ~(base + to)
             first = np.where(table[0] >= 0, table[0], begin)
             table = np.where(table >= 0, table, ~first)
             tables.append(table)
+            firsts.append(rare)
             self.roots.append(begin)
             self.bits.append(math.log2(max(len(codes), 2)))
             base = begin + 1
         self.table = np.concatenate(tables).astype(np.int32).reshape(-1) if tables else np.zeros(0, np.int32)
         self.roots, self.bits = np.array(self.roots, np.int32), np.array(self.bits)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.targets = np.array(keys, np.int64)[order], np.array(targets, np.int32)[order]
+        self.firsts = np.array(firsts, np.int32).reshape(len(tables), self.codes - self.width)
+
+    def steps(self, state: np.ndarray, codes: np.ndarray, rare: bool) -> np.ndarray:
+        """The states that follow; of codes from ``width`` on by their keys."""
+        if not rare:
+            return self.table.take(state * self.width + codes)
+        to = self.table.take(state * self.width + np.where(codes < self.width, codes, 0))
+        at = np.flatnonzero(codes >= self.width)
+        if len(at):
+            key = state[:, at].astype(np.int64) * self.codes + codes[at]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            to[:, at] = np.where(self.keys[place] == key, self.targets[place], self.firsts[:, codes[at] - self.width])
+        return to
 
     def phrases(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Phrases of each language (rows) in each segment (columns)."""
@@ -121,8 +147,9 @@ class Model:
         state = np.repeat(self.roots[:, None], len(start), 1)
         count = np.zeros(state.shape, np.int32)
         active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")
+        rare = bool((codes >= self.width).any())
         for step, k in enumerate(active.tolist()):
-            to = self.table.take(state[:, :k] * self.width + codes[start[:k] + step])
+            to = self.steps(state[:, :k], codes[start[:k] + step], rare)
             new = to < 0
             count[:, :k] += new
             state[:, :k] = np.where(new, ~to, to)

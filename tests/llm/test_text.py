@@ -140,6 +140,35 @@ def test_cross_parse_counts_longest_matches(monkeypatch):
     assert letters.tolist() == [sum(c.isalpha() for c in t) for t in texts]
 
 
+def test_every_letter_of_every_script_counts():
+    rng = random.Random(5)
+
+    def text(first, n, seed):
+        draw = random.Random(seed)
+        vocabulary = ["".join(chr(first + draw.randrange(n)) for _ in range(draw.randint(2, 5))) for _ in range(400)]
+        return lambda words: " ".join(rng.choice(vocabulary) for _ in range(words))
+
+    # Two vocabularies of each of three scripts, Han among them with 3,000 letters.
+    kinds = {f"{name}{i}": text(first, n, 10 * k + i) for k, (name, first, n) in enumerate([("cyr", 0x430, 32), ("dev", 0x905, 50), ("han", 0x4E00, 3000)]) for i in (0, 1)}
+    samples = {k: make(800) for k, make in kinds.items()}
+    model = langid.Model(samples)
+    assert model.codes > 1000 and (model.code[np.unique(langid.folded(list(samples.values()))[0])] > 0).all()
+    texts = [(k, make(30)) for k, make in kinds.items() for _ in range(10)]
+    bits, _ = model.entropies([t for _, t in texts])
+    assert [model.languages[i] for i in bits.argmin(0)] == [k for k, _ in texts]
+    for t in (texts[0][1], texts[45][1], "中 stone " + texts[25][1]):
+        points = langid.folded([t])[0]
+        for k, b in zip(model.languages, model.entropies([t])[0][:, 0], strict=True):
+            part, sample = "".join(map(chr, points)), "".join(map(chr, langid.folded([samples[k]])[0]))
+            n = i = 0
+            while i < len(part):
+                j = i
+                while j < len(part) and part[i : j + 1] in sample:
+                    j += 1
+                i, n = max(j, i + 1), n + 1
+            assert round(b * len(points) / model.bits[model.languages.index(k)]) == n
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="cookie-notice">We use cookies here, of course.</div>
 <article><h1>Title &amp; more</h1><p><b>First</b> paragraph,<br>with a break and
