@@ -163,9 +163,9 @@ def log_records(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sequence_edit_script", None)
 def sequence_edit_script(spark: SparkSession, sf: str) -> DataFrame:
-    """How each conversation's first turn turns into its second, word by word."""
+    """How each turn of a conversation turns into the next, word by word; place numbers the turns from 1."""
     talk = table(spark, sf, "conversations")
     own = Window.partitionBy("conv_id").orderBy("turn")
     words = F.filter(F.split("text", " "), lambda x: x != "")
-    pairs = talk.select("conv_id", F.row_number().over(own).alias("place"), words.alias("left"), F.lead(words).over(own).alias("right")).where("place = 1 AND right IS NOT NULL")
-    return edits.edit_scripts(pairs, "conv_id", "long")
+    pairs = talk.select("conv_id", F.row_number().over(own).alias("place"), words.alias("left"), F.lead(words).over(own).alias("right")).where("right IS NOT NULL")
+    return edits.edit_scripts(pairs, "conv_id", "long", {"place": "int"})

@@ -103,6 +103,23 @@ def test_edit_scripts(spark):
     assert [r.op for r in edits.edit_scripts(df, "k", "int").orderBy("step").collect()] == ["equal", "replace", "equal", "insert"]
 
 
+def test_every_pair_of_neighbouring_turns_has_an_edit_script(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from kinspark.plans.sequences import sequence_edit_script
+
+    turns = {1: ["a b c", "a x c d", "", "x  c"], 2: ["only one"], 3: ["p q", "p q"]}
+    rows = [(c, 10 * i, "user", t) for c, texts in turns.items() for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = set()
+    for c, texts in turns.items():
+        for place, (x, y) in enumerate(zip(texts, texts[1:], strict=False), 1):
+            want |= {(c, place, n, *op) for n, op in enumerate(SequenceMatcher(None, x.split(), y.split(), autojunk=False).get_opcodes())}
+    assert {p for c, p, *_ in want if c == 1} == {1, 2, 3}
+    got = [tuple(r) for r in sequence_edit_script(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def class_bytes(name: str, fields: list[tuple[str, str]]) -> bytes:
     """A class file with the given fields and nothing else."""
     pool: list[bytes] = []
