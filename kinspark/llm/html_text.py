@@ -3,11 +3,12 @@
 html.parser's events are folded, as they come, into lines: runs of text between
 block-level tags, each with the number of tags since the line before. The
 text-to-tag ratios of the lines are smoothed with a Gaussian kernel, and a
-threshold (their standard deviation) separates content lines from the rest. The
-region that holds most of the text of content lines (an article or main element;
-without one, the smallest container with most of it) is the main text, less
-what stands in menus, headers, footers, sidebars, notices, adverts, forms,
-comments or hidden elements inside it.
+threshold (their standard deviation) separates content lines from the rest; the
+few largest ratios and lengths are cut to the next one first, so that an outlier
+moves neither. The region that holds most of the text of content lines (an article
+or main element; without one, the smallest container with most of it, whole, and
+the content lines elsewhere) is the main text, less what stands in menus, headers,
+footers, sidebars, notices, adverts, forms, comments or hidden elements inside it.
 
 Defined results: null and empty pages have empty text; cut-off markup at the end
 is dropped, cut-off text kept; null ids and urls and repeated rows are kept;
@@ -48,6 +49,7 @@ HINTS = re.compile(
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 REGIONS = frozenset(["article", "main"])
+PARAGRAPHS = HEADINGS | frozenset("p pre blockquote li dt dd figure figcaption address".split())  # no containers
 SIGMA, RADIUS = 1.0, 2
 SPACES = re.compile(r"\s+")
 CUT_OFF = re.compile(r"<[/!?]?[a-zA-Z][^<>]*$|<[/!?]?$|<!-[^>]*$")
@@ -61,6 +63,7 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, container number, region, skipped
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
         self.regions: dict[int, str] = {}
+        self.paragraphs: set[int] = set()
         self.text: list[str] = []
         self.tags = self.links = self.anchors = self.made = 0
 
@@ -107,6 +110,8 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self.made += 1
             number = self.made
+            if tag in PARAGRAPHS:
+                self.paragraphs.add(number)
             if region and not skip:
                 self.regions[number] = tag
         self.open.append((tag, number, region, skip))
@@ -148,6 +153,13 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(ratios, kernel, "same") / weight
 
 
+def levelled(values: np.ndarray) -> np.ndarray:
+    """The largest twentieth (one at least) cut to the next largest value."""
+    if len(values) < 3:
+        return values
+    return np.minimum(values, np.sort(values)[-1 - -(-len(values) // 20)])
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -160,10 +172,10 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     size = np.array([len(text) for text, *_ in lines], float)
-    ratio = smoothed(size / np.array([max(1, tags) for _, tags, *_ in lines]))
+    ratio = smoothed(levelled(size / np.array([max(1, tags) for _, tags, *_ in lines])))
     linked = np.array([links > 0.6 * len(text) for text, _, links, *_ in lines])
     content = (ratio >= ratio.std()) & ~linked
-    weight = np.where(content, size, size * 1e-3)
+    weight = np.where(content, 1, 1e-3) * levelled(size)
 
     inside: dict[int, float] = {}
     for (_, _, _, path, _), w in zip(lines, weight.tolist(), strict=True):
@@ -178,12 +190,9 @@ def main_text(html: str | None) -> str:
         chosen = [best in path for _, _, _, path, _ in lines]
     else:
         total = float(weight[content].sum()) or float(weight.sum())
-        best = max((n for n, w in inside.items() if w >= 0.7 * total), default=0)
+        best = max((n for n, w in inside.items() if w >= 0.7 * total and n not in parser.paragraphs), default=0)
         within = np.array([not best or best in path for _, _, _, path, _ in lines])
-        at = np.flatnonzero(content & within)
-        chosen = [False] * len(lines)
-        for i in np.flatnonzero(within & ~linked).tolist():
-            chosen[i] = len(at) == 0 or at[0] - 1 <= i <= at[-1]
+        chosen = ((within | content) & ~linked).tolist()
     return "\n\n".join(text for (text, *_), take in zip(lines, chosen, strict=True) if take)
 
 

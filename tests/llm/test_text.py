@@ -187,6 +187,19 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ""
 
 
+def test_html_long_paragraphs_push_nothing_out():
+    for size in (8000, 20000, 60000):
+        for place in (0, 15, 30):
+            lines = ["Heading", "Short one.", "Short two."] + [f"{i:03d} " + "word " * 59 for i in range(31)]
+            lines[3 + place] = "long " * (size // 5)
+            body = "<h2>Heading</h2>" + "".join(f"<p>{x}</p>" for x in lines[1:])
+            for page in (f"<body><div>{body}</div></body>", f"<body><div><div>{body[: len(body) // 2]}</div></div><ul><li><a href=x>A link</a></ul></body>"):
+                got = html_text.main_text(page).split("\n\n")
+                assert got[:3] == lines[:3] and "A link" not in got
+                assert got[:-1] == [x.strip() for x in lines[: len(got) - 1]]
+            assert html_text.main_text(f"<body><div>{body}</div></body>").split("\n\n") == [x.strip() for x in lines]
+
+
 def test_html_rows(spark):
     long = "<article>" + "".join(f"<p>Paragraph number {i} of a very long page.</p>" for i in range(5000)) + "</article>"
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "", ""), (3, "w", long, "x")]
