@@ -10,6 +10,12 @@ or main element; without one, the smallest container with most of it, whole, and
 the content lines elsewhere) is the main text, less what stands in menus, headers,
 footers, sidebars, notices, adverts, forms, comments or hidden elements inside it.
 
+Forms and blocks with telling class names are skipped only when the whole page is
+known: one that encloses a region no lighter than those outside, or (with no
+region outside) most of the page's text, is a wrapper of the page and counts as
+not skipped. All regions are kept whole, unless they hold less than half of the
+content; then the container is looked for as if there were none, and they are kept beside it.
+
 Defined results: null and empty pages have empty text; cut-off markup at the end
 is dropped, cut-off text kept; null ids and urls and repeated rows are kept;
 other columns are ignored.
@@ -29,7 +35,8 @@ from .scratch import ship
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-SKIPPED = frozenset("script style noscript template title head nav footer aside form button select option textarea input iframe svg canvas object dialog menu audio video map datalist fieldset".split())
+SKIPPED = frozenset("script style noscript template title head nav footer aside button select option textarea input iframe svg canvas object dialog menu audio video map datalist".split())
+WRAPPERS = frozenset(["form", "fieldset"])
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
     "li": frozenset(["li"]),
@@ -46,6 +53,9 @@ HINTS = re.compile(
     r"popup|modal|overlay|nav\w*|menus?|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommended|comments?|commentlist|respond|replies|reply|disqus|"
     r"login|signin|signup|search\w*|widgets?|toolbar|pagination|pager|skip|copyright|legal|outbrain|taboola)$"
 )
+REMARKS = re.compile(r"^(comments?|commentlist|respond|replies|reply|disqus|related|recommended)$")
+NEGATED = frozenset("has have no not with without is hide show".split())
+TITLED = frozenset("entry post article page content story main section blog".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 REGIONS = frozenset(["article", "main"])
@@ -55,13 +65,25 @@ SPACES = re.compile(r"\s+")
 CUT_OFF = re.compile(r"<[/!?]?[a-zA-Z][^<>]*$|<[/!?]?$|<!-[^>]*$")
 
 
+def hints(value: str) -> list[str]:
+    """The words of a class or id that tell a block to skip: a name as a whole, its first part, or its second
+    unless that says what the block has (has-sidebar) or heads (entry-header)."""
+    found = []
+    for name in value.split():
+        first, *rest = re.split(r"[-_]+", name)[:2]
+        second = [x for x in rest if first not in NEGATED and not (x == "header" and first in TITLED)]
+        found += [x for x in (name, first, *second) if HINTS.match(x)]
+    return found
+
+
 class Lines(HTMLParser):
-    """Events to lines: (text, tags, link characters, enclosing containers, skipped)."""
+    """Events to lines: (text, tags, link characters, enclosing containers, enclosing ones that may be skipped)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, container number, region, skipped
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        self.open: list[tuple[str, int, bool, bool, bool]] = []  # tag, container number, region, skipped, may be skipped
+        self.lines: list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]] = []
+        self.remarks: set[int] = set()
         self.regions: dict[int, str] = {}
         self.paragraphs: set[int] = set()
         self.text: list[str] = []
@@ -70,25 +92,29 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = SPACES.sub(" ", "".join(self.text)).strip()
         if text:
-            inside = tuple(n for _, n, _, _ in self.open if n)
-            self.lines.append((text, self.tags, self.links, inside, bool(self.open) and self.open[-1][3]))
+            inside = tuple(n for _, n, *_ in self.open if n)
+            self.lines.append((text, self.tags, self.links, inside, tuple(n for _, n, _, _, maybe in self.open if maybe)))
             self.tags = 0
         self.text, self.links = [], 0
 
-    def skipped(self, tag: str, attrs: list) -> bool:
+    def skipped(self, tag: str, attrs: list) -> tuple[bool, list[str]]:
+        """Whether an element is skipped, and else the hints that it may be."""
         if tag in SKIPPED:
-            return True
-        inside = any(region for _, _, region, _ in self.open)
+            return True, []
+        inside = any(region for _, _, region, *_ in self.open)
         if tag == "header":
-            return not inside
+            return not inside, []
+        found = [tag] if tag in WRAPPERS else []
         for name, value in attrs:
             value = (value or "").lower()
             if name in ("class", "id"):
-                if tag not in ("body", "html", "main") and any(HINTS.match(x) or any(HINTS.match(y) for y in re.split(r"[-_]+", x)[:2]) for x in value.split()):
-                    return True
+                if tag not in ("body", "html", "main"):
+                    found += hints(value)
+            elif name == "role" and value in ("form", "search"):
+                found.append(value)
             elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display:\s*none|visibility:\s*hidden", value):
-                return True
-        return False
+                return True, []
+        return bool(found) and tag in INLINE, found
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
@@ -104,7 +130,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         within = bool(self.open) and self.open[-1][3]
-        skip = within or self.skipped(tag, attrs)
+        skip, found = (True, []) if within else self.skipped(tag, attrs)
         number = 0
         region = tag in REGIONS or any(n == "role" and v == "main" or n == "itemprop" and v == "articleBody" for n, v in attrs)
         if tag not in INLINE:
@@ -114,7 +140,9 @@ class Lines(HTMLParser):
                 self.paragraphs.add(number)
             if region and not skip:
                 self.regions[number] = tag
-        self.open.append((tag, number, region, skip))
+            if any(map(REMARKS.match, found)):
+                self.remarks.add(number)
+        self.open.append((tag, number, region, skip, bool(number and found)))
         self.anchors += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -160,6 +188,35 @@ def levelled(values: np.ndarray) -> np.ndarray:
     return np.minimum(values, np.sort(values)[-1 - -(-len(values) // 20)])
 
 
+def unskipped(parser: Lines) -> list[tuple]:
+    """The lines outside forms and hinted blocks, those apart that enclose the page's own text."""
+    size: dict[int, int] = {}
+    around: dict[int, tuple[int, ...]] = {}  # of each region, the blocks that may be skipped
+    doubtful = {n for *_, maybe in parser.lines for n in maybe}
+    if not doubtful:
+        return parser.lines
+    for text, _, _, path, maybe in parser.lines:
+        for n in path:
+            size[n] = size.get(n, 0) + len(text)
+            if n in parser.regions:
+                around[n] = tuple(m for m in maybe if m in path[: path.index(n) + 1])
+    total = sum(len(text) for text, *_ in parser.lines)
+    outside = sum(len(text) for text, _, _, path, maybe in parser.lines if not maybe and any(n in parser.regions for n in path))
+    spared = set()
+    for n, blocks in around.items():
+        if n not in blocks and size[n] >= outside:
+            spared.update(blocks)
+    if not outside:
+        spared |= {n for n in doubtful if size[n] > total * (0.9 if n in parser.remarks else 0.5)}
+    kept, tags = [], 0
+    for text, own, links, path, maybe in parser.lines:
+        tags += own
+        if spared.issuperset(maybe):
+            kept.append((text, tags, links, path, ()))
+            tags = 0
+    return kept
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -168,7 +225,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines = unskipped(parser)
     if not lines:
         return ""
     size = np.array([len(text) for text, *_ in lines], float)
@@ -181,18 +238,15 @@ def main_text(html: str | None) -> str:
     for (_, _, _, path, _), w in zip(lines, weight.tolist(), strict=True):
         for n in path:
             inside[n] = inside.get(n, 0.0) + w
-    regions = {n: inside[n] for n in parser.regions if n in inside}
-    if regions:
-        best = max(regions, key=regions.get)
-        # A region inside it with most of its text stands for it.
-        nested = {n for _, _, _, path, _ in lines if best in path for n in path[path.index(best) :] if n in regions}
-        best = max(n for n in nested if regions[n] >= 0.6 * regions[best])
-        chosen = [best in path for _, _, _, path, _ in lines]
+    regions = parser.regions.keys() & inside.keys()
+    own = np.array([any(n in regions for n in path) for _, _, _, path, _ in lines])
+    if weight[own].sum() >= 0.5 * weight.sum():
+        chosen = own.tolist()
     else:
         total = float(weight[content].sum()) or float(weight.sum())
         best = max((n for n, w in inside.items() if w >= 0.7 * total and n not in parser.paragraphs), default=0)
         within = np.array([not best or best in path for _, _, _, path, _ in lines])
-        chosen = ((within | content) & ~linked).tolist()
+        chosen = (own | (within | content) & ~linked).tolist()
     return "\n\n".join(text for (text, *_), take in zip(lines, chosen, strict=True) if take)
 
 

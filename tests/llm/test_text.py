@@ -200,6 +200,29 @@ def test_html_long_paragraphs_push_nothing_out():
             assert html_text.main_text(f"<body><div>{body}</div></body>").split("\n\n") == [x.strip() for x in lines]
 
 
+PARAGRAPHS = [f"Paragraph {i} says that the grey river runs on to the north of the hollow stone." for i in range(8)]
+
+
+@pytest.mark.parametrize("wrapper", ["form id=aspnetForm", "div class='has-sidebar'", "div class='no-sidebar'", "div class='sidebar-right'", "div class='header-fixed nav-open'", "div id=comments-open", "fieldset"])
+@pytest.mark.parametrize("inner", ["article", "div", "main"])
+def test_html_wrappers_are_no_reason_to_skip(wrapper, inner):
+    text = "<div class='entry-header'><h1>The title</h1></div>" + "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    extra = "<div class=newsletter><form>Sign up here</form></div><div class=comment-list><p>Well said, all of it, by a reader.</p></div>"
+    page = f"<body><nav>Menu</nav><{wrapper}><{inner}>{text}{extra}</{inner}></{wrapper.split()[0]}><footer>Foot</footer></body>"
+    assert html_text.main_text(page).split("\n\n") == ["The title", *PARAGRAPHS]
+
+
+def test_html_keeps_all_of_main_and_sibling_articles():
+    p = [f"<p>{x}</p>" for x in PARAGRAPHS]
+    whole = f"<main><h1>The title</h1>{p[0]}{p[1]}<article>{''.join(p[2:])}</article><p>Last words.</p></main>"
+    assert html_text.main_text(whole).split("\n\n") == ["The title", *PARAGRAPHS, "Last words."]
+    siblings = f"<body><article>{''.join(p[:6])}</article><article>{p[6]}</article><article>{p[7]}</article></body>"
+    assert html_text.main_text(siblings).split("\n\n") == PARAGRAPHS
+    remark = "<article class=comment-body><p>Something that a reader says about it, at length.</p></article>"
+    talk = f"<body><article>{''.join(p)}</article><section id=comments><ol class=comment-list>{('<li class=comment>' + remark + '</li>') * 30}</ol></section></body>"
+    assert html_text.main_text(talk).split("\n\n") == PARAGRAPHS
+
+
 def test_html_rows(spark):
     long = "<article>" + "".join(f"<p>Paragraph number {i} of a very long page.</p>" for i in range(5000)) + "</article>"
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "", ""), (3, "w", long, "x")]
