@@ -1,14 +1,24 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and the package on the executors."""
 
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOT = Path(__file__).resolve().parents[2]
+_SHIPPED: set[str] = set()
+#: Paths of the tables made inside each open ``passing`` block, the innermost last.
+_OPEN: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset, a temporary folder (local masters only)."""
@@ -29,4 +39,44 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.settled_at = path
+    return found
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder, whatever file system it is on."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables settled inside are deleted at the end, except those appended to the list that
+    this gives: they pass to the enclosing block, and stay where there is none."""
+    kept: list[DataFrame] = []
+    _OPEN.append([])
+    try:
+        yield kept
+    finally:
+        made, stay = _OPEN.pop(), [df.settled_at for df in kept]
+        if _OPEN:
+            _OPEN[-1].extend(p for p in made if p in stay)
+        delete(spark, [p for p in made if p not in stay])
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors; local ones share the driver's files and only need the path."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or spark.sparkContext.master.startswith("local") and str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    package = Path(tempfile.mkdtemp()) / "kinspark.zip"
+    with zipfile.ZipFile(package, "w") as z:
+        for path in sorted((_ROOT / "kinspark").rglob("*.py")):
+            z.write(path, path.relative_to(_ROOT))
+    spark.sparkContext.addPyFile(str(package))
+    atexit.register(shutil.rmtree, package.parent, ignore_errors=True)
+    _SHIPPED.add(app)
