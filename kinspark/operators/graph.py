@@ -68,6 +68,36 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
             found = settled(found.unionByName(fresh.withColumn("hops", F.lit(hops))), "closure")
 
 
+def ancestors(edges: DataFrame, starts: DataFrame, src: str, dst: str) -> DataFrame:
+    """(v, a): for each start (column v) all that a walk along the edges meets; only new pairs go into the next round."""
+    with passing(edges.sparkSession) as kept:
+        edges = settled(edges.select(F.col(src).alias("a"), F.col(dst).alias("to")).distinct(), "edges")
+        fresh = settled(starts.select("v").distinct().withColumn("a", F.col("v")).join(edges, "a").select("v", F.col("to").alias("a")).distinct(), "ancestors")
+        found = fresh
+        while not fresh.isEmpty():
+            step = fresh.join(edges, "a").select("v", F.col("to").alias("a")).distinct()
+            fresh = settled(step.join(found, ["v", "a"], "left_anti"), "ancestors")
+            found = settled(found.unionByName(fresh), "ancestors")
+        kept.append(found)
+    return found
+
+
+def rewritten(rows: DataFrame, mapping: DataFrame, most: int) -> DataFrame:
+    """Rows with ``value`` replaced by mapping (old, new) until nothing changes. The mapping's own chains are followed
+    first, by doubling, so the rows are joined once; more than ``most`` steps, or a cycle, is an error."""
+    hooks = mapping.where("old <> new").select(F.col("old").alias("v"), F.col("new").alias("to"))
+    with passing(rows.sparkSession) as kept:
+        hooks, steps = settled(hooks, "mapping"), 1
+        while not hooks.join(hooks.select(F.col("v").alias("to")), "to", "left_semi").isEmpty():
+            if steps > most:
+                raise ValueError(f"the mapping is not stable after {most} steps")
+            further = hooks.select(F.col("v").alias("to"), F.col("to").alias("further"))
+            hooks = settled(hooks.join(further, "to", "left").select("v", F.coalesce("further", "to").alias("to")), "mapping")
+            steps *= 2
+        kept.append(hooks)
+    return rows.join(hooks.withColumnRenamed("v", "value"), "value", "left").withColumn("value", F.coalesce("to", "value")).select(*rows.columns)
+
+
 def rooted(hooks: DataFrame) -> DataFrame:
     """(v, to) with each chain of hooks followed to its end: every pass doubles the steps twice."""
     spark = hooks.sparkSession

@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 
 def multiset_jaccard(pairs: DataFrame, counts: DataFrame, left: str, right: str, owner: str, token: str) -> DataFrame:
     """(left, right, jaccard) from token counts (owner, token, n): sum of least over sum of
     greatest; null where both are empty. Only shared tokens are joined: the greatest sums
-    follow from totals, as greatest(a, b) = a + b - least(a, b)."""
+    follow from totals, as greatest(a, b) = a + b - least(a, b). The counts are settled, as both sides and the totals read them."""
+    counts = settled(counts, "counts")
     totals = counts.groupBy(owner).agg(F.sum("n").alias("total"))
     a = counts.select(F.col(owner).alias(left), token, F.col("n").alias("__a"))
     b = counts.select(F.col(owner).alias(right), token, F.col("n").alias("__b"))
@@ -38,20 +41,23 @@ def weighted_mean(signals: Sequence[tuple[Column, float]]) -> Column:
     return F.when(have > 0, F.round(total / have, 6))
 
 
-def dominance_votes(pairs: DataFrame, source: str, target: str) -> DataFrame:
-    """(source, target, votes, out_share, in_share) of the top target of each source that is also the target's top source."""
+def dominance_votes(pairs: DataFrame, source: str, target: str, least_share: float = 0.8, least_votes: int = 2) -> DataFrame:
+    """(source, target, votes, out_share, in_share) of the top target of each source that is also the target's top
+    source, with ``least_share`` of the votes of both and ``least_votes``."""
     n = pairs.groupBy(source, target).agg(F.count(F.lit(1)).alias("votes"))
     out, into = Window.partitionBy(source), Window.partitionBy(target)
     n = n.withColumn("out_share", F.round(F.col("votes") / F.sum("votes").over(out), 6))
     n = n.withColumn("in_share", F.round(F.col("votes") / F.sum("votes").over(into), 6))
     n = n.withColumn("__o", F.row_number().over(out.orderBy(F.desc("votes"), target)))
     n = n.withColumn("__i", F.row_number().over(into.orderBy(F.desc("votes"), source)))
-    return n.where("__o = 1 AND __i = 1").drop("__o", "__i")
+    n = n.where("__o = 1 AND __i = 1").drop("__o", "__i")
+    return n.where((F.col("out_share") >= least_share) & (F.col("in_share") >= least_share) & (F.col("votes") >= least_votes))
 
 
 def idf_top(tokens: DataFrame, owners: DataFrame, owner: str, token: str, k: int) -> DataFrame:
-    """(owner, token, df, idf, rank): the k rarest tokens of each owner; idf = ln((n + 1) / (df + 1)) + 1."""
-    each = tokens.select(owner, token).distinct()
+    """(owner, token, df, idf, rank): the k rarest tokens of each owner; idf = ln((n + 1) / (df + 1)) + 1. Distinct
+    tokens are settled once, for the frequencies and for the owners that they are joined back to."""
+    each = settled(tokens.select(owner, token).distinct(), "tokens")
     n = owners.agg(F.count(F.lit(1)).alias("__n"))  # one row
     df = each.groupBy(token).agg(F.count(F.lit(1)).alias("df"))
     scored = each.join(df, token).join(F.broadcast(n)).withColumn("idf", F.round(F.log((F.col("__n") + 1) / (F.col("df") + 1)) + 1, 6))

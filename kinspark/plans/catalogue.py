@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import identities, matching, scoring, sequences
+from . import dependencies, identities, lanes, matching, records, registry, scoring, sequences
+
+_OWN = (records.query, lanes.query, registry.query, dependencies.query)
 
 
 def queries() -> dict:
-    return matching.QUERIES | scoring.QUERIES | sequences.QUERIES | identities.QUERIES
+    found = matching.QUERIES | scoring.QUERIES | sequences.QUERIES | identities.QUERIES
+    for catalogue in _OWN:
+        found |= catalogue.queries
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return matching.SQL | scoring.SQL | sequences.SQL | identities.SQL
+    found = matching.SQL | scoring.SQL | sequences.SQL | identities.SQL
+    for catalogue in _OWN:
+        found |= catalogue.sql
+    return found

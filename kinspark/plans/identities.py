@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, lineage
-from .tables import table
+from ..operators import evidence, graph, lineage
+from ..sources.shared import settled
+from .tables import table, year
 
 QUERIES, SQL = {}, {}
 
@@ -19,8 +20,8 @@ def query(name: str, sql: str):
     return keep
 
 
-def _active(spark: SparkSession, sf: str, year: int) -> DataFrame:
-    seen = table(spark, sf, "orders").where(F.year("o_orderdate") == year).select(F.col("o_custkey").alias("c_custkey"))
+def _active(spark: SparkSession, sf: str, y: int) -> DataFrame:
+    seen = table(spark, sf, "orders").where(year("o_orderdate", y)).select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf, "customer").join(seen, "c_custkey", "left_semi")
 
 
@@ -28,17 +29,19 @@ _ACTIVE = "SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orde
 
 
 @query("lineage_transfer", f"""
-WITH o AS ({_ACTIVE.format(1996)}), n AS ({_ACTIVE.format(1997)}),
- m AS (SELECT o.c_name, CASE WHEN o.c_acctbal >= 0 THEN 'exact' ELSE 'loose' END AS strategy FROM o JOIN n USING (c_custkey))
-SELECT CASE WHEN strategy = 'exact' THEN 'carried' ELSE 'untrusted_strategy' END AS outcome, count(*) AS n FROM m GROUP BY 1""")
+WITH o AS ({_ACTIVE.format(1996)}), n AS ({_ACTIVE.format(1997)}), i AS (SELECT c_custkey, row_number() OVER (ORDER BY c_name) AS k FROM o)
+SELECT c_custkey, CASE WHEN o.c_acctbal >= 0 THEN 'carried' ELSE 'untrusted_strategy' END AS outcome, CASE WHEN o.c_acctbal >= 0 THEN 'E_' || lpad(k::VARCHAR, greatest(6, length(k::VARCHAR))::INT, '0') ELSE '' END AS entity_id
+FROM o JOIN n USING (c_custkey) JOIN i USING (c_custkey)""")
 def lineage_transfer(spark: SparkSession, sf: str) -> DataFrame:
     """Customers of one year found again in the next; only those in credit are a trusted match."""
-    old, new = _active(spark, sf, 1996), _active(spark, sf, 1997)
+    customer, seen = table(spark, sf, "customer"), table(spark, sf, "orders")
+    active = seen.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.bool_or(year("o_orderdate", 1996)).alias("old"), F.bool_or(year("o_orderdate", 1997)).alias("new")).where("old OR new")
+    known = settled(customer.join(active, "c_custkey").select("c_custkey", "c_name", "c_acctbal", "old", "new"), "active")
     strategy = F.when(F.col("c_acctbal") >= 0, "exact").otherwise("loose")
-    matches = old.select("c_custkey", F.col("c_name").alias("old_name"), strategy.alias("strategy")).join(new.select("c_custkey", F.col("c_name").alias("new_name")), "c_custkey").drop("c_custkey")
-    carried, review = lineage.transfer(lineage.seed(old, "c_name", "1996"), matches, "1996", "1997", ["exact"])
-    both = carried.select(F.lit("carried").alias("outcome")).unionByName(review.select(F.col("reason").alias("outcome")))
-    return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    matches = known.where("old AND new").select(F.col("c_name").alias("old_name"), F.col("c_name").alias("new_name"), strategy.alias("strategy"))
+    carried, review = lineage.transfer(settled(lineage.seed(known.where("old"), "c_name", "1996"), "lineage"), matches, "1996", "1997", ["exact"])
+    both = carried.select("name", F.lit("carried").alias("outcome"), "entity_id").unionByName(review.select(F.col("new_name").alias("name"), F.col("reason").alias("outcome"), F.lit("").alias("entity_id")))
+    return both.join(known.select(F.col("c_name").alias("name"), "c_custkey"), "name").select("c_custkey", "outcome", "entity_id")
 
 
 @query("lineage_violations", """
@@ -54,7 +57,7 @@ _PROPOSALS = "p AS (SELECT DISTINCT s_suppkey::VARCHAR AS entity_id, 'S' || (flo
 
 @query("name_acceptance", f"""WITH {_PROPOSALS}, q AS (SELECT p.*, s.s_suppkey IS NOT NULL AS known, count(*) OVER (PARTITION BY entity_id) AS a, count(*) OVER (PARTITION BY lower(proposed)) AS b
  FROM p LEFT JOIN supplier s ON s.s_suppkey::VARCHAR = p.entity_id)
-SELECT CASE WHEN NOT known THEN 'unknown_identity' WHEN a > 1 THEN 'several_proposals' WHEN b > 1 THEN 'name_proposed_twice' ELSE 'accepted' END AS outcome, count(*) AS n FROM q GROUP BY 1""")
+SELECT entity_id, proposed, CASE WHEN NOT known THEN 'unknown_identity' WHEN a > 1 THEN 'several_proposals' WHEN b > 1 THEN 'name_proposed_twice' ELSE 'accepted' END AS outcome FROM q""")
 def name_acceptance(spark: SparkSession, sf: str) -> DataFrame:
     """Whole balances as proposed names of suppliers; customers are no known identities."""
     supplier, customer = table(spark, sf, "supplier"), table(spark, sf, "customer")
@@ -62,8 +65,7 @@ def name_acceptance(spark: SparkSession, sf: str) -> DataFrame:
     proposals = supplier.select(*named(F.col("s_suppkey"), F.col("s_acctbal"))).unionByName(customer.select(*named(F.col("c_custkey") + 1000000, F.col("c_acctbal"))))
     held = supplier.select(F.col("s_suppkey").cast("string").alias("entity_id"), F.lit("1").alias("build"), F.col("s_name").alias("name"))
     accepted, rejected = lineage.accept(held, proposals)
-    both = accepted.select(F.lit("accepted").alias("outcome")).unionByName(rejected.select(F.col("reason").alias("outcome")))
-    return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return accepted.withColumn("outcome", F.lit("accepted")).unionByName(rejected.withColumnRenamed("reason", "outcome"))
 
 
 _SIDE = """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, event_type,
@@ -87,16 +89,21 @@ def declaration_sandwich(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("runtime_retention", """
-WITH RECURSIVE e AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS src, string_split(p_name, ' ')[2] AS dst FROM part WHERE p_size >= 45),
- r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst),
- k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS node FROM part), t AS (SELECT min(node) AS node FROM k)
-SELECT node, CASE WHEN node IN (SELECT node FROM t) THEN 'root' WHEN node IN (SELECT dst FROM r WHERE src IN (SELECT node FROM t)) THEN 'needed' ELSE 'dead' END AS state FROM k""")
+WITH RECURSIVE e AS (SELECT DISTINCT event_type || user_id % 40 AS src, coalesce(nxt || (user_id + floor(value)::INT) % 40, '') AS dst FROM
+  (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE event_type <> 'error' AND nxt IS NOT NULL AND value > 24),
+ k AS (SELECT DISTINCT event_type || user_id % 40 AS node FROM events), t AS (SELECT min(node) AS node FROM k WHERE node LIKE 'purchase%'),
+ r AS (SELECT node FROM t UNION SELECT dst FROM r JOIN e ON src = node)
+SELECT node, CASE WHEN node IN (SELECT node FROM t) THEN 'root' WHEN node IN (SELECT node FROM r) THEN 'needed' ELSE 'dead' END AS state FROM k""")
 def runtime_retention(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of part names as nodes, names of large parts as edges, the first word as root."""
-    part, words = table(spark, sf, "part"), F.split("p_name", " ")
-    nodes = part.select(F.explode(words).alias("node")).distinct()
-    reach = graph.closure(part.where("p_size >= 45").select(words[0].alias("src"), words[1].alias("dst")))
-    return lineage.retained(nodes, reach, nodes.agg(F.min("node").alias("node")))
+    """Event types of groups of users as nodes, high-valued steps as edges; edges from errors are not walked."""
+    events = table(spark, sf, "events")
+    node = F.concat("event_type", (F.col("user_id") % 40).cast("string"))
+    after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    moved = F.concat("nxt", ((F.col("user_id") + F.floor("value").cast("int")) % 40).cast("string"))
+    steps = events.withColumn("nxt", after).where("nxt IS NOT NULL AND value > 24").select("event_type", node.alias("src"), moved.alias("dst"))
+    nodes = events.select(node.alias("node")).distinct()
+    roots = nodes.where(F.col("node").startswith("purchase")).agg(F.min("node").alias("v"))
+    return lineage.retained(nodes, graph.walk(steps, roots, open_=F.col("event_type") != "error"))
 
 
 @query("rename_plan", """
@@ -109,18 +116,21 @@ def rename_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("reference_surface", """
-SELECT event_type, count(*) AS refs, count(DISTINCT user_id) AS sources, string_agg(DISTINCT json_extract_string(props, '$.k'), ',' ORDER BY json_extract_string(props, '$.k')) AS targets FROM events GROUP BY 1""")
+SELECT event_type, count(*) AS refs, count(DISTINCT user_id) AS sources, array_to_string(list_sort(list(DISTINCT json_extract_string(props, '$.k')))[1:20], ',') AS targets FROM events GROUP BY 1""")
 def reference_surface(spark: SparkSession, sf: str) -> DataFrame:
-    """Count, distinct count and sorted list in one pass."""
+    """Count, distinct count and the first 20 of the sorted list in one pass; what is listed is distinct values."""
     k = F.get_json_object("props", "$.k")
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("refs"), F.count_distinct("user_id").alias("sources"), F.array_join(F.array_sort(F.collect_set(k)), ",").alias("targets"))
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("refs"), F.count_distinct("user_id").alias("sources"), F.array_join(F.slice(F.array_sort(F.collect_set(k)), 1, 20), ",").alias("targets"))
 
 
 @query("multilane_concordance", """
-WITH l AS (SELECT l_orderkey AS k, 'lines' AS lane, count(*) AS v FROM lineitem GROUP BY 1 UNION ALL SELECT o_orderkey, 'order', 1 FROM orders),
- c AS (SELECT k, count(DISTINCT lane) AS lanes FROM l GROUP BY 1)
-SELECT lanes, count(*) AS keys FROM c GROUP BY 1""")
+WITH l AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'O' END AS v FROM orders),
+ m AS (SELECT l_orderkey AS k, max(l_linestatus) AS v FROM lineitem GROUP BY 1), n AS (SELECT l_orderkey AS k, min(l_linestatus) AS v FROM lineitem GROUP BY 1),
+ a AS (SELECT * FROM l UNION ALL SELECT * FROM m UNION ALL SELECT * FROM n)
+SELECT k, count(*) AS lanes, count(DISTINCT v) AS votes, CASE WHEN count(*) < 3 THEN 'uncovered' WHEN count(DISTINCT v) = 1 THEN 'agreed' ELSE 'split' END AS verdict FROM a GROUP BY 1""")
 def multilane_concordance(spark: SparkSession, sf: str) -> DataFrame:
-    """How many lanes cover each key."""
-    lanes = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.lit("lines").alias("lane")).unionByName(table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.lit("order").alias("lane")))
-    return lanes.groupBy("k").agg(F.count_distinct("lane").alias("lanes")).groupBy("lanes").agg(F.count(F.lit(1)).alias("keys"))
+    """What an order's own status and its first and last line status say; orders without lines are not covered."""
+    status = F.when(F.col("o_orderstatus") == "F", "F").otherwise("O")
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_linestatus").alias("last"), F.min("l_linestatus").alias("first"))
+    lanes = {"own": table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), status.alias("v")), "last": lines.select("k", F.col("last").alias("v")), "first": lines.select("k", F.col("first").alias("v"))}
+    return evidence.concordance(lanes, "k", "v")

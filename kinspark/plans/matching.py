@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diffing, matching
-from .tables import halves, table
+from .tables import halves, table, year
 
 QUERIES, SQL = {}, {}
 
@@ -131,7 +131,7 @@ DIFF = f"""d AS (SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, a.n AS
 
 def _diff(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
-    old, new = (orders.where(F.year("o_orderdate") == y).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")) for y in (1996, 1997))
+    old, new = (orders.where(year("o_orderdate", y)).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")) for y in (1996, 1997))
     return diffing.outer_diff(old, new, "o_custkey", "n")
 
 
@@ -153,19 +153,21 @@ def delta_classification(spark: SparkSession, sf: str) -> DataFrame:
 SELECT o_custkey, CASE WHEN a AND b THEN 'carried' WHEN a THEN 'blocked' ELSE 'new_only' END AS status FROM
  (SELECT o_custkey, bool_or(year(o_orderdate) = 1996) AS a, bool_or(year(o_orderdate) = 1997) AS b FROM orders GROUP BY 1) WHERE a OR b""")
 def two_build_partition(spark: SparkSession, sf: str) -> DataFrame:
-    year = F.year("o_orderdate")
-    return diffing.presence(table(spark, sf, "orders"), "o_custkey", year == 1996, year == 1997)
+    orders = table(spark, sf, "orders").where(year("o_orderdate", 1996) | year("o_orderdate", 1997))
+    return diffing.presence(orders, "o_custkey", year("o_orderdate", 1996), year("o_orderdate", 1997))
 
 
-@query("unmatched_left", "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
+@query("unmatched_left", "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 25)")
 def unmatched_left(spark: SparkSession, sf: str) -> DataFrame:
-    seen = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    """Parts of which no large line was returned."""
+    seen = table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 25").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, sf, "part").select("p_partkey", "p_name").join(seen, "p_partkey", "left_anti")
 
 
-@query("unmatched_right", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("unmatched_right", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def unmatched_right(spark: SparkSession, sf: str) -> DataFrame:
-    seen = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order."""
+    seen = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf, "customer").select("c_custkey", "c_name").join(seen, "c_custkey", "left_anti")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import checks, scoring
+from ..operators import checks, scoring, sequences
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -34,8 +34,7 @@ SELECT p.a, p.b, CASE WHEN coalesce(u.total, 0) + coalesce(v.total, 0) > 0 THEN
 FROM p LEFT JOIN s u ON u.doc_id = p.a LEFT JOIN s v ON v.doc_id = p.b LEFT JOIN h ON h.a = p.a AND h.b = p.b""")
 def multiset_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Each document and the next one of its source."""
-    after = F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
-    pairs = table(spark, sf, "documents").select(F.col("doc_id").alias("a"), after.alias("b")).where("b IS NOT NULL")
+    pairs = sequences.successors(table(spark, sf, "documents"), "source", "doc_id").select("a", "b")
     counts = _tokens(spark, sf).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
     return scoring.multiset_jaccard(pairs, counts, "a", "b", "doc_id", "token")
 
@@ -92,7 +91,20 @@ SELECT source, target, votes, out_share, in_share FROM r WHERE a = 1 AND b = 1""
 def dominance_votes(spark: SparkSession, sf: str) -> DataFrame:
     after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     pairs = table(spark, sf, "events").select(F.col("event_type").alias("source"), after.alias("target")).where("target IS NOT NULL")
-    return scoring.dominance_votes(pairs, "source", "target")
+    return scoring.dominance_votes(pairs, "source", "target", 0.0, 1)
+
+
+@query("dominance_aligned", """
+WITH v AS (SELECT 'C' || (c_custkey % 400) AS source, 'N' || (CASE WHEN c_custkey % 7 = 0 THEN c_nationkey ELSE c_custkey % 400 END) AS target, count(*) AS votes FROM customer GROUP BY ALL),
+ r AS (SELECT *, round(votes / sum(votes) OVER (PARTITION BY source), 6) AS out_share, round(votes / sum(votes) OVER (PARTITION BY target), 6) AS in_share,
+   row_number() OVER (PARTITION BY source ORDER BY votes DESC, target) AS a, row_number() OVER (PARTITION BY target ORDER BY votes DESC, source) AS b FROM v)
+SELECT source, target, votes, out_share, in_share FROM r WHERE a = 1 AND b = 1 AND out_share >= 0.7 AND in_share >= 0.7 AND votes >= 2""")
+def dominance_aligned(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of customers and their partners, of which one in seven is a stray: both shares and the votes are held against bounds."""
+    group = F.col("c_custkey") % 400
+    partner = F.when(F.col("c_custkey") % 7 == 0, F.col("c_nationkey").cast("long")).otherwise(group)
+    pairs = table(spark, sf, "customer").select(F.concat(F.lit("C"), group.cast("string")).alias("source"), F.concat(F.lit("N"), partner.cast("string")).alias("target"))
+    return scoring.dominance_votes(pairs, "source", "target", 0.7, 2)
 
 
 @query("idf_ranked_literals", f"""WITH {TOKENS}, e AS (SELECT DISTINCT doc_id, token FROM t), d AS (SELECT token, count(*) AS df FROM e GROUP BY 1)
@@ -185,9 +197,12 @@ def bit_flag_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").where((size.bitwiseAND(4) != 0) & F.col("p_type").startswith("ECONOMY")).select("p_partkey", size.bitwiseAND(3).alias("flags"))
 
 
-@query("stable_digest", "SELECT sha256(string_agg(d, ',' ORDER BY d)) AS digest, count(*) AS n FROM (SELECT sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) AS d FROM nation)")
+@query("stable_digest", """
+WITH d AS (SELECT sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || o_orderpriority) AS d FROM orders),
+ b AS (SELECT sha256(string_agg(d, ',' ORDER BY d)) AS d, count(*) AS n FROM d GROUP BY substr(d, 1, 3))
+SELECT sha256(string_agg(d, ',' ORDER BY d)) AS digest, sum(n)::BIGINT AS n FROM b""")
 def stable_digest(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.stable_digest(table(spark, sf, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
+    return checks.stable_digest(table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
 @query("conservation_ledger", """

@@ -39,26 +39,28 @@ def nearest_anchor(spark: SparkSession, sf: str) -> DataFrame:
     return events.select("event_id", before.alias("before"), after.alias("after")).fillna(-1)
 
 
-SIGNUPS = f"i AS (SELECT user_id, event_id AS signup_id, ts AS opened, lead(ts) OVER {W} AS closed FROM events WHERE event_type = 'signup')"
+SIGNUPS = f"i AS (SELECT user_id, event_id AS signup_id, ts AS opened, event_id AS first_id, lead(ts) OVER {W} AS closed FROM events WHERE event_type = 'signup')"
 
 
 @query("point_in_interval", f"WITH {SIGNUPS} SELECT signup_id, count(*) AS n FROM i JOIN events e ON e.user_id = i.user_id AND e.ts >= opened AND (closed IS NULL OR e.ts < closed) GROUP BY 1")
 def point_in_interval(spark: SparkSession, sf: str) -> DataFrame:
-    events, window = _events(spark, sf)
-    spans = events.where("event_type = 'signup'").select(F.col("user_id").alias("owner"), F.col("event_id").alias("signup_id"), F.col("ts").alias("opened"), F.lead("ts").over(window).alias("closed"))
-    inside = (F.col("user_id") == F.col("owner")) & (F.col("ts") >= F.col("opened")) & (F.col("closed").isNull() | (F.col("ts") < F.col("closed")))
-    return events.join(spans, inside).groupBy("signup_id").agg(F.count(F.lit(1)).alias("n"))
+    """Events in the spans between a user's signups: spans that do not overlap, so each event's is the last one opened.
+    Of signups at one moment only the last spans anything."""
+    events, _ = _events(spark, sf)
+    signup = F.when(F.col("event_type") == "signup", F.struct("ts", "event_id"))
+    upto = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.select(F.max(signup).over(upto).alias("span")).where("span IS NOT NULL").groupBy(F.col("span.event_id").alias("signup_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-LIVES = "s AS (SELECT l_orderkey, max(l_shipdate) AS e FROM lineitem GROUP BY 1), v AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS b, e FROM orders JOIN s ON l_orderkey = o_orderkey)"
+LIVES = "s AS (SELECT l_orderkey, max(l_shipdate) AS e FROM lineitem GROUP BY 1), v AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS b, e FROM orders JOIN s ON l_orderkey = o_orderkey WHERE o_orderdate < e)"
 
 
 @query("interval_overlap", f"WITH {LIVES} SELECT x.c AS custkey, count(*) AS overlaps FROM v x JOIN v y ON x.c = y.c AND x.k < y.k AND x.b < y.e AND y.b < x.e GROUP BY 1")
 def interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of a customer's orders that are open at once: one sweep over starts and ends instead of all pairs."""
     ends = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_shipdate").alias("e"))
-    lives = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("custkey"), F.col("o_orderdate").alias("b")).join(ends, "k")
-    other = lives.select(F.col("custkey"), *(F.col(c).alias(f"{c}2") for c in "kbe"))
-    return lives.join(other, "custkey").where("k < k2 AND b < e2 AND b2 < e").groupBy("custkey").agg(F.count(F.lit(1)).alias("overlaps"))
+    lives = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("custkey"), F.col("o_orderdate").alias("b")).join(ends, "k").where("b < e")
+    return sequences.overlapping_pairs(lives, "custkey", "b", "e").where("overlaps > 0")
 
 
 @query("context_frame_signature", "SELECT event_id, concat_ws('>', " + ", ".join(f"coalesce(lag(event_type, {k}) OVER w, '-')" for k in (2, 1, 0, -1, -2)) + f") AS signature FROM events WINDOW w AS {W}")
@@ -107,9 +109,9 @@ def contiguity_check(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.contiguous(table(spark, sf, "conversations"), "conv_id", "turn")
 
 
-@query("dense_ids", "SELECT n_name, 'N_' || lpad(CAST(row_number() OVER (ORDER BY n_name) AS VARCHAR), 6, '0') AS id FROM (SELECT DISTINCT n_name FROM nation)")
+@query("dense_ids", "SELECT o_orderkey, 'N_' || CASE WHEN n >= 1000000 THEN n::VARCHAR ELSE lpad(n::VARCHAR, 6, '0') END AS id FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM (SELECT DISTINCT o_orderkey FROM orders))")
 def dense_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.dense_ids(table(spark, sf, "nation"), "n_name", "N_")
+    return sequences.dense_ids(table(spark, sf, "orders"), "o_orderkey", "N_")
 
 
 @query("first_seen_alias", "SELECT event_type, row_number() OVER (ORDER BY f) AS alias FROM (SELECT event_type, min(row(ts, event_id)) AS f FROM events GROUP BY 1)")
@@ -135,7 +137,7 @@ def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     keys = docs.select("doc_id", F.explode(F.array(F.sha2("text", 256), F.sha2(F.split("text", "\n")[0], 256))).alias("k"))
     firsts = keys.groupBy("k").agg(F.min("doc_id").alias("b"))
-    return graph.components(keys.join(firsts, "k").select(F.col("doc_id").alias("a"), "b"))
+    return graph.components(keys.join(firsts, "k").select(F.col("doc_id").alias("a"), "b").where("a <> b"))
 
 
 @query("degree_profile", "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders, count(*) AS lines FROM lineitem GROUP BY 1")

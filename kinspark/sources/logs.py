@@ -5,11 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.diffing import percent
+from .shared import settled
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line): whole files, split where they are read."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """(file, line_no, line) of the lines that are not empty. Files are split by blocks like any text; a line's number
+    is its place in the order of blocks, so files of any size do for it."""
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("__id"))
+    kept = settled(read, "lines")  # ids rise within a block; they are settled before anything orders by them
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("__id"))
+    sizes = kept.groupBy("file", "block").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = sizes.select("file", "block", F.coalesce(before, F.lit(0)).alias("__before"))
+    return kept.withColumn("__place", place).join(shifts, ["file", "block"]).select("file", (F.col("__before") + F.col("__place") - 1).alias("line_no"), "line")
+
+
+def compared(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """(key, old_n, new_n, shared, resolved, introduced, percent_kept): two frontiers of diagnostics as multisets;
+    nothing to keep counts as all kept."""
+    n = lambda df, name: df.groupBy(*key).agg(F.count(F.lit(1)).alias(name))
+    both = n(old, "old_n").join(n(new, "new_n"), key, "full_outer").fillna(0, ["old_n", "new_n"])
+    shared = F.least("old_n", "new_n")
+    return both.select(*key, "old_n", "new_n", shared.alias("shared"), (F.col("old_n") - shared).alias("resolved"), (F.col("new_n") - shared).alias("introduced"), percent(shared, F.col("old_n"), 100.0).alias("percent_kept"))
 
 
 def records(log: DataFrame, owner: str, order: str, line: str, header: Column) -> DataFrame:

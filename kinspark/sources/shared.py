@@ -53,6 +53,12 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the table behind df, where ``settled`` made it: nothing reads it any more."""
+    if path := getattr(df, "settled_at", None):
+        delete(df.sparkSession, [path])
+
+
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Tables settled inside are deleted at the end, except those appended to the list that

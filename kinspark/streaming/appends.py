@@ -21,11 +21,25 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "1 ho
     return timed.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), F.col("count").alias("n"))
 
 
-def diff_against(builds: DataFrame, known: DataFrame, key: str, digest: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Every arriving build is held against a known one, and the differences are appended at ``path``.
-    Each batch writes its own folder, so that one that runs again replaces itself."""
+def diff_against(builds: DataFrame, known: DataFrame, key: str, digest: str, path: str, checkpoint: str, build: str | None = None) -> StreamingQuery:
+    """Every arriving build is held against a known one, and its differences stand at ``path`` in a folder of its own.
+
+    build: the column that names a row's build (none: all rows are one). A build may arrive in any number of batches: its
+    rows so far are kept beside the checkpoint, and each batch judges the builds that it adds to as a whole and replaces
+    their differences. A batch that runs again replaces its own rows, so nothing is counted twice."""
+    columns = ["__build", key, digest]
 
     def judge(batch: DataFrame, number: int) -> None:
-        outer_diff(known, batch, key, digest).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        named = F.col(build).cast("string") if build else F.lit("all")
+        batch.select(named.alias("__build"), key, digest).write.mode("overwrite").parquet(f"{checkpoint}/builds/batch={number}")
+        rows = spark.read.parquet(f"{checkpoint}/builds").select(*columns)
+        touched = spark.read.parquet(f"{checkpoint}/builds/batch={number}").select("__build").distinct()
+        own = rows.join(F.broadcast(touched), "__build", "left_semi").dropDuplicates(["__build", key])
+        every = known.select(key, digest).join(F.broadcast(touched))  # a row for each build of this batch
+        pair = F.struct("__build", key).alias("__key")
+        found = outer_diff(every.select(pair, digest), own.select(pair, digest), "__key", digest)
+        out = found.select(F.col("__key.__build").alias("build"), F.col(f"__key.{key}").alias(key), "old_digest", "new_digest", "status")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("build").parquet(path)
 
     return builds.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
