@@ -3,7 +3,8 @@
 The pattern of public_tokenizers (contractions, an optional space before
 letters, digits or other marks, runs of white space) becomes rules on classes
 of characters, evaluated over whole batches with numpy. Merges never cross
-pre-tokens, so each distinct one is encoded once and its ids are copied.
+pre-tokens, so each distinct one is encoded once and its ids are copied; the
+memo is found by hash and its characters are compared before ids are copied.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 import pandas as pd
 import regex
 
-from .ragged import Rolling, chunks, take_runs
+from .ragged import chunks, slice_hashes, take_runs
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 CHUNK = 2_000_000
@@ -89,10 +90,14 @@ class Encoder:
     def _reset(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.slot = np.zeros(0, np.int64)
-        self.first = np.zeros(1 << 16, np.int64)
+        self.first = np.zeros(1 << 16, np.int64)  # of a slot's ids in pool
         self.size = np.zeros(1 << 16, np.int64)
+        self.at = np.zeros(1 << 16, np.int64)  # of a slot's characters in spelling
+        self.long = np.zeros(1 << 16, np.int64)
         self.pool = np.zeros(1 << 18, np.uint32)
-        self.filled = 0
+        self.spelling = np.zeros(1 << 19, np.uint32)
+        self.slots_used = self.filled = self.spelled = 0
+        self.others: dict[str, int] = {}  # slots of pre-tokens whose hash another one has
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -101,23 +106,44 @@ class Encoder:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == keys, self.slot[at], -1)
 
-    def _add(self, keys: np.ndarray, tokens: list[str]) -> None:
+    def _store(self, tokens: list[str]) -> np.ndarray:
+        """New slots for pre-tokens."""
         got = self.encode_all(tokens)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        total, old = int(size.sum()), len(self.keys)
+        size, long = (np.fromiter(map(len, x), np.int64, len(x)) for x in (got, tokens))
+        total, letters, old = int(size.sum()), int(long.sum()), self.slots_used
         new = old + len(got)
         while new > len(self.first):
-            self.first, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.size))
+            self.first, self.size, self.at, self.long = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.size, self.at, self.long))
         while self.filled + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.spelled + letters > len(self.spelling):
+            self.spelling = np.concatenate([self.spelling, np.zeros_like(self.spelling)])
         self.pool[self.filled : self.filled + total] = np.fromiter((i for x in got for i in x), np.uint32, total)
-        self.first[old:new] = self.filled + np.cumsum(size) - size
-        self.size[old:new] = size
-        self.filled += total
+        self.spelling[self.spelled : self.spelled + letters] = points_of(tokens)
+        self.first[old:new], self.size[old:new] = self.filled + np.cumsum(size) - size, size
+        self.at[old:new], self.long[old:new] = self.spelled + np.cumsum(long) - long, long
+        self.slots_used, self.filled, self.spelled = new, self.filled + total, self.spelled + letters
+        return np.arange(old, new)
+
+    def _add(self, keys: np.ndarray, tokens: list[str]) -> None:
+        slots = self._store(tokens)
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
         self.keys = np.insert(self.keys, at, keys[order])
-        self.slot = np.insert(self.slot, at, old + order)
+        self.slot = np.insert(self.slot, at, slots[order])
+
+    def _compared(self, slots: np.ndarray, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which of the pre-tokens that tile points are spelt otherwise than their slots."""
+        size = end - start
+        wrong = self.long[slots] != size
+        at = np.where(wrong, 0, self.at[slots])
+        if wrong.any():
+            size = np.where(wrong, 0, size)
+            points = take_runs(points, start, size)
+        differs = np.flatnonzero(take_runs(self.spelling, at, size) != points)
+        if len(differs):
+            wrong[np.searchsorted(np.cumsum(size), differs, "right")] = True
+        return np.flatnonzero(wrong)
 
     def starts(self, points: np.ndarray, lengths: np.ndarray, texts: list[str]) -> np.ndarray:
         """Indexes where pre-tokens begin, with each of ``whole`` as one."""
@@ -142,21 +168,30 @@ class Encoder:
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         end = np.append(start[1:], len(points))
-        codes, keys = pd.factorize(Rolling(points).slices(start, end))
+        codes, keys = pd.factorize(slice_hashes(points.view(np.uint8), 4 * start, 4 * end))
         if len(self.keys) + len(keys) > self.memo:
             self._reset()
+        raw = points.tobytes()
+
+        def spelt(i: int) -> str:
+            return raw[4 * start[i] : 4 * end[i]].decode("utf-32-le")
+
         found = self._find(keys)
         new = np.flatnonzero(found < 0)
         if len(new):
             where = np.empty(len(keys), np.int64)
             where[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw = points.tobytes()
-            tokens = [raw[4 * start[i] : 4 * end[i]].decode("utf-32-le") for i in where[new]]
-            self._add(keys[new], tokens)
+            self._add(keys[new], [spelt(i) for i in where[new]])
             found = self._find(keys)
+        slots = found[codes]
+        for i in self._compared(slots, points, start, end).tolist():
+            token = spelt(i)
+            if token not in self.others:
+                self.others[token] = int(self._store([token])[0])
+            slots[i] = self.others[token]
         edges = np.concatenate([[0], np.cumsum(lengths)])
         counts = np.diff(np.searchsorted(start, edges))
-        return found[codes], counts
+        return slots, counts
 
     def encode(self, texts: list[str]):
         """Yield (ids, first): the ids of some texts joined, and where each text's ids begin and end."""

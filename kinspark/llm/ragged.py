@@ -1,7 +1,9 @@
-"""Numpy helpers for arrays of variable-length runs and for polynomial hashes."""
+"""Numpy helpers for arrays of variable-length runs and for their hashes."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -46,8 +48,55 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES["p"][:n], _TABLES["q"][:n]
 
 
+#: Slices of more bytes than this are hashed one by one.
+LONG = 512
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+
+
+def words_at(values: np.ndarray) -> np.ndarray:
+    """The eight bytes (little-endian) from every byte of an array on; beyond the end are zeros."""
+    padded = np.zeros(values.nbytes + 8, np.uint8)
+    padded[: values.nbytes] = np.ascontiguousarray(values).view(np.uint8)
+    return np.ndarray((values.nbytes + 1,), "<u8", padded, 0, (1,))
+
+
+def slice_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of bytes raw[start:end]. Eight bytes at a time go through a bijective mix,
+    so unlike in a polynomial no pattern within a slice cancels out."""
+    view, size = words_at(raw), end - start
+    h = mix(size.astype(U) * U(_P) + U(1))
+    live = np.arange(len(start))
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        data = memoryview(np.ascontiguousarray(raw))
+        for i in long.tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(data[int(start[i]) : int(end[i])], digest_size=8).digest(), "little")
+        live = np.flatnonzero(size <= LONG)
+    at, left = start[live], size[live]
+    while len(live):
+        h[live] = mix(h[live] ^ (view[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h
+
+
+def combined(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of ``size`` neighbouring hashes."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    factors = mix(np.arange(11, 11 + size, dtype=U)) | U(1)
+    total = hashes[:n] * factors[0]
+    for k in range(1, size):
+        total += hashes[k : k + n] * factors[k]
+    return mix(total + U(size))
+
+
 class Rolling:
-    """64-bit hashes of any slices of one array of small unsigned integers."""
+    """64-bit polynomial hashes of any slices of one array of unsigned integers.
+
+    Modulo 2**64 some patterned slices of a thousand values and more collide whatever the values,
+    so equal hashes of slices are no proof: use them to find what is then compared."""
 
     def __init__(self, values: np.ndarray):
         p, self.q = powers(len(values) + 1)
