@@ -3,8 +3,9 @@
 A byte goes if a string of SPAN bytes that covers it also starts in a document
 with a smaller doc_id. Suffixes are ordered only through SPAN bytes, by passes
 over digits of them from the most significant on (a digit is the 64-bit hash of
-its bytes: only equality counts); a pass keeps what still has an equal, so the
-groups left after the last are exactly the repeated strings.
+its bytes: only equality counts); a pass keeps what still has an equal. In the
+groups left after the last, every string's bytes are compared with the first's,
+so they are exactly the repeated strings.
 
 Sorting every suffix of a corpus would shuffle many times its bytes. So each
 string is filed under one of its GRAM-byte grams (the least by hash, a choice
@@ -21,8 +22,10 @@ What many documents have in common is reduced before it is shuffled: of equal
 strings that one task holds, only that of the smallest doc_id is sent. Equal
 texts are settled apart: all but the smallest doc_id's are repeats as a whole.
 
-Rows travel as compressed arrays of many documents, addressed to parts; the
-number of parts follows the number of shuffle partitions.
+Rows travel as compressed arrays of many documents, addressed to parts. There are
+as many parts as shuffle partitions, but not more than one for PART_BYTES of text, so
+that no row is made for a handful of bytes: a task sends a part one row for every
+HOLD bytes, and a part works through its strings in SHARES, one at a time.
 
 Defined results: null texts count as empty; texts shorter than SPAN stay whole;
 rows without doc_id stay whole and make nothing a repeat; rows of one doc_id
@@ -39,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import Rolling, mix, take_runs
+from .ragged import Rolling, mix, take_runs, words_at
 from .scratch import partitions, ship
 
 SPAN, GRAM = 50, 20
@@ -48,6 +51,8 @@ DIGITS = ((0, 16), (16, 33), (33, 50))
 FLUSH, HOLD = 1_000_000, 16_000_000
 #: Strings of a part are sorted in so many shares, one at a time.
 SHARES = 8
+#: Text that a part has at least.
+PART_BYTES = 1_000_000
 FIRSTS, NOTES, TEXTS, WORK = range(4)
 ROWS = "part int, kind int, blob binary"
 
@@ -115,7 +120,11 @@ class Texts:
         return start, np.searchsorted(self.ends, start, "right"), place, gram[place]
 
 
-def equals(rolling: Rolling, start: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
+#: Places of the eight-byte words that make up SPAN bytes.
+WORDS = (*range(0, SPAN - 8, 8), SPAN - 8)
+
+
+def equals(values: np.ndarray, rolling: Rolling, start: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
     """Whether the string at each start also stands at one of a smaller doc_id: the radix sort."""
     alive, key = np.arange(len(start)), None
     for a, b in DIGITS:
@@ -132,10 +141,23 @@ def equals(rolling: Rolling, start: np.ndarray, doc_ids: np.ndarray) -> np.ndarr
     out = np.zeros(len(start), bool)
     if len(alive):
         order = np.argsort(key)
-        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-        docs = doc_ids[alive[order]]
-        smallest = np.repeat(np.minimum.reduceat(docs, first), np.diff(np.append(first, len(docs))))
-        out[alive[order]] = docs > smallest
+        alive, key = alive[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        docs, at = doc_ids[alive], start[alive]
+        smallest = np.repeat(np.minimum.reduceat(docs, first), size)
+        out[alive] = docs > smallest
+        head = np.repeat(at[first], size)
+        view, differs = words_at(values), np.zeros(len(at), bool)
+        for k in WORDS:
+            differs |= view[at + k] != view[head + k]
+        for g in np.unique(np.repeat(np.arange(len(first)), size)[differs]).tolist():  # strings with one hash
+            own = np.arange(first[g], first[g] + size[g])
+            spelt = [values[i : i + SPAN].tobytes() for i in at[own].tolist()]
+            least: dict[bytes, int] = {}
+            for w, d in zip(spelt, docs[own].tolist(), strict=True):
+                least[w] = min(least.get(w, d), d)
+            out[alive[own]] = [d > least[w] for w, d in zip(spelt, docs[own].tolist(), strict=True)]
     return out
 
 
@@ -279,7 +301,7 @@ def send_grams(docs: DataFrame, parts: int) -> DataFrame:
                 if not held:
                     continue
                 ids = np.array([d for _, d, _ in held], np.int64)
-                sums = np.frombuffer(b"".join(k for k, _, _ in held), "<u4").reshape(-1, 4)[:, 0]
+                sums = np.frombuffer(b"".join(k for k, _, _ in held), "<u8").reshape(-1, 2)[:, 0]
                 grams, owners, done = [], [], 0
                 for some in flushes(((raw,) for _, _, raw in held)):
                     _, text, place, gram = Texts([raw for (raw,) in some]).filed()
@@ -326,10 +348,10 @@ def find_grams(sent: DataFrame, parts: int) -> DataFrame:
             grams, docs, sums, common = [], [], [], []
             for kind, blob in rows:
                 if kind == WORK:
-                    ids, own, count, single, many = spread(blob, "<i8", "<u4", "<u4", "<u4", "<u4")
+                    ids, own, count, single, many = spread(blob, "<i8", "<u8", "<u4", "<u4", "<u4")
                     grams += [single, many]
                     docs += [np.repeat(ids, count), np.full(len(many), -1)]
-                    sums += [np.repeat(own, count), np.zeros(len(many), np.uint32)]
+                    sums += [np.repeat(own, count), np.zeros(len(many), np.uint64)]
                     common += [np.zeros(len(single), bool), np.ones(len(many), bool)]
             if grams:
                 gram, doc, own, many = (np.concatenate(x) for x in (grams, docs, sums, common))
@@ -368,6 +390,21 @@ def send_strings(rows: DataFrame, parts: int) -> DataFrame:
     """Step 2, in the parts of documents: stretches of strings filed under shared grams,
     to the parts of the grams; repeats that are seen here go to their documents at once."""
 
+    def by_part_rows(found: list[tuple[np.ndarray, ...]]) -> list[tuple[int, int, bytes]]:
+        """A row for each part: its stretches by share, and how many each share has."""
+        to, doc, at, count = (np.concatenate(x) for x in list(zip(*found, strict=True))[:4])
+        raw = np.concatenate([x[4] for x in found])
+        size = count.astype(np.int64) + SPAN - 1
+        begin = np.cumsum(size) - size
+        order, out = np.argsort(to, kind="stable"), []
+        to = to[order]
+        edges = np.searchsorted(to, np.arange(parts + 1) * SHARES)
+        for part in np.flatnonzero(np.diff(edges)).tolist():
+            i = order[edges[part] : edges[part + 1]]
+            shares = np.bincount(to[edges[part] : edges[part + 1]] - part * SHARES, minlength=SHARES).astype("<i8")
+            out.append((part, WORK, squeezed(shares, doc[i], at[i], count[i], take_runs(raw, begin[i], size[i]))))
+        return out
+
     def run(batches):
         for _, own in by_part(batches):
             firsts, said, blobs = by_documents(own)
@@ -381,6 +418,8 @@ def send_strings(rows: DataFrame, parts: int) -> DataFrame:
                             firsts[d].discard(key)  # a row that repeats it adds nothing
                             yield d, raw
 
+            found: list[tuple[np.ndarray, ...]] = []
+            gone_doc, gone_runs = [], []
             for held in flushes(wanted()):
                 ids = np.array([d for d, _ in held], np.int64)
                 texts = Texts([raw for _, raw in held])
@@ -394,26 +433,32 @@ def send_strings(rows: DataFrame, parts: int) -> DataFrame:
                 start, text, place, gram = start[keep], text[keep], place[keep], gram[keep]
                 if not len(start):
                     continue
-                gone = equals(texts.rolling, start, ids[text])
-                out = [(p * SHARES, kind, blob) for p, kind, blob in told(start[gone], text[gone], texts, ids, parts)]
+                gone = equals(texts.bytes, texts.rolling, start, ids[text])
+                if gone.any():
+                    doc, runs = told(start[gone], text[gone], texts, ids)
+                    gone_doc.append(doc)
+                    gone_runs.append(runs)
                 start, text, place, gram = start[~gone], text[~gone], place[~gone], gram[~gone]
                 first, count = runs_of(place, text, start=start)
-                at = (gram[first] % np.uint64(parts * SHARES)).astype(np.int64)
-                order, groups = slices_by(at)
-                for part, a, b in groups:
-                    i = order[a:b]
-                    s, n, t = start[first[i]], count[i], text[first[i]]
-                    stretch = take_runs(texts.bytes, s, n + SPAN - 1)
-                    out.append((part, WORK, squeezed(ids[t], (s - texts.starts[t]).astype("<u4"), n.astype("u1"), stretch)))
+                s, t = start[first], text[first]
+                to = (gram[first] % np.uint64(parts * SHARES)).astype(np.int64)
+                found.append((to, ids[t], (s - texts.starts[t]).astype("<u4"), count.astype("u1"), take_runs(texts.bytes, s, count + SPAN - 1)))
+                if sum(len(x[4]) for x in found) >= HOLD:
+                    yield rows_of(by_part_rows(found))
+                    found = []
+            out = by_part_rows(found) if found else []
+            if gone_doc:
+                out += notes(NOTES, np.concatenate(gone_doc), np.concatenate(gone_runs), parts)
+            if out:
                 yield rows_of(out)
 
     return rows.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, ROWS)
 
 
-def told(start: np.ndarray, text: np.ndarray, texts: Texts, ids: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
+def told(start: np.ndarray, text: np.ndarray, texts: Texts, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and runs (first start, how many) of repeated strings."""
     first, count = runs_of(text, start=start)
-    at = start[first] - texts.starts[text[first]]
-    return notes(NOTES, ids[text[first]], np.stack([at, count], 1), parts)
+    return ids[text[first]], np.stack([start[first] - texts.starts[text[first]], count], 1)
 
 
 def find_strings(sent: DataFrame, parts: int) -> DataFrame:
@@ -421,22 +466,31 @@ def find_strings(sent: DataFrame, parts: int) -> DataFrame:
 
     def run(batches):
         for part, rows in by_part(batches):
-            out = [(part // SHARES, NOTES, blob) for kind, blob in rows if kind == NOTES]
-            found = [spread(blob, "<i8", "<u4", "u1", "u1") for kind, blob in rows if kind == WORK]
-            if found:
-                docs, at, count, raw = (np.concatenate(x) for x in zip(*found, strict=True))
+            out = [(part, NOTES, blob) for kind, blob in rows if kind == NOTES]
+            work = [spread(blob, "<i8", "<i8", "<u4", "u1", "u1") for kind, blob in rows if kind == WORK]
+            ends = [np.concatenate([[0], np.cumsum(x[0])]) for x in work]  # of shares in stretches
+            bytes_ = [np.concatenate([[0], np.cumsum(x[3].astype(np.int64) + SPAN - 1)])[e] for x, e in zip(work, ends, strict=True)]
+            gone_doc, gone_runs = [], []
+            for share in range(SHARES) if work else ():
+                docs, at, count = (np.concatenate([x[k][e[share] : e[share + 1]] for x, e in zip(work, ends, strict=True)]) for k in (1, 2, 3))
+                raw = np.concatenate([x[4][e[share] : e[share + 1]] for x, e in zip(work, bytes_, strict=True)])
+                if not len(docs):
+                    continue
                 count = count.astype(np.int64)
                 size = count + SPAN - 1
                 begin = np.cumsum(size) - size
                 step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                gone = equals(Rolling(raw), np.repeat(begin, count) + step, np.repeat(docs, count))
+                gone = equals(raw, Rolling(raw), np.repeat(begin, count) + step, np.repeat(docs, count))
                 doc, start = np.repeat(docs, count)[gone], (np.repeat(at, count) + step)[gone]
                 first, n = runs_of(doc, start=start)
-                out += notes(NOTES, doc[first], np.stack([start[first], n], 1), parts)
+                gone_doc.append(doc[first])
+                gone_runs.append(np.stack([start[first], n], 1))
+            if gone_doc:
+                out += notes(NOTES, np.concatenate(gone_doc), np.concatenate(gone_runs), parts)
             if out:
                 yield rows_of(out)
 
-    return sent.repartitionById(parts, F.floor(F.col("part") / SHARES).cast("int")).sortWithinPartitions("part").mapInArrow(run, ROWS)
+    return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(run, ROWS)
 
 
 def covered(runs: list[np.ndarray], size: int) -> tuple[np.ndarray, int]:
@@ -453,9 +507,10 @@ def covered(runs: list[np.ndarray], size: int) -> tuple[np.ndarray, int]:
 def gathered(whole: DataFrame, carry: bool = False) -> tuple[DataFrame, int]:
     """Texts, firsts and starts of repeated strings, by part."""
     spark = whole.sparkSession
-    parts = partitions(spark)
     ship(spark)
     docs = whole.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, min(partitions(spark), size // PART_BYTES))
     firsts = first_of_each(docs, parts)
     grams = find_grams(send_grams(docs, parts), parts)
     starts = find_strings(send_strings(firsts.union(grams).union(addressed(docs, parts)), parts), parts)

@@ -1,36 +1,12 @@
-"""The package on the executors, intermediate tables, and the number of shuffle partitions."""
+"""What the corpus operators take from the rest of the package, and the number of shuffle partitions."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import SparkSession
 
-from ..sources.shared import settled, shared_folder
-
-__all__ = ["partitions", "settled", "shared_folder", "ship"]
-
-_ROOT = Path(__file__).resolve().parents[2]
-_SHIPPED: set[str] = set()
-
+from ..sources.shared import passing, settled, shared_folder, ship
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless PYTHONPATH has it already."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED or str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    package = Path(tempfile.mkdtemp()) / "kinspark.zip"
-    with zipfile.ZipFile(package, "w") as z:
-        for path in sorted((_ROOT / "kinspark").rglob("*.py")):
-            z.write(path, path.relative_to(_ROOT))
-    spark.sparkContext.addPyFile(str(package))
-    atexit.register(shutil.rmtree, package.parent, ignore_errors=True)
-    _SHIPPED.add(app)
+__all__ = ["partitions", "passing", "settled", "shared_folder", "ship"]
 
 
 def partitions(spark: SparkSession) -> int:
