@@ -1,39 +1,13 @@
-"""Connected components of an edge table by hooking and contraction."""
+"""Connected components of document links: the package's own, on doc_ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import settled
+from ..operators import graph
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, component) for every vertex of edges (a, b); component is the smallest vertex reached.
-
-    In each round every vertex hooks to its smallest neighbour if that is
-    smaller, chains of hooks are shortened, and edges move to what their ends
-    hooked to; edges inside one vertex vanish. Each round's tables go to the
-    shared folder, and the rounds end when no edge is left.
-    """
-    edges = settled(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), "edges")
-    found = None
-    while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        hooks = both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("to"))
-        for _ in range(2):
-            hooks = settled(hooks, "hooks")
-            further = hooks.select(F.col("v").alias("to"), F.col("to").alias("further"))
-            hooks = hooks.join(further, "to", "left").select("v", F.coalesce("further", "to").alias("to"))
-        hooks = settled(hooks, "hooks")
-        step = hooks.select(F.col("v").alias("component"), F.col("to").alias("next"))
-        if found is None:
-            found = hooks.select("v", F.col("to").alias("component"))
-        else:
-            found = found.join(step, "component", "left").select("v", F.coalesce("next", "component").alias("component"))
-        a, b = (hooks.select(F.col("v").alias(k), F.col("to").alias(f"{k}_to")) for k in ("a", "b"))
-        moved = edges.join(a, "a").join(b, "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
-        edges = settled(moved.where("a <> b").distinct(), "edges")
-    if found is None:
-        return edges.select(F.col("a").alias("v"), F.col("b").alias("component"))
-    return settled(found, "components")
+    """(v, component) for every vertex that an edge (a, b) joins to another; component is the smallest vertex reached."""
+    return graph.components(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")))

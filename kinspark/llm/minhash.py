@@ -6,16 +6,24 @@ hash evaluations give twice as many signature values; two values of two
 permutations each make a band.
 
 1. Equal sets are one class, held by its smallest doc_id.
-2. Classes that share a band are compared by eight bits of each signature value;
-   those that agree in AGREE or more become candidates, and candidates that hang
-   together become clusters. A pair over the threshold misses all bands with a
-   probability of about (1 - 0.85**4)**16 < 1e-5.
-3. In each cluster, pairs are confirmed on full sets rebuilt from the texts,
-   unless confirmed links join them already. Large buckets and clusters are cut
-   into chunks, and pairs of chunks are work items of bounded size, so nothing
-   is capped.
+2. Every class is held against the first class of its buckets (bands in common) that
+   agrees best with it in eight bits of each signature value, and the link is confirmed
+   on full sets rebuilt from the texts. Each text is sent once for that, and a group of
+   copies of any size becomes one component, or one and some stragglers.
+3. Buckets that still hold more than one component are searched whole: classes of
+   different components that agree in AGREE values or more become candidates, and
+   candidates that hang together become clusters. In each cluster, pairs of different
+   components are confirmed on full sets. Large buckets and clusters are cut into chunks
+   that are taken two by two, chunks of the largest component only with others, so
+   nothing is capped and n copies with k stragglers are n + k * n / chunk rows.
+   A pair over the threshold misses all bands with a probability of about
+   (1 - 0.85**4)**16 < 1e-5.
 4. Confirmed links give the components.
 
+Shingles are 64-bit hashes of their words' hashes; a class is the 128-bit hash of its
+shingles (of the words themselves where it has one shingle only, as two such sets that
+differ are never linked).
+
 Defined results: null, empty and blank texts have no set and are linked with
 nothing (component_id is their doc_id); rows without doc_id take no part (no
 component, kept); rows that repeat a doc_id share its component; an empty table
@@ -33,8 +41,8 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .packing import texts_of
-from .ragged import Rolling, chunks, mix
-from .scratch import partitions, settled, ship
+from .ragged import chunks, combined, mix, slice_hashes
+from .scratch import partitions, passing, settled, ship
 
 WORDS, PERCENT = 5, 85
 PERMUTATIONS, PER_BAND = 32, 2
@@ -56,20 +64,26 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
         word = values != 32
         edge = np.flatnonzero(np.diff(word.astype(np.int8), prepend=0, append=0))
         start, end = edge[::2], edge[1::2]
-        hashes = Rolling(values).slices(start, end)
-        row = Rolling(hashes)
-        windows = row.windows(words)
+        hashes = slice_hashes(values, start, end)
+        windows = combined(hashes, words)
         at = np.searchsorted(start, np.concatenate([[0], np.cumsum(size)])).tolist()
         for s, e in zip(at, at[1:], strict=False):
             if e - s >= words:
                 out.append(np.unique(windows[s : e - words + 1]))
             elif e > s:
-                out.append(row.slices(np.array([s]), np.array([e])))
+                out.append(combined(hashes[s:e], e - s))
             else:
                 out.append(np.zeros(0, np.uint64))
     return out
 
 
+def class_of(text: str, shingles: np.ndarray) -> bytes:
+    """128 bits that equal sets share."""
+    if len(shingles) == 1:
+        return hashlib.md5(b" ".join(text.encode().translate(_PLAIN).split()[:WORDS])).digest()
+    return hashlib.md5(shingles.tobytes()).digest()
+
+
 def min_max(shingles: np.ndarray) -> np.ndarray:
     """Smallest and largest value under each permutation: an array (PERMUTATIONS, 2)."""
     low = np.full(PERMUTATIONS, np.iinfo(np.uint64).max)
@@ -91,7 +105,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             sizes, classes, sketches, bands = [], [], [], []
-            for s in shingle_sets(texts_of(batch)):
+            texts = texts_of(batch)
+            for text, s in zip(texts, shingle_sets(texts), strict=True):
                 sizes.append(len(s))
                 if not len(s):
                     classes.append(None)
@@ -99,7 +114,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     bands.append(None)
                     continue
                 values = mix(min_max(s))
-                classes.append(hashlib.md5(s.tobytes()).digest())
+                classes.append(class_of(text, s))
                 sketches.append(values.astype(np.uint8).tobytes())
                 bands.append(mix((values.reshape(BANDS, -1) * places).sum(1) + numbers).view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -135,8 +150,8 @@ class Forest:
         return True
 
 
-def alike(group: np.ndarray, side: np.ndarray, only_across: np.ndarray, sketches: np.ndarray, least: int = AGREE):
-    """Pairs of places in one group (rows in group order) whose sketches agree, with their agreement."""
+def alike(group: np.ndarray, side: np.ndarray, only_across: np.ndarray, joined: np.ndarray, sketches: np.ndarray, least: int = AGREE):
+    """Pairs of places in one group (rows in group order), not joined yet, whose sketches agree, with their agreement."""
     left, right, score = [], [], []
     size = np.bincount(group) if len(group) else np.zeros(1, int)
     member = size[group]
@@ -145,7 +160,7 @@ def alike(group: np.ndarray, side: np.ndarray, only_across: np.ndarray, sketches
         i = np.flatnonzero(rest > step)
         if not len(i):
             break
-        i = i[~only_across[i] | (side[i] != side[i + step])]
+        i = i[(~only_across[i] | (side[i] != side[i + step])) & (joined[i] != joined[i + step])]
         for k in range(0, len(i), 1 << 16):
             p = i[k : k + (1 << 16)]
             n = (sketches[p] == sketches[p + step]).sum(1)
@@ -182,86 +197,141 @@ def numbered(rows: list[tuple], n: int):
     return group, list(zip(*rows, strict=True))
 
 
-def in_chunks(rows: DataFrame, key: str, sizes: DataFrame, most: int) -> DataFrame:
-    """Rows with work items (key, lo, hi): chunks of a key's rows, of about ``most`` rows each,
-    taken two by two. ``across``: the two differ; ``side``: which one a row is of."""
-    rows = rows.join(sizes.select(key, F.ceil(F.col("count") / most).alias("parts")), key)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    return rows.select(
-        key,
-        F.least("own", "other").alias("lo"),
-        F.greatest("own", "other").alias("hi"),
-        (F.col("own") <= F.col("other")).alias("side"),
-        (F.col("own") != F.col("other")).alias("across"),
-        "rep",
-        "sketch",
-        *(c for c in ("text",) if c in rows.columns),
-    )
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) that join classes of one bucket with agreeing sketches."""
+def in_chunks(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows (key, rep, comp) of keys that hold several components, with work items (key, lo, hi):
+    chunks of a key's rows, of about ``most`` rows each, taken two by two; chunks of the key's
+    largest component are only taken with others. ``across``: the two differ; ``side``: which one a row is of."""
+    top = F.max(F.struct("count", F.col("comp").alias("large")))
+    sizes = rows.groupBy(key, "comp").count().groupBy(key).agg(F.count("comp").alias("comps"), F.sum("count").alias("all"), top.alias("top")).where("comps > 1")
+    sizes = sizes.select(key, "top.large", F.ceil(F.col("top.count") / most).alias("heavy"), F.ceil((F.col("all") - F.col("top.count")) / most).alias("light"))
+    rows = rows.join(sizes, key)
+    draw = F.xxhash64("rep")
+    in_large = F.col("comp") == F.col("large")
+    rows = rows.withColumn("own", F.when(in_large, F.col("light") + F.pmod(draw, F.col("heavy"))).otherwise(F.pmod(draw, F.col("light"))))
+    others = F.when(in_large, F.col("light")).otherwise(F.col("light") + F.col("heavy"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
+    side, across = F.col("own") <= F.col("other"), F.col("own") != F.col("other")
+    return rows.select(key, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), across.alias("across"), "rep", "comp")
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of different classes reach the threshold."""
+    small, large = sorted((len(x), len(y)))
+    if small < 2 or 100 * small < PERCENT * large:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (small + large - both)
+
+
+def edge_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def starred(texts: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """Links (a, b) of classes with the first class of a bucket, at most one a class."""
     spark = classes.sparkSession
-    rows = classes.select("rep", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").count().where("count > 1")
-    shared = settled(rows.join(sizes, "bucket"), "buckets")
-    work = in_chunks(shared.select("bucket", "rep").join(classes.select("rep", "sketch"), "rep"), "bucket", shared.select("bucket", "count").distinct(), BUCKET_ROWS)
+    sketch = classes.select("rep", "sketch")
+    pairs = shared.where("rep <> pivot").select("rep", "pivot").distinct().join(sketch, "rep").join(sketch.toDF("pivot", "pivot_sketch"), "pivot")
+
+    def agreement(batches):
+        for batch in batches:
+            own, first = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch", "pivot_sketch"))
+            n = (own == first).sum(1)
+            hit = pa.array(n >= AGREE)
+            found = pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("pivot"), pa.array(n.astype(np.int32))], ["rep", "pivot", "agree"])
+            yield found.filter(hit)
+
+    agreeing = pairs.mapInArrow(agreement, "rep long, pivot long, agree int")
+    best = agreeing.groupBy("rep").agg(F.max(F.struct("agree", (-F.col("pivot")).alias("nearest"))).alias("best"))
+    best = settled(best.select("rep", (-F.col("best.nearest")).alias("pivot")), "stars")
+    sizes = best.groupBy("pivot").agg(F.ceil(F.count("rep") / CLUSTER_ROWS).alias("parts"))
+    members = best.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), "rep")
+    heads = sizes.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("rep"))
+    work = members.unionByName(heads).join(texts, "rep")
+    keys = ["pivot", "part"]
+
+    def run(batches):
+        for group, cols in whole_groups(batches, keys, ["rep", "text"]):
+            pivot, _, rep, text = cols
+            sets = shingle_sets([t or "" for t in text])
+            heads = {int(group[i]): i for i in range(len(rep)) if rep[i] == pivot[i]}
+            yield edge_batch([(pivot[i], rep[i]) for i in range(len(rep)) if rep[i] != pivot[i] and similar(sets[i], sets[heads[int(group[i])]])])
+
+    return work.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def candidates(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """Edges (a, b) that join classes of one bucket with agreeing sketches, in different components."""
+    spark = classes.sparkSession
+    work = in_chunks(shared.select("bucket", "rep", "comp"), "bucket", BUCKET_ROWS).join(classes.select("rep", "sketch"), "rep")
     keys = ["bucket", "lo", "hi"]
 
     def run(batches):
-        for group, cols in whole_groups(batches, keys, ["side", "across", "rep", "sketch"]):
-            side, across, rep = (np.array(c) for c in cols[3:6])
-            sketches = np.frombuffer(b"".join(cols[6]), np.uint8).reshape(len(rep), -1)
-            left, right, _ = alike(group, side, across, sketches)
+        for group, cols in whole_groups(batches, keys, ["side", "across", "rep", "comp", "sketch"]):
+            side, across, rep, comp = (np.array(c) for c in cols[3:7])
+            sketches = np.frombuffer(b"".join(cols[7]), np.uint8).reshape(len(rep), -1)
+            left, right, _ = alike(group, side, across, comp, sketches)
             forest = Forest()
             seen = [x for a, b in zip(rep[left].tolist(), rep[right].tolist(), strict=True) if forest.join(a, b) for x in (a, b)]
-            a = pa.array(seen, pa.int64())
-            yield pa.RecordBatch.from_arrays([a, pa.array([forest.root(x) for x in seen], pa.int64())], ["a", "b"])
+            yield edge_batch([(x, forest.root(x)) for x in seen])
 
     return work.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Links (a, b) between classes of a cluster with similar sets, enough of them to join all that are linked."""
-    spark = docs.sparkSession
-    rows = clusters.select(F.col("v").alias("rep"), F.col("component").alias("cluster"))
-    sizes = rows.groupBy("cluster").count()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    rows = rows.join(classes.select("rep", "sketch"), "rep").join(texts, "rep")
-    work = in_chunks(rows, "cluster", sizes, CLUSTER_ROWS)
+def confirmed(texts: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of a cluster (rep, cluster, comp) with similar sets, enough of them to join all that are linked."""
+    spark = classes.sparkSession
+    work = in_chunks(clusters, "cluster", CLUSTER_ROWS).join(classes.select("rep", "sketch"), "rep").join(texts, "rep")
     keys = ["cluster", "lo", "hi"]
 
     def run(batches):
-        for group, cols in whole_groups(batches, keys, ["side", "across", "rep", "sketch", "text"]):
-            side, across, rep = (np.array(c) for c in cols[3:6])
-            sketches = np.frombuffer(b"".join(cols[6]), np.uint8).reshape(len(rep), -1)
-            left, right, score = alike(group, side, across, sketches)
-            sets = shingle_sets([t or "" for t in cols[7]])
+        for group, cols in whole_groups(batches, keys, ["side", "across", "rep", "comp", "sketch", "text"]):
+            side, across, rep, comp = (np.array(c) for c in cols[3:7])
+            sketches = np.frombuffer(b"".join(cols[7]), np.uint8).reshape(len(rep), -1)
+            left, right, score = alike(group, side, across, comp, sketches)
+            sets = shingle_sets([t or "" for t in cols[8]])
             forest, links = Forest(), []
             for k in np.argsort(-score, kind="stable").tolist():
-                x, y = sets[left[k]], sets[right[k]]
-                a, b = int(rep[left[k]]), int(rep[right[k]])
-                if forest.root(a) == forest.root(b) or 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                i, j = left[k], right[k]
+                a, b = int(comp[i]), int(comp[j])
+                if forest.root(a) != forest.root(b) and similar(sets[i], sets[j]):
                     forest.join(a, b)
-                    links.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+                    links.append((int(rep[i]), int(rep[j])))
+            yield edge_batch(links)
 
     return work.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
+def with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (rep) with comp: the component found so far, or else rep itself."""
+    return rows.join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+
+def joined_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(v, component) of the classes (rep, sketch, bands) that are linked with another."""
+    rows = classes.select("rep", F.explode("bands").alias("bucket"))
+    firsts = rows.groupBy("bucket").agg(F.count("rep").alias("count"), F.min("rep").alias("pivot")).where("count > 1")
+    shared = settled(rows.join(firsts, "bucket").select("bucket", "rep", "pivot"), "buckets")
+    members = settled(shared.select("rep").distinct(), "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    texts = settled(texts.join(members, "rep", "left_semi"), "texts")  # those that may be compared, read twice
+    stars = settled(starred(texts, classes, shared), "links")
+    found = components(stars)
+    clusters = components(candidates(classes, with_components(shared, found)))
+    clusters = with_components(clusters.select(F.col("v").alias("rep"), F.col("component").alias("cluster")), found)
+    return components(stars.union(confirmed(texts, classes, clusters)))
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    signed = settled(signatures(docs), "signatures")
-    known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = known.groupBy("class").agg(F.min("doc_id").alias("rep"))
-    own = known.join(reps.withColumnRenamed("rep", "doc_id"), ["class", "doc_id"], "left_semi").dropDuplicates(["class", "doc_id"])
-    classes = settled(own.select("class", F.col("doc_id").alias("rep"), "sketch", "bands"), "classes")
-    clusters = components(candidates(classes))
-    found = components(confirmed(docs, classes, clusters))
+    with passing(docs.sparkSession) as kept:
+        signed = settled(signatures(docs), "signatures")
+        known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        reps = known.groupBy("class").agg(F.min("doc_id").alias("rep"))
+        own = known.join(reps.withColumnRenamed("rep", "doc_id"), ["class", "doc_id"], "left_semi").dropDuplicates(["class", "doc_id"])
+        classes = settled(own.select("class", F.col("doc_id").alias("rep"), "sketch", "bands"), "classes")
+        found = joined_classes(docs, classes)
+        kept += [signed, classes, found]
     of_class = classes.select("class", "rep").join(found.withColumnRenamed("v", "rep"), "rep", "left")
     of_class = of_class.select("class", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
