@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..operators.graph import rooted
+
+__all__ = ["components", "rooted"]
 
 
 def components(edges: DataFrame) -> DataFrame:

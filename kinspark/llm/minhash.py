@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, rooted
 from .packing import texts_of
 from .ragged import chunks, combined, mix, slice_hashes
 from .scratch import partitions, passing, settled, ship
@@ -308,18 +308,24 @@ def with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def joined_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(v, component) of the classes (rep, sketch, bands) that are linked with another."""
+    """(v, component) of the classes (rep, sketch, bands) that are linked with another, but for roots of
+    components that nothing else was joined to."""
     rows = classes.select("rep", F.explode("bands").alias("bucket"))
     firsts = rows.groupBy("bucket").agg(F.count("rep").alias("count"), F.min("rep").alias("pivot")).where("count > 1")
     shared = settled(rows.join(firsts, "bucket").select("bucket", "rep", "pivot"), "buckets")
     members = settled(shared.select("rep").distinct(), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     texts = settled(texts.join(members, "rep", "left_semi"), "texts")  # those that may be compared, read twice
-    stars = settled(starred(texts, classes, shared), "links")
-    found = components(stars)
+    # A star's links go from a class to a smaller one, at most one each: a forest already.
+    stars = settled(starred(texts, classes, shared).select(F.col("b").alias("v"), F.col("a").alias("to")), "links")
+    found = rooted(stars).withColumnRenamed("to", "component")
     clusters = components(candidates(classes, with_components(shared, found)))
     clusters = with_components(clusters.select(F.col("v").alias("rep"), F.col("component").alias("cluster")), found)
-    return components(stars.union(confirmed(texts, classes, clusters)))
+    ends = [found.select(F.col("v").alias(k), F.col("component").alias(f"{k}_root")) for k in "ab"]
+    links = confirmed(texts, classes, clusters).join(ends[0], "a", "left").join(ends[1], "b", "left")
+    merged = components(links.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    lifted = found.join(merged.select(F.col("v").alias("component"), F.col("component").alias("final")), "component", "left")
+    return settled(lifted.select("v", F.coalesce("final", "component").alias("component")).unionByName(merged), "components")
 
 
 def linked(docs: DataFrame) -> DataFrame:
