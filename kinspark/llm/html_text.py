@@ -5,20 +5,25 @@ block-level tags, each with the number of tags since the line before. The
 text-to-tag ratios of the lines are smoothed with a Gaussian kernel, and a
 threshold (their standard deviation) separates content lines from the rest; the
 few largest ratios and lengths are cut to the next one first, so that an outlier
-moves neither. The region that holds most of the text of content lines (an article
-or main element; without one, the smallest container with most of it, whole, and
-the content lines elsewhere) is the main text, less what stands in menus, headers,
-footers, sidebars, notices, adverts, forms, comments or hidden elements inside it.
+moves neither. The region that holds most of the text of content lines is the main
+text: articles and main elements, or without them the smallest container with most of
+it, whole, and the content lines elsewhere. A page without a content line has none.
 
-Forms and blocks with telling class names are skipped only when the whole page is
+Structure is evidence beside the ratios. Menus, headers, footers, sidebars, notices,
+adverts, forms, comments and hidden elements go where tags or roles say so, or where
+all parts of a class name or id do (cookie-notice, but not legal-basis). A name that only
+begins so, and a block that is mostly links, go if most of their text is not content
+by its ratio. Short lines of a region, headings and items, stay whatever their ratio.
+
+Forms and blocks with telling names are skipped only when the whole page is
 known: one that encloses a region no lighter than those outside, or (with no
 region outside) most of the page's text, is a wrapper of the page and counts as
 not skipped. All regions are kept whole, unless they hold less than half of the
 content; then the container is looked for as if there were none, and they are kept beside it.
 
-Defined results: null and empty pages have empty text; cut-off markup at the end
-is dropped, cut-off text kept; null ids and urls and repeated rows are kept;
-other columns are ignored.
+Defined results: null and empty pages have empty text; a tag that the end of the page cuts
+off within its name or attributes is dropped, any other text after the last "<" is kept; null
+ids and urls and repeated rows are kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,6 +58,10 @@ HINTS = re.compile(
     r"popup|modal|overlay|nav\w*|menus?|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommended|comments?|commentlist|respond|replies|reply|disqus|"
     r"login|signin|signup|search\w*|widgets?|toolbar|pagination|pager|skip|copyright|legal|outbrain|taboola)$"
 )
+#: Parts of names that say where or how a block stands, not what it holds.
+NEUTRAL = frozenset(
+    "area bar block body bottom box buttons center col column container footer global group holder home icons inner item items layer left links list main mobile module outer page panel posts primary right row section secondary site slot space top unit view wrap wrapper zone".split()
+)
 REMARKS = re.compile(r"^(comments?|commentlist|respond|replies|reply|disqus|related|recommended)$")
 NEGATED = frozenset("has have no not with without is hide show".split())
 TITLED = frozenset("entry post article page content story main section blog".split())
@@ -61,29 +70,46 @@ HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 REGIONS = frozenset(["article", "main"])
 PARAGRAPHS = HEADINGS | frozenset("p pre blockquote li dt dd figure figcaption address".split())  # no containers
 SIGMA, RADIUS = 1.0, 2
+NEAR = 3
 SPACES = re.compile(r"\s+")
-CUT_OFF = re.compile(r"<[/!?]?[a-zA-Z][^<>]*$|<[/!?]?$|<!-[^>]*$")
+#: A tag that the page's end cuts off: its name and any number of attributes, the last of them unfinished.
+CUT_OFF = re.compile(r"""<(?:[/!?]?[a-zA-Z][^\s<>/]*(?:\s+[^\s<>"'=/]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))*(?:\s+[^\s<>"'=/]*(?:\s*=\s*(?:"[^"<>]*|'[^'<>]*|[^\s"'<>]*))?)?\s*/?|[/!?]?|!-[^>]*)$""")
+LAST_OPEN = re.compile(r"<(?=[^<>]*$)")
+
 
+def ended(html: str) -> str:
+    """The page without a tag that its end cuts off; a last "<" that begins none is text."""
+    cut = CUT_OFF.sub("", html)
+    return LAST_OPEN.sub("&lt;", cut) if len(cut) == len(html) else cut
 
-def hints(value: str) -> list[str]:
-    """The words of a class or id that tell a block to skip: a name as a whole, its first part, or its second
-    unless that says what the block has (has-sidebar) or heads (entry-header)."""
-    found = []
+
+def hints(value: str) -> tuple[list[str], list[str]]:
+    """Names of a class or id that tell a block to skip: those whose parts all do or are neutral, and those that
+    only begin so. Not those that say what a block has (has-sidebar) or heads (entry-header)."""
+    sure, likely = [], []
     for name in value.split():
-        first, *rest = re.split(r"[-_]+", name)[:2]
-        second = [x for x in rest if first not in NEGATED and not (x == "header" and first in TITLED)]
-        found += [x for x in (name, first, *second) if HINTS.match(x)]
-    return found
+        parts = [x for x in re.split(r"[-_\d]+", name) if x]
+        told = [x for x in parts if HINTS.match(x)]
+        if not told and not HINTS.match(name) or parts[0] in NEGATED or parts[-1] == "header" and parts[0] in TITLED:
+            continue
+        if HINTS.match(name) or all(x in NEUTRAL or HINTS.match(x) for x in parts):
+            sure += [name, *told]
+        elif HINTS.match(parts[0]):
+            likely += told
+    return sure, likely
 
 
 class Lines(HTMLParser):
-    """Events to lines: (text, tags, link characters, enclosing containers, enclosing ones that may be skipped)."""
+    """Events to lines: (text, tags, link characters, enclosing containers, enclosing ones that may be skipped);
+    ``hinted`` containers are skipped if their lines are not content, and ``blocks`` if they are links besides."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, bool, bool]] = []  # tag, container number, region, skipped, may be skipped
         self.lines: list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]] = []
         self.remarks: set[int] = set()
+        self.blocks: set[int] = set()
+        self.hinted: set[int] = set()
         self.regions: dict[int, str] = {}
         self.paragraphs: set[int] = set()
         self.text: list[str] = []
@@ -97,24 +123,26 @@ class Lines(HTMLParser):
             self.tags = 0
         self.text, self.links = [], 0
 
-    def skipped(self, tag: str, attrs: list) -> tuple[bool, list[str]]:
-        """Whether an element is skipped, and else the hints that it may be."""
+    def skipped(self, tag: str, attrs: list) -> tuple[bool, list[str], list[str]]:
+        """Whether an element is skipped, else the hints that it may be, and weaker ones."""
         if tag in SKIPPED:
-            return True, []
+            return True, [], []
         inside = any(region for _, _, region, *_ in self.open)
         if tag == "header":
-            return not inside, []
-        found = [tag] if tag in WRAPPERS else []
+            return not inside, [], []
+        found, likely = [tag] if tag in WRAPPERS else [], []
         for name, value in attrs:
             value = (value or "").lower()
             if name in ("class", "id"):
                 if tag not in ("body", "html", "main"):
-                    found += hints(value)
+                    more, weaker = hints(value)
+                    found += more
+                    likely += weaker
             elif name == "role" and value in ("form", "search"):
                 found.append(value)
             elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display:\s*none|visibility:\s*hidden", value):
-                return True, []
-        return bool(found) and tag in INLINE, found
+                return True, [], []
+        return bool(found) and tag in INLINE, found, likely
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
@@ -126,11 +154,11 @@ class Lines(HTMLParser):
                 self.open.pop()
             if self.open and any(t == "p" for t, *_ in self.open[-4:]) and tag in CLOSED_BY["p"]:
                 self.handle_close("p")
-        self.tags += 1
+        within = bool(self.open) and self.open[-1][3]
+        self.tags += not within  # those of what is skipped say nothing about the line after it
         if tag in VOID:
             return
-        within = bool(self.open) and self.open[-1][3]
-        skip, found = (True, []) if within else self.skipped(tag, attrs)
+        skip, found, likely = (True, [], []) if within else self.skipped(tag, attrs)
         number = 0
         region = tag in REGIONS or any(n == "role" and v == "main" or n == "itemprop" and v == "articleBody" for n, v in attrs)
         if tag not in INLINE:
@@ -142,6 +170,10 @@ class Lines(HTMLParser):
                 self.regions[number] = tag
             if any(map(REMARKS.match, found)):
                 self.remarks.add(number)
+            if likely:
+                self.hinted.add(number)
+            elif tag not in PARAGRAPHS:
+                self.blocks.add(number)
         self.open.append((tag, number, region, skip, bool(number and found)))
         self.anchors += tag == "a"
 
@@ -158,7 +190,7 @@ class Lines(HTMLParser):
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
+        self.tags += not self.open or not self.open[-1][3]
         if tag not in INLINE:
             self.end_line()
         self.handle_close(tag)
@@ -208,31 +240,46 @@ def unskipped(parser: Lines) -> list[tuple]:
             spared.update(blocks)
     if not outside:
         spared |= {n for n in doubtful if size[n] > total * (0.9 if n in parser.remarks else 0.5)}
-    kept, tags = [], 0
-    for text, own, links, path, maybe in parser.lines:
-        tags += own
-        if spared.issuperset(maybe):
-            kept.append((text, tags, links, path, ()))
-            tags = 0
-    return kept
+    return [line for line in parser.lines if spared.issuperset(line[4])]
+
+
+def struck(parser: Lines, lines: list[tuple], content: np.ndarray, fair: np.ndarray, region: int) -> set[int]:
+    """Containers to leave out: hinted ones most of whose text is not in fair lines, and blocks of links most of
+    whose text is not content."""
+    size: dict[int, int] = {}
+    good: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    for (text, _, links, path, _), by_ratio, near in zip(lines, content.tolist(), fair.tolist(), strict=True):
+        for n in path:
+            size[n] = size.get(n, 0) + len(text)
+            good[n] = good.get(n, 0) + len(text) * (near if n in parser.hinted else by_ratio)
+            linked[n] = linked.get(n, 0) + links
+    poor = {n for n in size if 2 * good[n] < size[n] and n not in parser.regions and n != region}
+    return {n for n in poor if n in parser.hinted or n in parser.blocks and linked[n] > 0.6 * size[n]}
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = Lines()
-    html = CUT_OFF.sub("", html)
-    parser.feed(html)
+    parser.feed(ended(html))
     parser.close()
     parser.end_line()
     lines = unskipped(parser)
     if not lines:
         return ""
     size = np.array([len(text) for text, *_ in lines], float)
-    ratio = smoothed(levelled(size / np.array([max(1, tags) for _, tags, *_ in lines])))
+    own_ratio = levelled(size / np.array([max(1, tags) for _, tags, *_ in lines]))
+    ratio = smoothed(own_ratio)
     linked = np.array([links > 0.6 * len(text) for text, _, links, *_ in lines])
-    content = (ratio >= ratio.std()) & ~linked
-    weight = np.where(content, 1, 1e-3) * levelled(size)
+    content = (ratio >= ratio.std()) & (ratio > 0)
+    fair = content | (NEAR * own_ratio >= ratio.std()) & (ratio > 0)  # a short paragraph among long ones is no menu
+    by_ratio = content
+    if (content & ~linked).any():
+        content = content & ~linked
+    weight = np.where(content, levelled(size), 0.0)
+    if not content.any():
+        return ""
 
     inside: dict[int, float] = {}
     for (_, _, _, path, _), w in zip(lines, weight.tolist(), strict=True):
@@ -240,14 +287,15 @@ def main_text(html: str | None) -> str:
             inside[n] = inside.get(n, 0.0) + w
     regions = parser.regions.keys() & inside.keys()
     own = np.array([any(n in regions for n in path) for _, _, _, path, _ in lines])
+    best = 0
     if weight[own].sum() >= 0.5 * weight.sum():
-        chosen = own.tolist()
+        chosen = own
     else:
-        total = float(weight[content].sum()) or float(weight.sum())
-        best = max((n for n, w in inside.items() if w >= 0.7 * total and n not in parser.paragraphs), default=0)
+        best = max((n for n, w in inside.items() if w >= 0.7 * weight.sum() and n not in parser.paragraphs), default=0)
         within = np.array([not best or best in path for _, _, _, path, _ in lines])
-        chosen = (own | (within | content) & ~linked).tolist()
-    return "\n\n".join(text for (text, *_), take in zip(lines, chosen, strict=True) if take)
+        chosen = own | (within | content) & ~linked
+    gone = struck(parser, lines, by_ratio, fair, best)
+    return "\n\n".join(text for (text, _, _, path, _), take in zip(lines, chosen.tolist(), strict=True) if take and gone.isdisjoint(path))
 
 
 def extract(pages: DataFrame) -> DataFrame:
