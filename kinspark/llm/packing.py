@@ -2,8 +2,10 @@
 
 Only the counts of piece lengths reach the driver (as many numbers as a
 sequence has places). There, exact-complement hashing fills gaps: sums of one,
-two or three lengths are indexed by the gap that they fill, and a combination is
+two or three lengths are looked up by the gap that they fill, and a combination is
 used as often as the available counts allow; what is left is packed best-fit.
+Every pair or triple spends small pieces that best fit could place one by one, so
+as many of them are used as cost no sequence: halved numbers are tried in turn.
 The plan says which ranks of each length go to which sequences, and every piece
 finds its place by its rank among the pieces of its length.
 
@@ -68,51 +70,72 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, how many sequences are filled so), using up all counts: of the plans that
-    fill gaps with up to three, two, one or no lengths before best fit, the one with the
-    fewest sequences (where small lengths are scarce, triples can use them up too soon)."""
-    return min((filled(counts, size, most) for most in (3, 2, 1, 0)), key=lambda p: sum(n for _, n in p))
+    """(lengths, how many sequences are filled so), using up all counts: of the plans that fill gaps from the longest or
+    from the shortest length, with all pairs and triples that fit or ever fewer of them, the one
+    with the fewest sequences, and of such the one with the most exact combinations."""
+    least = -(-sum(x * n for x, n in counts.items()) // size)
+    best, order = [], (1 << 62, 0)
+    for rising in (True, False):
+        most = None
+        while most is None or most > 0:
+            found, used = filled(counts, size, rising, most)
+            score = (sum(n for _, n in found), -used)
+            if not best or score < order:
+                best, order = found, score
+            if score[0] == least or not used:
+                break
+            most = (used if most is None else min(most, used)) // 2
+    return best
 
 
-def filled(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """A plan whose exact combinations put at most ``most`` lengths beside the longest."""
+def filled(counts: dict[int, int], size: int, rising: bool, most: int | None) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """A plan, and how many sequences a pair or triple beside the longest length fills exactly; at most ``most``."""
     left = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
     out: list[tuple[tuple[int, ...], int]] = []
+    used = 0
 
     def use(lengths: tuple[int, ...]) -> None:
+        nonlocal used
         need = defaultdict(int)
         for x in lengths:
             need[x] += 1
         m = min(int(left[x]) // k for x, k in need.items())
+        if len(lengths) > 2:
+            m = m if most is None else min(m, most - used)
+            used += m
         if m:
             for x, k in need.items():
                 left[x] -= m * k
             out.append((lengths, m))
 
     use((size,))
-    for long in range(size - 1, 0, -1) if most else ():
-        gap = size - long
-        if left[long] and gap <= long:
-            use((long, gap))
-        # Two that fill the gap, the most even first: small lengths are kept for later.
-        for b in range(gap // 2, 0, -1) if most > 1 else ():
-            if not left[long]:
-                break
-            if left[b] and left[gap - b]:
-                use((long, gap - b, b))
-        for c in range(gap // 3, 0, -1) if most > 2 else ():
-            if not left[long]:
-                break
-            if not left[c]:
-                continue
-            rest = gap - c
-            b = np.arange(rest // 2, c - 1, -1)
-            for x in b[(left[b] > 0) & (left[rest - b] > 0)].tolist():
-                if not left[long] or not left[c]:
+    longs = range(size // 3 + 1, size) if rising else range(size - 1, size // 3, -1)
+    for long in longs:
+        if left[long] and size - long <= long:
+            use((long, size - long))
+    for parts in (2, 3):
+        for long in longs:
+            gap = size - long
+            # The least of the lengths that fill the gap: from the smallest, so that the others are large, or, from
+            # the longest length down, as even as can be, so that small ones are kept for later.
+            leasts = range(1, gap // parts + 1) if rising else range(gap // parts, 0, -1)
+            for c in leasts:
+                if not left[long] or most is not None and used >= most:
                     break
-                use((long, rest - x, x, c))
+                if not left[c]:
+                    continue
+                if parts == 2:
+                    if left[gap - c] and gap - c <= long:
+                        use((long, gap - c, c))
+                    continue
+                rest = gap - c
+                b = np.arange(c, rest // 2 + 1)
+                for x in b[(left[b] > 0) & (left[rest - b] > 0) & (rest - b <= long)].tolist():
+                    if not left[long] or not left[c]:
+                        break
+                    use((long, rest - x, x, c))
 
     # Best fit, longest first, on groups of equal sequences: free places -> [(lengths, how many)].
     free: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
@@ -132,7 +155,7 @@ def filled(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int
             free[size - k * length].append(((length,) * k, n // k))
         if n % k:
             free[size - n % k * length].append(((length,) * (n % k), 1))
-    return out + [x for group in free.values() for x in group]
+    return out + [x for group in free.values() for x in group], used
 
 
 def slots(planned: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
