@@ -196,10 +196,14 @@ def samples(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> dict[str, str]:
 
 
 def identify(docs: DataFrame, learned: dict[str, str]) -> DataFrame:
-    """doc_id, lang_pred and score of every document."""
+    """doc_id, lang_pred and score of every document. The tables are made once and broadcast: at most
+    two states for each of SAMPLE_CHARS characters a language, of DENSE + 2 numbers, whatever the input."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(Model(learned))
 
     def run(batches):
-        model = Model(learned)
+        model = shared.value
         for batch in batches:
             texts = texts_of(batch)
             names, scores = [], []
@@ -216,7 +220,6 @@ def identify(docs: DataFrame, learned: dict[str, str]) -> DataFrame:
                 names += [model.languages[i] if n else "und" for i, n in zip(best, letters, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
