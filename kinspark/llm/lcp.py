@@ -4,7 +4,7 @@ Deterministic coin tossing reduces the names of neighbouring symbols to labels
 from a small range (position and value of the lowest bit in which a name
 differs from its left neighbour); local maxima of the labels begin phrases, and
 a phrase's name is the hash of its symbols. Phrases are the symbols of the next
-level. Where phrases begin depends on a few symbols around, so equal substrings
+level, until a text is one phrase. Where phrases begin depends on a few symbols around, so equal substrings
 have equal phrases inside, wherever they stand. A fingerprint is the bottom-K
 sample of the names of all phrases from level BASE up; likeness is the
 estimated Jaccard similarity of two such sets.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .ragged import Rolling, chunks, mix
 from .scratch import partitions, ship
 
-BASE, LEVELS, KEPT = 2, 6, 64
+BASE, KEPT = 2, 64
 CHUNK = 500_000
 _LOWEST = np.array([0] + [(i & -i).bit_length() - 1 for i in range(1, 256)], np.uint8)
 
@@ -77,14 +77,16 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
     filled = np.flatnonzero(size)
     head = np.zeros(len(names), bool)
     head[(np.cumsum(size) - size)[filled]] = True
-    found, owner = [], []
-    for level in range(1, LEVELS + 1):
-        if not len(names):
-            break
+    found, owner, texts_left, level = [], [], np.arange(len(filled)), 0
+    while len(names):
+        level += 1
         names, head = parsed(names, head)
         if level >= BASE:
+            ordinal = np.cumsum(head) - 1
             found.append(names)
-            owner.append(np.cumsum(head) - 1)
+            owner.append(texts_left[ordinal])
+            more = np.bincount(ordinal) > 1
+            names, head, texts_left = names[more[ordinal]], head[more[ordinal]], texts_left[more]
     out = [np.zeros(0, np.uint32)] * len(raw)
     if found:
         all_names, all_owners = mix(np.concatenate(found)), np.concatenate(owner)
