@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from .packing import END_ID, texts_of
 from .pretokens import library_encoder
-from .scratch import settled, ship
+from .scratch import partitions, settled, ship
 
 MAGIC = b"KTF1"
-FILE_IDS = 2_000_000
-MOST_FILES = 20_000
+#: Ids of a file; with fewer ids than make a file for every shuffle partition, files are smaller.
+FILE_IDS, LEAST_IDS = 32_000_000, 1_000_000
 BLOCK_IDS = 1_000_000
 
 
@@ -160,14 +160,15 @@ def write_files(tokens: DataFrame, order: np.ndarray, width: str, files: int) ->
         if ids:
             yield flush()
 
-    ranged = tokens.select("doc_id", "ids").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    order_by = ["doc_id", "draw"]  # so that rows without doc_id are spread too
+    ranged = tokens.select("doc_id", "ids", F.xxhash64("ids").alias("draw")).repartitionByRange(files, *order_by).sortWithinPartitions(*order_by)
     return ranged.withColumn("file", F.spark_partition_id()).mapInArrow(run, "file int, block int, n_ids long, payload binary")
 
 
 def read_files(blocks: DataFrame, order: np.ndarray) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the blocks alone."""
     spark = blocks.sparkSession
-    totals = blocks.groupBy("file").agg(F.sum("n_ids").alias("n")).orderBy("file").collect()  # at most MOST_FILES rows
+    totals = blocks.groupBy("file").agg(F.sum("n_ids").alias("n")).orderBy("file").collect()  # a row for every FILE_IDS ids
     base, rows = 0, []
     for r in totals:
         rows.append((r["file"], base))
@@ -199,5 +200,5 @@ def write_and_read(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> Dat
     tokens = settled(tokenised(docs, tokenizer, end_id), "tokens")
     order = frequency_order(tokens, width)
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    files = min(MOST_FILES, max(1, -(-total // FILE_IDS)))
+    files = max(1, -(-total // FILE_IDS), min(partitions(docs.sparkSession), total // LEAST_IDS))
     return read_files(settled(write_files(tokens, order, width, files), "token-file"), order)
