@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -65,6 +66,38 @@ def test_near_copies_in_small_work_items(spark, monkeypatch, bound):
     check_linked(spark, near_copies(1, 90, 120, 6) + [(2000 + i, t) for i, (_, t) in enumerate(near_copies(2, 40, 60, 3))])
 
 
+def thue_morse(letters):
+    word = "a"
+    while len(word) < letters:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_patterned_words_of_one_polynomial_hash_are_not_linked(spark):
+    """Thue-Morse words of 1024 letters and more, and texts of that pattern in words."""
+    pairs = [thue_morse(n) for n in (1024, 2048, 4096)]
+    texts = [t for p in pairs for t in p] + [" ".join(t) for t in pairs[1]]
+    check_linked(spark, list(enumerate(texts)) + [(50 + i, t) for i, t in enumerate(texts)])
+
+
+@pytest.mark.parametrize("bound", [512, 4])
+def test_stragglers_of_a_group_of_copies(spark, monkeypatch, bound):
+    """Many near copies of one text, chains of texts that drift away from it, and pairs among the stragglers."""
+    monkeypatch.setattr(minhash, "BUCKET_ROWS", bound)
+    monkeypatch.setattr(minhash, "CLUSTER_ROWS", bound)
+    rng = random.Random(8)
+    rows, word = [], [f"w{rng.randrange(500)}" for _ in range(200)]
+    for i in range(60):
+        w = list(word)
+        for _ in range(rng.choice([1, 1, 2, 5, 6])):
+            w[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+        rows.append((rng.randrange(10**6), " ".join(w)))
+    for i in range(40):
+        word[rng.randrange(200)] = f"d{rng.randrange(10**6)}"
+        rows.append((rng.randrange(10**6), " ".join(word)))
+    check_linked(spark, rows)
+
+
 def test_odd_rows_linked(spark, odd, odd_rows, nothing):
     check_linked(spark, [r[:2] for r in odd_rows])
     assert minhash.linked(nothing).count() == 0
@@ -81,6 +114,16 @@ def test_components_of_chains_and_nothing(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    made = []
+    settle = components.graph.settled
+    monkeypatch.setattr(components.graph, "settled", lambda df, name: made.append(name) or settle(df, name))
+    edges = spark.range(10_000).selectExpr("id AS a", "id + 1 AS b")
+    got = components.components(edges)
+    assert got.where("component = 0").count() == got.count() == 10_001
+    assert made.count("hooks") < 20
+
+
 def brute_removed(rows):
     starts = {}
     for d, t in rows:
@@ -112,15 +155,40 @@ def passages(seed):
     return rows + [(500, "ab" * 200), (501, "ab" * 100), (502, "a" * 300), (503, "a" * 120), rows[0]]
 
 
-@pytest.mark.parametrize("flush", [2_000_000, 300])
-def test_repeats(spark, monkeypatch, flush):
+@pytest.mark.parametrize(("flush", "parts"), [(2_000_000, 4), (300, 4), (300, 64), (2_000_000, 512)])
+def test_repeats(spark, monkeypatch, flush, parts):
     monkeypatch.setattr(repeats, "FLUSH", flush)
     monkeypatch.setattr(repeats, "HOLD", flush)
+    monkeypatch.setattr(repeats, "PART_BYTES", 1)
+    monkeypatch.setattr(repeats, "partitions", lambda spark: parts)
     rows = passages(4)
     got = repeats.removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert Counter(tuple(r) for r in got.collect()) == brute_removed(rows)[0]
 
 
+def test_strings_of_one_hash_are_told_apart(monkeypatch):
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"ab") for _ in range(50)) for _ in range(4)]
+    raw = b"".join(words[i] for i in (0, 1, 2, 0, 1, 3))
+    values, start = np.frombuffer(raw, np.uint8), np.arange(6) * 50
+    monkeypatch.setattr(repeats.Rolling, "slices", lambda self, a, b: np.zeros(len(a), np.uint64))
+    got = repeats.equals(values, repeats.Rolling(values), start, np.array([5, 1, 2, 3, 4, 6]))
+    assert got.tolist() == [True, False, False, False, True, False]
+
+
+def test_rows_sent_follow_the_text_not_the_partitions(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(60))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    sizes = []
+    for n in ("4", "300"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found, parts = repeats.gathered(docs)
+        sizes.append((parts, found.count()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sizes[1][0] == 1 and sizes[1][1] <= sizes[0][1] + 300
+
+
 def test_odd_rows_without_repeats(odd, odd_rows, nothing):
     assert Counter(tuple(r) for r in repeats.removed(odd).collect()) == brute_removed([r[:2] for r in odd_rows])[0]
     cut = repeats.without_repeats(odd)
@@ -136,6 +204,74 @@ def test_fingerprints_of_one_text_don_t_hang_on_the_batch(odd_rows):
     assert [x.tolist() for x in whole] == [lcp.fingerprints([t])[0].tolist() for t in texts]
 
 
+MASK = (1 << 64) - 1
+
+
+def slow_mix(h):
+    h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & MASK
+    h = (h ^ h >> 29) * 0xFF51AFD7ED558CCD & MASK
+    return h ^ h >> 32
+
+
+def slow_name(names):
+    """The polynomial hash of a phrase's names."""
+    total = 0
+    for i, v in enumerate(names):
+        x = (v + 1) * 0xD6E8FEB86659FD93 & MASK
+        total += (x ^ x >> 31) * pow(0x9E3779B97F4A7C15, i, 1 << 64)
+    return slow_mix(total + len(names) & MASK)
+
+
+def slow_labels(names):
+    def toss(labels):
+        out = []
+        for i, v in enumerate(labels):
+            diff = 1 if i == 0 else v ^ labels[i - 1]
+            place = (diff & -diff).bit_length() - 1 if diff else 0
+            out.append(2 * place + (v >> place & 1))
+        return out
+
+    for _ in range(4):
+        names = toss(names)
+    return names
+
+
+def slow_fingerprint(text):
+    """Levels of phrases of one text, a symbol at a time."""
+    names, found, level = list(text.encode()), [], 0
+    while names:
+        level += 1
+        runs = [(v, len(list(g))) for v, g in itertools.groupby(names)]
+        names = [slow_mix(v + 1 & MASK) if n == 1 else slow_mix(slow_mix(v + 1 & MASK) ^ n) for v, n in runs]
+        label = slow_labels(names)
+        cuts = [0] + [i for i in range(1, len(names) - 1) if label[i] > label[i - 1] and label[i] > label[i + 1]] + [len(names)]
+        names = [slow_name(names[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        if level >= lcp.BASE:
+            found += names
+            if len(names) == 1:
+                break
+    return sorted({slow_mix(x) >> 32 for x in found})[: lcp.KEPT]
+
+
+def test_fingerprints_equal_a_slow_parse(odd_rows):
+    rng = random.Random(12)
+    texts = [r[1] or "" for r in odd_rows if len(r[1] or "") < 5000] + ["".join(rng.choice("ab ") for _ in range(n)) for n in range(40)] + ["aaaa" * 9, "abab" * 50, "é中🙂" * 5]
+    for t, sample in zip(texts, lcp.fingerprints(texts), strict=True):
+        assert sample.tolist() == slow_fingerprint(t)
+
+
+def test_likeness_estimates_the_share_of_common_names():
+    rng = random.Random(13)
+    for _ in range(50):
+        a = rng.sample(range(1 << 32), rng.randint(1, 40))
+        b = rng.sample(a, rng.randint(0, len(a))) + rng.sample(range(1 << 32), rng.randint(1, 20))
+        x, y = (np.unique(np.array(v, np.uint32)) for v in (a, b))
+        assert lcp.likeness(x, y) == pytest.approx(len(set(a) & set(b)) / len(set(a) | set(b)))
+    many = [np.unique(np.array(rng.sample(range(1 << 32), 4000), np.uint32)) for _ in range(2)]
+    mixed = np.unique(np.concatenate([many[0][::2], many[1][::2]]))
+    assert abs(lcp.likeness(many[0][: lcp.KEPT], mixed[: lcp.KEPT]) - 1 / 3) < 0.2
+
+
 def test_substrings_share_names():
     rng = random.Random(5)
     a, b = ("".join(rng.choice("abcdefgh ") for _ in range(1500)) for _ in range(2))

@@ -42,3 +42,32 @@ def test_eleven_queries_are_registered():
 
     found = [n for n in e.queries() if n.startswith("op") or n == "pipeline"]
     assert len(found) == 11 and {n.split("_")[0] for n in entry.queries()} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, odd_rows, nothing, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows and clashing names, through all stages."""
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(40, 60)], "doc_id long, quality int")
+    for name, table in (("odd", odd), ("nothing", nothing)):
+        where = str(tmp_path / name)
+        table.write.parquet(f"{where}/documents.parquet")
+        labels.write.parquet(f"{where}/labels.parquet")
+        docs = spark.read.parquet(f"{where}/documents.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            before, docs = docs, settled(stage(spark, docs, where), stage_name)
+            assert docs.columns == table.columns
+            assert docs.count() <= before.count()
+            if stage_name in ("quality_rules", "quality_classifier"):
+                assert docs.exceptAll(before).count() == 0
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, where)
+        assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+        assert corpus_pipeline.run(spark, where).count() == packed.count()
+
+
+def test_a_run_leaves_one_stage_s_table(spark):
+    from kinspark.llm.scratch import shared_folder
+
+    folder = spark._jvm.java.io.File(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.list())
+    corpus_pipeline.run(spark, DATA)
+    left = {x.rsplit("-", 1)[0] for x in set(folder.list()) - before}
+    assert left == {"suffix_dedup", "pieces"}

@@ -47,6 +47,34 @@ def test_rules_reject_each_kind(spark):
     assert [got[i].rejected_by for i in (2, 3, 4, 5)] == ["bangs", "capitals", "stutter", "word_length"]
 
 
+def test_rules_come_in_one_order_by_rejections_for_their_cost(spark):
+    rng = random.Random(4)
+    clean = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(60)) for _ in range(50)]
+    loud = [" ".join(w + "!!" for w in t.split()) for t in clean[:20]]
+    starred = [" ".join(w + "**" for w in t.split()) for t in clean[:20]]
+    df = spark.createDataFrame(list(enumerate(clean + loud + starred)), "doc_id long, text string").repartition(5)
+    orders = [[r.name for r in rules.ordered_rules(df)] for _ in range(3)]
+    assert orders[0] == orders[1] == orders[2]
+    assert orders[0][:2] == ["symbols", "bangs"]  # both reject, the first at less cost
+    dear = tuple(rules.Rule(r.name, r.rejects, "1000000" if r.name == "symbols" else r.work) for r in rules.RULES)
+    assert [r.name for r in rules.ordered_rules(df, dear)][:2] == ["bangs", "symbols"]
+
+
+def test_rules_equal_sql_on_odd_white_space(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab Z!\r\v\f\t\n#|\u00a0\u2028é") for _ in range(rng.randint(0, 150))) for _ in range(300)] + [None, "", "\r", "a\rb\vc\fd e f g h i j k"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": pd.Series(texts, dtype=object)}))
+    got = rules.measure(df).drop("rejected_by")
+    found = c.execute(entry.oracle_sql()["op3_quality_rules"]).df()[got.columns]
+    assert Counter(tuple(r) for r in got.collect()) == Counter(tuple(r) for r in found.itertuples(index=False))
+    assert Counter(tuple(r)[1:7] for r in got.collect()) == Counter(counted(t) for t in texts)
+
+
 def test_rules_repeats_at_every_offset(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))) for i in range(200)]
@@ -95,6 +123,75 @@ def test_discriminant_equals_the_formula():
     assert model.score(p[None])[0] == pytest.approx(1 / (1 + np.exp(log[0] - log[1])))
 
 
+def slow_statistics(text):
+    """The same twelve numbers, one character and one word at a time."""
+    words = text.split()
+    n, raw = len(words), text.encode()
+    letters = [c for c in raw if chr(c).isalpha() and c < 128]
+    lines = [x for x in text.split("\n") if x.strip()]
+    count = lambda marks: sum(text.count(m) for m in set(marks))
+    rate = lambda a, b: np.log(a / (b + 1) + quality.SMOOTH)
+    return [
+        np.log(n + 1),
+        np.log((len(set(words)) + 1) / (n + 1)),
+        rate(sum(x == y for x, y in zip(words, words[1:])), n),
+        rate(count("#*$%&|<>"), n),
+        rate(count("!?"), n),
+        rate(count("|"), n),
+        np.log((sum(len(w) for w in words) + 1) / (n + 1)),
+        rate(sum(chr(c).isupper() for c in letters), len(letters)),
+        rate(sum(chr(c).isdigit() for c in raw if c < 128), len(raw)),
+        rate(count(".,;:"), n),
+        rate(count("\"'()[]{}_=+/\\@^~`-"), n),
+        rate(len(lines) - len(set(lines)), len(lines)),
+    ]
+
+
+def test_classifier_from_slow_statistics_and_whole_moments(spark, truth):
+    """Statistics, moments, shrinkage and scores worked out again from the labelled texts."""
+    docs, labels = (df.toPandas() for df in truth)
+    texts = {d: t or "" for d, t in zip(docs.doc_id, docs.text, strict=True)}
+    x = {d: np.array(slow_statistics(t)) for d, t in texts.items()}
+    for d in list(texts)[:60]:
+        assert np.allclose(x[d], quality.statistics(texts[d]))
+    own = {k: np.array([x[d] for d, q in zip(labels.doc_id, labels.quality, strict=True) if q == k and zlib.crc32(str(d).encode()) % 4 != 2]) for k in (0, 1)}
+    n = {k: len(v) for k, v in own.items()}
+    cov = {k: np.cov(v.T, bias=True) for k, v in own.items()}
+    target = np.diag(np.diag(sum(n[k] * cov[k] for k in (0, 1)) / sum(n.values())) + quality.FLOOR)
+    shrunk = {k: (1 - quality.SHRINK) * cov[k] + quality.SHRINK * target for k in (0, 1)}
+    got = {r.doc_id: r.score for r in quality.scored(*truth).collect()}
+    for d, v in x.items():
+        log = [np.log(n[k] / sum(n.values())) - 0.5 * ((v - own[k].mean(0)) @ np.linalg.solve(shrunk[k], v - own[k].mean(0)) + np.linalg.slogdet(shrunk[k])[1]) for k in (0, 1)]
+        assert got[d] == pytest.approx(1 / (1 + np.exp(np.clip(log[0] - log[1], -40, 40))), abs=1e-6)
+
+
+def test_languages_equal_a_slow_parse(spark):
+    """Choice and score of each text from phrases found by searching the samples."""
+    rng = random.Random(3)
+    kinds = {"a": "the stone and river of north grey".split(), "b": "der stein und fluss im norden grau".split(), "c": "la pierre et la riviere du nord".split()}
+    samples = {k: " ".join(rng.choice(v) for _ in range(300)) for k, v in kinds.items()}
+    rows = [(i, " ".join(rng.choice(kinds[rng.choice("abc")]) for _ in range(rng.randint(1, 12)))) for i in range(60)] + [(90, "12 !"), (91, None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), samples).collect()}
+    fold = lambda t: "".join(map(chr, langid.folded([t])[0]))
+    for d, t in rows:
+        part = fold(t or "")
+        if not any(c.isalpha() for c in part):
+            assert got[d] == ("und", 0.0)
+            continue
+        bits = {}
+        for k, sample in samples.items():
+            inside, n, i = fold(sample), 0, 0
+            while i < len(part):
+                j = i
+                while j < len(part) and part[i : j + 1] in inside:
+                    j += 1
+                i, n = max(j, i + 1), n + 1
+            bits[k] = n * np.log2(len(inside)) / len(part)
+        best = min(bits, key=lambda k: (bits[k], k))
+        weight = [2 ** (-(b - bits[best]) * min(sum(c.isalpha() for c in part), 64)) for b in bits.values()]
+        assert got[d][0] == best and got[d][1] == pytest.approx(max(weight) / sum(weight))
+
+
 def test_languages_on_held_out_documents(truth):
     docs = truth[0]
     got = langid.evaluate(docs).toPandas().merge(docs.toPandas(), on="doc_id")
@@ -223,6 +320,57 @@ def test_html_keeps_all_of_main_and_sibling_articles():
     assert html_text.main_text(talk).split("\n\n") == PARAGRAPHS
 
 
+def boilerplate(rng):
+    say = lambda n: " ".join(rng.choice(["stone", "river", "grey", "north", "hollow", "winter"]) for _ in range(n))
+    links = lambda n: "<ul>" + "".join(f"<li><a href='/{i}'>{say(2)}</a></li>" for i in range(n)) + "</ul>"
+    return {
+        "nav": f"<nav>{links(rng.randint(3, 8))}</nav>",
+        "head": f"<header><h1>{say(3)}</h1></header>",
+        "ad": f"<div class='{rng.choice(['ad', 'ad-slot', 'sponsored-box', 'promo'])}'>{say(rng.randint(4, 14))}.</div>",
+        "cookie": f"<div id='cookie-notice'>{say(9)}.</div>",
+        "side": rng.choice([f"<aside><p>{say(12)}</p></aside>", f"<div class='side-bar'>{links(4)}</div>"]),
+        "talk": f"<section id='comments'><p>{say(15)}</p><p>{say(10)}</p></section>",
+        "form": f"<form><label>{say(3)}</label><input name=q></form>",
+        "foot": f"<footer>&copy; {say(5)}</footer>",
+        "related": f"<div>{links(12)}</div>",
+    }
+
+
+@pytest.mark.parametrize("region", ["article", "main", "div", "div class='post-body'"])
+def test_html_generated_pages(region):
+    """Articles of known text among boilerplate of all kinds, also inside them, with and without telling tags."""
+    rng = random.Random(len(region))
+    for _ in range(60):
+        p = [" ".join(rng.choice(["the", "stone", "grey", "river", "runs", "north", "of", "it"]) for _ in range(rng.randint(25, 90))) + "." for _ in range(rng.randint(3, 12))]
+        around, within = boilerplate(rng), boilerplate(rng)
+        marks = [rng.choice(["<p>{}</p>", "<p class='legal-basis'>{}</p>", "<p class='social-history'>{}", "<div id='search-results'><p>{}</p></div>", "<p><b>x</b>{}</p>"]) for _ in p]
+        body = [m.format(x) for m, x in zip(marks, p, strict=True)]
+        want = ["The title", *("x" + x if "<b>" in m else x for m, x in zip(marks, p, strict=True))]
+        for k in rng.sample(["ad", "related", "form", "side"], 2):
+            body.insert(rng.randrange(1, len(body)), within[k])
+        page = f"<html><head><title>t</title></head><body>{around['nav']}{around['head']}{around['cookie']}{around['ad']}<{region}><h1>The title</h1>{''.join(body)}</{region.split()[0]}>{around['side']}{around['talk']}{around['related']}{around['foot']}</body></html>"
+        assert html_text.main_text(page).split("\n\n") == want
+
+
+def test_html_ratios_decide(monkeypatch):
+    """What stays hangs on the smoothed ratios, inside an article too."""
+    links = "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(12))
+    weak = "<div class='share-this-story'>" + "".join(f"<span>{x}</span> <i></i><b></b>" for x in "abcde") + "</div>"
+    text = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    page = f"<body><article><h1>The title</h1>{text}<ul>{links}</ul>{weak}</article></body>"
+    assert html_text.main_text(page).split("\n\n") == ["The title", *PARAGRAPHS]
+    monkeypatch.setattr(html_text, "smoothed", lambda r: np.ones(len(r)))  # all alike: nothing is a menu
+    assert html_text.main_text(page).split("\n\n") == ["The title", *PARAGRAPHS, *(f"Link {i}" for i in range(12)), "a b c d e"]
+    monkeypatch.setattr(html_text, "smoothed", lambda r: np.zeros(len(r)))
+    assert html_text.main_text(page) == ""
+
+
+def test_html_text_after_a_last_angle_bracket():
+    page = "<article><p>" + PARAGRAPHS[0] + "</p><p>Here x "
+    for tail, kept in (("<b and so the text goes on to the end", "Here x <b and so the text goes on to the end"), ("< 5 and more", "Here x < 5 and more"), ('<a href="/x', "Here x"), ("<a href='/x' class=b tit", "Here x"), ("<b", "Here x"), ("<!-- cut", "Here x"), ("</p", "Here x"), ("<", "Here x")):
+        assert html_text.main_text(page + tail).split("\n\n") == [PARAGRAPHS[0], kept]
+
+
 def test_html_rows(spark):
     long = "<article>" + "".join(f"<p>Paragraph number {i} of a very long page.</p>" for i in range(5000)) + "</article>"
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "", ""), (3, "w", long, "x")]

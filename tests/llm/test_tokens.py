@@ -67,6 +67,37 @@ def test_encoder_with_a_small_memo(library):
     assert got == [library(t) for t in texts]
 
 
+def thue_morse(letters):
+    word = "a"
+    while len(word) < letters:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_pre_tokens_of_one_hash_are_compared(library, monkeypatch):
+    """Whatever the hash: here all pre-tokens share one of two."""
+    monkeypatch.setattr(pretokens, "slice_hashes", lambda raw, start, end: (start % 8 // 4).astype(np.uint64))
+    encoder = pretokens.library_encoder(JSON)
+    encoder.memo = 50
+    texts = ["the stone, the river", "", "it's we'll and other words of it", "a" * 500, "stone the other"] * 3
+    got = []
+    for ids, edge in encoder.encode(texts):
+        got += [ids[a:b].tolist() for a, b in zip(edge, edge[1:], strict=False)]
+    assert got == [library(t) for t in texts]
+
+
+def test_long_patterned_words_in_rows(spark):
+    default = Tokenizer.from_file(JSON)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    rows = list(enumerate(t for n in (1024, 2048) for t in thue_morse(n)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {(d, hashlib.sha256(" ".join(map(str, own.encode_ordinary(t))).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, t in rows}
+    assert {(r.doc_id, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_and_decode(df, RANKS).collect()} == want
+    check_packed(packing.pack(df, JSON).collect(), rows, lambda t: default.encode(t, add_special_tokens=False).ids)
+    ids = {d: np.array([*default.encode(t, add_special_tokens=False).ids, 2], "<u4") for d, t in rows}
+    assert {r.doc_id: r.ids_crc32 for r in tokenfile.write_and_read(df, JSON).collect()} == {d: zlib.crc32(x.tobytes()) for d, x in ids.items()}
+
+
 def test_bpe_rows(spark, odd, odd_rows, nothing):
     ranks = bpe.read_ranks(RANKS)
     t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -93,6 +124,26 @@ def test_plan_uses_every_piece():
             assert bins <= 1.25 * sum(k * v for k, v in counts.items()) / size + 1
 
 
+def test_exact_combinations_beat_best_fit():
+    # 4 + 4 and 3 + 3 + 3 leave a 3 over; 4 + 3 + 3 twice does not. So with 7 + 5 + 4 + 4 twice, of a length of 20.
+    assert sorted(packing.plan({4: 2, 3: 4}, 10)) == [((4, 3, 3), 2)]
+    for counts, size, best in (({4: 2, 3: 4}, 10, 2), ({4: 20, 3: 40}, 10, 20)):
+        found, _ = packing.filled(counts, size, True, 0)
+        assert sum(n for _, n in packing.plan(counts, size)) == best < sum(n for _, n in found)
+
+
+def test_plans_use_pairs_and_triples_and_cost_no_sequence():
+    rng = random.Random(11)
+    more = 0
+    for _ in range(20):
+        counts = Counter(min(1023, 1 + int(rng.expovariate(1 / 350))) for _ in range(1500))
+        planned = packing.plan(dict(counts))
+        plain, none = packing.filled(dict(counts), 1024, True, 0)
+        assert none == 0 and sum(n for _, n in planned) <= sum(n for _, n in plain)
+        more += sum(n for lengths, n in planned if len(lengths) in (3, 4) and sum(lengths) == 1024)
+    assert more > 200
+
+
 def check_packed(rows, docs, library, size=1024):
     by_doc, by_sequence = {}, {}
     for r in rows:
