@@ -24,6 +24,39 @@ def tokens(df: DataFrame, owner: str, text: str = "text") -> DataFrame:
     return df.select(owner, F.explode(F.filter(F.split(text, "[ \t\r\n]+"), lambda x: x != "")).alias("token"))
 
 
+#: Literals that are never anchors, and the weight of each kind.
+NOISE = ("N/A", "SCRIPT_HOLDER")
+NOISE_PATTERNS = ("(?i)^line\\s+\\d+$", "(?i)^rank:?\\s*\\d+$")
+KIND_WEIGHTS = {"resource_path": 1.30, "command": 1.25, "control_token": 1.15, "ui_text": 1.00, "plain_token": 0.55}
+
+
+def anchor_kind(literal: Column) -> Column:
+    """What a literal may be an anchor as: control_token, command, resource_path, ui_text or plain_token; null for
+    noise, for fewer than 4 characters or 3 letters or more than 180 characters, and for anything else."""
+    value = F.trim(literal, F.lit(" \t\r\n"))
+    size = F.char_length(value)
+    noise = value.isin(*NOISE) | (size < 4) | (size > 180) | (F.char_length(F.regexp_replace(value, "\\P{L}+", "")) < 3)
+    for pattern in NOISE_PATTERNS:
+        noise = noise | value.rlike(pattern)
+    return (
+        F.when(noise, F.lit(None))
+        .when(value.rlike("^[A-Z][A-Z0-9_]{3,}$"), "control_token")
+        .when(value.startswith("::"), "command")
+        .when(value.rlike("^[A-Za-z0-9_.-]+/[A-Za-z0-9_./ -]+$"), "resource_path")
+        .when(value.contains(" ") | value.contains("\n"), "ui_text")
+        .when(value.rlike("^[a-z][a-z0-9_]{5,}$"), "plain_token")
+    )
+
+
+def anchor_score(kind: Column, literal: Column, frequency: Column, owners: Column) -> Column:
+    """The weight of a literal's kind, times idf, times its length over 24 (from 0.3 to 1), and 12 % more if one owner alone has it."""
+    weight = F.lit(None).cast("double")
+    for name, w in KIND_WEIGHTS.items():
+        weight = F.when(kind == name, F.lit(w)).otherwise(weight)
+    length = F.least(F.lit(1.0), F.greatest(F.lit(0.3), F.char_length(F.trim(literal, F.lit(" \t\r\n"))) / 24.0))
+    return weight * (F.log((owners + 1) / (frequency + 1)) + 1) * length * F.when(frequency == 1, 1.12).otherwise(1.0)
+
+
 def literal_kind(token: Column) -> Column:
     out = F.lit("other")
     for name, pattern in reversed(LITERALS):

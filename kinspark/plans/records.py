@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import checks, diffing, edits, matching, sequences
 from ..sources import archive, logs
+from ..sources.shared import settled
 from .tables import Catalogue, table, year
 
 query = Catalogue()
@@ -314,6 +315,32 @@ def log_classification(spark: SparkSession, sf: str) -> DataFrame:
     return lines.groupBy("conv_id", diffing.first_match(rules, "other").alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_LITERALS = r"""l AS (SELECT DISTINCT conv_id, trim(x, e' \t\r\n') AS literal FROM (SELECT conv_id, unnest(string_split(text, chr(10))) AS x FROM conversations UNION ALL SELECT conv_id, unnest(regexp_split_to_array(text, '[ .,\n]+')) FROM conversations
+   UNION ALL SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') FROM pages)),
+ k AS (SELECT *, CASE WHEN literal IN ('N/A', 'SCRIPT_HOLDER') OR length(literal) < 4 OR length(literal) > 180 OR length(regexp_replace(literal, '\P{L}+', '', 'g')) < 3 OR regexp_full_match(literal, '(?i)line\s+\d+') OR regexp_full_match(literal, '(?i)rank:?\s*\d+') THEN NULL
+   WHEN regexp_full_match(literal, '[A-Z][A-Z0-9_]{3,}') THEN 'control_token' WHEN starts_with(literal, '::') THEN 'command' WHEN regexp_full_match(literal, '[A-Za-z0-9_.-]+/[A-Za-z0-9_./ -]+') THEN 'resource_path'
+   WHEN literal LIKE '% %' THEN 'ui_text' WHEN regexp_full_match(literal, '[a-z][a-z0-9_]{5,}') THEN 'plain_token' END AS kind FROM l)"""
+
+
+@query("semantic_dossier", f"""WITH {_LITERALS}, d AS (SELECT literal, count(*) AS df FROM k WHERE kind IS NOT NULL GROUP BY 1), n AS (SELECT count(DISTINCT conv_id) AS owners FROM l),
+ s AS (SELECT conv_id, literal, kind, df, round((CASE kind WHEN 'resource_path' THEN 1.30::DOUBLE WHEN 'command' THEN 1.25::DOUBLE WHEN 'control_token' THEN 1.15::DOUBLE WHEN 'ui_text' THEN 1.0::DOUBLE ELSE 0.55::DOUBLE END)
+   * (ln((owners + 1) / (df + 1)) + 1) * least(1.0, greatest(0.3, length(literal) / 24.0)) * (CASE WHEN df = 1 THEN 1.12::DOUBLE ELSE 1.0::DOUBLE END), 6) AS score FROM k JOIN d USING (literal), n WHERE kind IS NOT NULL)
+SELECT conv_id, literal, kind, df, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, literal) AS rank FROM s) WHERE rank <= 4""")
+def semantic_dossier(spark: SparkSession, sf: str) -> DataFrame:
+    """The four best anchors among the lines, words and paths of each owner, by kind, rarity and length."""
+    talk = table(spark, sf, "conversations")
+    name = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
+    said = talk.select("conv_id", F.explode(F.concat(F.split("text", "\n"), F.split("text", "[ .,\n]+"))).alias("literal"))
+    literals = said.unionByName(table(spark, sf, "pages").select(F.col("page_id").alias("conv_id"), name.alias("literal")))
+    literals = settled(literals.select("conv_id", F.trim("literal", F.lit(" \t\r\n")).alias("literal")).distinct(), "literals")
+    kinds = literals.withColumn("kind", text.anchor_kind(F.col("literal"))).where("kind IS NOT NULL")
+    frequency = kinds.groupBy("literal").agg(F.count(F.lit(1)).alias("df"))
+    owners = literals.agg(F.count_distinct("conv_id").alias("owners"))
+    score = F.round(text.anchor_score(F.col("kind"), F.col("literal"), F.col("df"), F.col("owners")), 6)
+    scored = kinds.join(frequency, "literal").join(F.broadcast(owners)).withColumn("score", score)
+    return matching.best_of_each(scored, "conv_id", "literal", 4).select("conv_id", "literal", "kind", "df", "score", "rank")
+
+
 def _front(k: int) -> str:
     return f"SELECT event_type AS category, floor(value / 10)::INT AS shape, count(*) AS n FROM events WHERE event_id % 2 = {k} GROUP BY ALL"
 
