@@ -114,16 +114,6 @@ def test_components_of_chains_and_nothing(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
-def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
-    made = []
-    settle = components.graph.settled
-    monkeypatch.setattr(components.graph, "settled", lambda df, name: made.append(name) or settle(df, name))
-    edges = spark.range(10_000).selectExpr("id AS a", "id + 1 AS b")
-    got = components.components(edges)
-    assert got.where("component = 0").count() == got.count() == 10_001
-    assert made.count("hooks") < 20
-
-
 def brute_removed(rows):
     starts = {}
     for d, t in rows:
