@@ -6,31 +6,35 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parents[2]
 _SHIPPED: set[str] = set()
-#: Paths of the tables made inside each open ``passing`` block, the innermost last.
-_OPEN: list[list[str]] = []
+_ONCE = threading.Lock()
+#: Paths of the tables made inside each open ``passing`` block of this thread or task, the innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset, a temporary folder (local masters only)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="spark-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+    with _ONCE:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if found:
+            return found
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        made = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", f"file://{made}")
+        return f"file://{made}"
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -39,8 +43,8 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if blocks := _OPEN.get():
+        blocks[-1].append(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.settled_at = path
     return found
@@ -62,20 +66,28 @@ def release(df: DataFrame) -> None:
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Tables settled inside are deleted at the end, except those appended to the list that
-    this gives: they pass to the enclosing block, and stay where there is none."""
+    this gives: they pass to the enclosing block, and stay where there is none. Blocks belong to
+    the thread that opened them, so queries that run at once in one session keep their own tables."""
     kept: list[DataFrame] = []
-    _OPEN.append([])
+    outer, made = _OPEN.get(), []
+    opened = _OPEN.set((*outer, made))
     try:
         yield kept
     finally:
-        made, stay = _OPEN.pop(), [df.settled_at for df in kept]
-        if _OPEN:
-            _OPEN[-1].extend(p for p in made if p in stay)
+        _OPEN.reset(opened)
+        stay = [df.settled_at for df in kept]
+        if outer:
+            outer[-1].extend(p for p in made if p in stay)
         delete(spark, [p for p in made if p not in stay])
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors; local ones share the driver's files and only need the path."""
+    with _ONCE:
+        _ship(spark)
+
+
+def _ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _SHIPPED or spark.sparkContext.master.startswith("local") and str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
