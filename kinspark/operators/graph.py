@@ -30,9 +30,7 @@ def walk(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst",
         while not fresh.isEmpty():
             step = fresh.select(F.col("v").alias("src"), "depth").join(edges, "src")
             step = step.groupBy(F.col("dst").alias("v")).agg((F.first("depth") + 1).alias("depth"), F.min("src").alias("parent"))
-            for level in levels:
-                step = step.join(level.select("v"), "v", "left_anti")
-            fresh = settled(step, "frontier")
+            fresh = settled(step.join(_all(levels).select("v"), "v", "left_anti"), "frontier")
             levels.append(fresh)
             if len(levels) > 8:
                 levels = [settled(_all(levels[:-1]), "reached"), fresh]

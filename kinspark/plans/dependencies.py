@@ -157,16 +157,6 @@ def reverse_alias(spark: SparkSession, sf: str) -> DataFrame:
     return plans.reversed_mapping(named, "old", "new")
 
 
-@query("unresolved_triage", """
-WITH u AS (SELECT event_id, user_id % 60 AS name FROM events WHERE event_type = 'error'), c AS (SELECT s_nationkey + s_suppkey % 3 AS name, count(*) AS n, min(s_suppkey) AS symbol FROM supplier GROUP BY 1)
-SELECT event_id, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'exact' ELSE 'ambiguous' END AS state, CASE WHEN n = 1 THEN symbol ELSE -1 END AS symbol FROM u LEFT JOIN c USING (name)""")
-def unresolved_triage(spark: SparkSession, sf: str) -> DataFrame:
-    """Errors over names that one, several or no symbols have."""
-    unresolved = table(spark, sf, "events").where("event_type = 'error'").select("event_id", (F.col("user_id") % 60).alias("name"))
-    symbols = table(spark, sf, "supplier").select((F.col("s_nationkey") + F.col("s_suppkey") % 3).alias("name"), F.col("s_suppkey").alias("symbol"))
-    return plans.bound(unresolved, symbols, "name").select("event_id", "state", F.coalesce("symbol", F.lit(-1)).alias("symbol"))
-
-
 @query("recovery_plan", """
 SELECT l_orderkey, l_partkey % 8 AS unit, count(*) AS rows, count(DISTINCT l_returnflag) AS evidences, CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'drifted' WHEN count(*) > 1 THEN 'repeated' ELSE 'single' END AS state FROM lineitem GROUP BY ALL""")
 def recovery_plan(spark: SparkSession, sf: str) -> DataFrame:

@@ -100,7 +100,7 @@ PAIRS = f"""p AS (SELECT c_custkey, s_suppkey, round(1 - abs(c_acctbal - s_acctb
   FROM customer JOIN supplier ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) <= {BAND})"""
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
     left = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
     right = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
     near = matching.within_band(left, right, "nation", "c_acctbal", "s_acctbal", BAND)
@@ -110,14 +110,14 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query("scored_pairs_topk", f"""WITH {PAIRS}
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey) AS rank FROM p) WHERE rank <= 3""")
 def scored_pairs_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.best_of_each(_pairs(spark, sf), "c_custkey", "s_suppkey", 3)
+    return matching.best_of_each(scored_pairs(spark, sf), "c_custkey", "s_suppkey", 3)
 
 
 @query("mutual_best_margin", f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER l AS a, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, c_custkey) AS b,
   round(score - coalesce(lead(score) OVER l, 0.0), 6) AS lead FROM p WINDOW l AS (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey))
 SELECT c_custkey, s_suppkey, score, lead FROM r WHERE a = 1 AND b = 1 AND lead >= 0.01""")
 def mutual_best_margin(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.mutual_best(_pairs(spark, sf), "c_custkey", "s_suppkey", 0.01)
+    return matching.mutual_best(scored_pairs(spark, sf), "c_custkey", "s_suppkey", 0.01)
 
 
 def _year(y: int) -> str:

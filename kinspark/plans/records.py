@@ -141,19 +141,6 @@ def mutual_best_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return matching.judged(pairs, "c_custkey", "s_suppkey", 0.05, 0.5)
 
 
-@query("superset_rivals", """
-WITH s AS (SELECT user_id, event_type || (event_id % 7) AS w, count(*) AS n FROM events WHERE value > 20 GROUP BY ALL), z AS (SELECT user_id, sum(n) AS size FROM s GROUP BY 1),
- b AS (SELECT x.user_id, y.user_id AS other, sum(least(x.n, y.n)) AS both_n FROM s x JOIN s y USING (w) WHERE x.user_id <> y.user_id GROUP BY ALL),
- p AS (SELECT b.user_id, count(*) AS n_pool, count(*) FILTER (WHERE both_n = size) AS held FROM b JOIN z USING (user_id) WHERE both_n >= 2 GROUP BY 1)
-SELECT z.user_id, coalesce(n_pool, 0) AS n_pool, CASE WHEN coalesce(n_pool, 0) <= 60 THEN coalesce(held, 0) ELSE -1 END AS n_supersets,
-  CASE WHEN coalesce(n_pool, 0) > 60 THEN 'withdrawn' WHEN coalesce(held, 0) > 0 THEN 'rivalled' ELSE 'unrivalled' END AS state FROM z LEFT JOIN p USING (user_id)""")
-def superset_rivals(spark: SparkSession, sf: str) -> DataFrame:
-    """Users whose high-valued events another one has as often; the claim is withdrawn where too many come near."""
-    events = table(spark, sf, "events").where("value > 20")
-    sets = events.groupBy("user_id", F.concat("event_type", (F.col("event_id") % 7).cast("string")).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return matching.rivals(sets, "user_id", "w", 2, 60).fillna(-1, ["n_supersets"])
-
-
 @query("weighted_status_sums", """
 WITH f AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'risky' WHEN c_mktsegment = 'MACHINERY' THEN 'bound' ELSE 'free' END AS status FROM customer)
 SELECT o_orderpriority, round(sum(CASE WHEN status = 'risky' THEN o_totalprice ELSE 0 END), 2) + 0.0 AS risky, round(sum(CASE WHEN status = 'bound' THEN o_totalprice ELSE 0 END), 2) + 0.0 AS bound,

@@ -209,16 +209,6 @@ def source_name_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return named.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("c_nationkey", "candidate"))).where("n = 1").select("c_custkey", "candidate")
 
 
-@query("flow_evidence", """
-WITH e AS (SELECT event_type AS source, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target, value, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nv, user_id FROM events)
-SELECT source, target, count(*) AS flows, count(DISTINCT user_id) AS users FROM e WHERE target IS NOT NULL AND nv >= value GROUP BY ALL""")
-def flow_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Assignments between neighbouring steps: where a value goes on without falling."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    steps = table(spark, sf, "events").select("user_id", F.col("event_type").alias("source"), F.lead("event_type").over(w).alias("target"), "value", F.lead("value").over(w).alias("nv"))
-    return steps.where("target IS NOT NULL AND nv >= value").groupBy("source", "target").agg(F.count(F.lit(1)).alias("flows"), F.count_distinct("user_id").alias("users"))
-
-
 @query("semantic_merge", """
 WITH f AS (SELECT l_partkey AS target, l_suppkey % 5 AS name, l_returnflag AS family, max(l_discount + l_tax) AS w FROM lineitem GROUP BY ALL), s AS (SELECT target, name, round(least(1 - product(1 - w), 0.995), 6) + 0.0 AS score FROM f GROUP BY ALL)
 SELECT target, count(*) AS proposals, count(DISTINCT score) AS scores, max(score) AS best, min(name) FILTER (WHERE score = top) AS name, count(*) > 1 AS conflict FROM (SELECT *, max(score) OVER (PARTITION BY target) AS top FROM s) GROUP BY 1""")
@@ -250,18 +240,6 @@ def breadth_first_tree(spark: SparkSession, sf: str) -> DataFrame:
     return graph.walk(steps, steps.agg(F.min("src").alias("v"))).fillna("", ["parent"])
 
 
-@query("growing_closure", f"""
-WITH RECURSIVE {_GRAPH}, a AS (SELECT min(src) AS v FROM e), r AS (SELECT v FROM a UNION SELECT dst FROM r JOIN e ON src = v WHERE src NOT LIKE 'error%'),
- s AS (SELECT v FROM a UNION SELECT dst FROM s JOIN e ON src = v)
-SELECT v, v NOT IN (SELECT v FROM r) AS added FROM s""")
-def growing_closure(spark: SparkSession, sf: str) -> DataFrame:
-    """What is reached without errors, and what is added when edges from errors are mapped too: the second walk starts from the first one's end."""
-    steps = settled(_steps(spark, sf), "steps")
-    first = graph.walk(steps, steps.agg(F.min("src").alias("v")), open_=~F.col("src").startswith("error"))
-    more = graph.walk(steps, first.select("v"))
-    return more.select("v", (F.col("depth") > 0).alias("added"))
-
-
 @query("hierarchy_walk", """
 WITH RECURSIVE p AS (SELECT DISTINCT doc_id AS c, doc_id // 3 AS p FROM documents WHERE doc_id > 0 UNION SELECT DISTINCT doc_id, doc_id // 7 FROM documents WHERE doc_id > 0 AND doc_id % 5 = 0),
  r AS (SELECT c AS v, p AS a FROM p WHERE c % 50 = 1 UNION SELECT v, p.p FROM r JOIN p ON p.c = r.a) SELECT v, count(*) AS ancestors, min(a) AS top FROM r WHERE a <> v GROUP BY 1""")
