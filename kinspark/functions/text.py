@@ -24,37 +24,31 @@ def tokens(df: DataFrame, owner: str, text: str = "text") -> DataFrame:
     return df.select(owner, F.explode(F.filter(F.split(text, "[ \t\r\n]+"), lambda x: x != "")).alias("token"))
 
 
-#: Literals that are never anchors, and the weight of each kind.
-NOISE = ("N/A", "SCRIPT_HOLDER")
-NOISE_PATTERNS = ("(?i)^line\\s+\\d+$", "(?i)^rank:?\\s*\\d+$")
-KIND_WEIGHTS = {"resource_path": 1.30, "command": 1.25, "control_token": 1.15, "ui_text": 1.00, "plain_token": 0.55}
-
-
-def anchor_kind(literal: Column) -> Column:
-    """What a literal may be an anchor as: control_token, command, resource_path, ui_text or plain_token; null for
-    noise, for fewer than 4 characters or 3 letters or more than 180 characters, and for anything else."""
-    value = F.trim(literal, F.lit(" \t\r\n"))
-    size = F.char_length(value)
-    noise = value.isin(*NOISE) | (size < 4) | (size > 180) | (F.char_length(F.regexp_replace(value, "\\P{L}+", "")) < 3)
-    for pattern in NOISE_PATTERNS:
-        noise = noise | value.rlike(pattern)
-    return (
-        F.when(noise, F.lit(None))
-        .when(value.rlike("^[A-Z][A-Z0-9_]{3,}$"), "control_token")
-        .when(value.startswith("::"), "command")
-        .when(value.rlike("^[A-Za-z0-9_.-]+/[A-Za-z0-9_./ -]+$"), "resource_path")
-        .when(value.contains(" ") | value.contains("\n"), "ui_text")
-        .when(value.rlike("^[a-z][a-z0-9_]{5,}$"), "plain_token")
-    )
-
-
-def anchor_score(kind: Column, literal: Column, frequency: Column, owners: Column) -> Column:
-    """The weight of a literal's kind, times idf, times its length over 24 (from 0.3 to 1), and 12 % more if one owner alone has it."""
-    weight = F.lit(None).cast("double")
-    for name, w in KIND_WEIGHTS.items():
-        weight = F.when(kind == name, F.lit(w)).otherwise(weight)
-    length = F.least(F.lit(1.0), F.greatest(F.lit(0.3), F.char_length(F.trim(literal, F.lit(" \t\r\n"))) / 24.0))
-    return weight * (F.log((owners + 1) / (frequency + 1)) + 1) * length * F.when(frequency == 1, 1.12).otherwise(1.0)
+#: Kinds of anchors with the pattern that a literal has to hold and their weight; the first that fits is a literal's kind.
+#: Patterns mean the same to Spark and to SQL engines with RE2.
+ANCHORS = (
+    ("address", "^[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+/[^ ]*$", 2.0),
+    ("sentence", "^[^ ]+ [^\n]*[.?!]$", 1.5),
+    ("clause", "^[^ ]+ [^\n]*$", 1.25),
+    ("name", "^[A-Z][A-Za-z]{2,}$", 0.75),
+    ("word", "^[A-Za-z]{3,}$", 0.5),
+)
+#: The length at which an anchor counts half.
+HALF_LENGTH = 12
+
+
+def anchor(literal: Column) -> Column:
+    """The (kind, weight) of a literal by ANCHORS; null where none fits."""
+    out = F.lit(None).cast("struct<kind:string,weight:double>")
+    for kind, pattern, weight in reversed(ANCHORS):
+        out = F.when(literal.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.lit(weight).alias("weight"))).otherwise(out)
+    return out
+
+
+def anchor_score(weight: Column, literal: Column, frequency: Column, owners: Column) -> Column:
+    """How much a literal tells its owner apart: weight, times the log of all owners over those that have it, times a share of its length."""
+    size = F.char_length(literal)
+    return weight * F.log((owners + 1) / frequency) * (size / (size + HALF_LENGTH))
 
 
 def literal_kind(token: Column) -> Column:
@@ -117,13 +111,17 @@ def legal_name(name: Column, prefix: str = "n_") -> Column:
     return F.when(clean.rlike("^[A-Za-z_]"), clean).otherwise(F.concat(F.lit(prefix), clean))
 
 
-def top_level_count(arguments: Column, depth: int = 8) -> Column:
+def top_level_count(arguments: Column) -> Column:
     """How many arguments a list like ``a,f(b,c),d<e,f>`` has: commas outside of all brackets, plus one; 0 if blank.
-    Innermost brackets are removed ``depth`` times, so no deeper nesting is seen through."""
-    flat = arguments
-    for _ in range(depth):
-        flat = F.regexp_replace(flat, "[(\\[{<][^()\\[\\]{}<>]*[)\\]}>]", "")
-    return F.when(F.trim(arguments) == "", 0).otherwise(F.char_length(F.regexp_replace(flat, "[^,]", "")) + 1)
+    Brackets and commas are folded from left to right, so nesting may be of any depth; a closing bracket without an open one says nothing."""
+    marks = F.split(F.regexp_replace(arguments, "[^()\\[\\]{}<>,]", ""), "")
+
+    def step(s: Column, c: Column) -> Column:
+        depth = F.when(c.isin("(", "[", "{", "<"), s["depth"] + 1).when(c.isin(")", "]", "}", ">"), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        return F.struct(depth.alias("depth"), (s["n"] + F.when((c == ",") & (s["depth"] == 0), 1).otherwise(0)).alias("n"))
+
+    n = F.aggregate(marks, F.struct(F.lit(0).alias("depth"), F.lit(1).alias("n")), step)["n"]
+    return F.when(F.trim(arguments) == "", 0).otherwise(n)
 
 
 #: One field descriptor: a primitive or a class, behind any number of array marks.

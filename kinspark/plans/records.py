@@ -271,7 +271,7 @@ def map_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("name_functions", """
-SELECT p_partkey, regexp_replace(p_name || '#' || p_size, '[^A-Za-z0-9_]+', '_', 'g') AS legal, CASE WHEN p_size = 0 THEN 1.0 ELSE round(least(p_size, p_partkey % 50 + 1) / greatest(p_size, p_partkey % 50 + 1), 6) END AS similarity,
+SELECT p_partkey, regexp_replace(p_name || '#' || p_size, '[^A-Za-z0-9_]+', '_', 'g') AS legal, round_even(least(p_size, p_partkey % 50 + 1) / greatest(p_size, p_partkey % 50 + 1), 6) AS similarity,
  2 + (p_size % 3) AS arguments, CASE p_size % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 6 END AS slots FROM part""")
 def name_functions(spark: SparkSession, sf: str) -> DataFrame:
     """Legal names, size similarity, top-level arguments and descriptor slots."""
@@ -280,11 +280,10 @@ def name_functions(spark: SparkSession, sf: str) -> DataFrame:
     call = F.concat(F.lit("f(a, b[c, d]), g<h, i>"), F.repeat(F.lit(", (x, {y, z})"), third))
     descriptor = F.concat(F.lit("(IJ"), F.when(third == 0, "").when(third == 1, "Lq/R;").otherwise("[[DI[J"), F.lit(")V"))
     part = table(spark, sf, "part")
-    similarity = F.round(F.least("p_size", other) / F.greatest("p_size", other), 6)
     return part.select(
         "p_partkey",
         text.legal_name(F.concat("p_name", F.lit("#"), F.col("p_size").cast("string"))).alias("legal"),
-        F.when(F.col("p_size") == 0, 1.0).otherwise(similarity).alias("similarity"),
+        text.size_similarity(F.col("p_size"), other).alias("similarity"),
         text.top_level_count(call).cast("long").alias("arguments"),
         text.argument_slots(descriptor).cast("long").alias("slots"),
     )
@@ -302,30 +301,33 @@ def log_classification(spark: SparkSession, sf: str) -> DataFrame:
     return lines.groupBy("conv_id", diffing.first_match(rules, "other").alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_LITERALS = r"""l AS (SELECT DISTINCT conv_id, trim(x, e' \t\r\n') AS literal FROM (SELECT conv_id, unnest(string_split(text, chr(10))) AS x FROM conversations UNION ALL SELECT conv_id, unnest(regexp_split_to_array(text, '[ .,\n]+')) FROM conversations
-   UNION ALL SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') FROM pages)),
- k AS (SELECT *, CASE WHEN literal IN ('N/A', 'SCRIPT_HOLDER') OR length(literal) < 4 OR length(literal) > 180 OR length(regexp_replace(literal, '\P{L}+', '', 'g')) < 3 OR regexp_full_match(literal, '(?i)line\s+\d+') OR regexp_full_match(literal, '(?i)rank:?\s*\d+') THEN NULL
-   WHEN regexp_full_match(literal, '[A-Z][A-Z0-9_]{3,}') THEN 'control_token' WHEN starts_with(literal, '::') THEN 'command' WHEN regexp_full_match(literal, '[A-Za-z0-9_.-]+/[A-Za-z0-9_./ -]+') THEN 'resource_path'
-   WHEN literal LIKE '% %' THEN 'ui_text' WHEN regexp_full_match(literal, '[a-z][a-z0-9_]{5,}') THEN 'plain_token' END AS kind FROM l)"""
+def _anchor_case(column: int) -> str:
+    values = [f"WHEN regexp_matches(literal, '{a[1]}') THEN {a[column]!r}{'::DOUBLE' if column == 2 else ''}" for a in text.ANCHORS]
+    return f"CASE {' '.join(values)} END"
 
 
-@query("semantic_dossier", f"""WITH {_LITERALS}, d AS (SELECT literal, count(*) AS df FROM k WHERE kind IS NOT NULL GROUP BY 1), n AS (SELECT count(DISTINCT conv_id) AS owners FROM l),
- s AS (SELECT conv_id, literal, kind, df, round((CASE kind WHEN 'resource_path' THEN 1.30::DOUBLE WHEN 'command' THEN 1.25::DOUBLE WHEN 'control_token' THEN 1.15::DOUBLE WHEN 'ui_text' THEN 1.0::DOUBLE ELSE 0.55::DOUBLE END)
-   * (ln((owners + 1) / (df + 1)) + 1) * least(1.0, greatest(0.3, length(literal) / 24.0)) * (CASE WHEN df = 1 THEN 1.12::DOUBLE ELSE 1.0::DOUBLE END), 6) AS score FROM k JOIN d USING (literal), n WHERE kind IS NOT NULL)
-SELECT conv_id, literal, kind, df, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, literal) AS rank FROM s) WHERE rank <= 4""")
+_LITERALS = f"""l AS (SELECT DISTINCT owner, trim(x, e' \t\r\n') AS literal FROM (SELECT 'c' || conv_id AS owner, unnest(string_split(text, chr(10))) AS x FROM conversations UNION ALL SELECT 'c' || conv_id, unnest(regexp_split_to_array(text, '[ .,\n]+')) FROM conversations
+   UNION ALL SELECT 'p' || page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') FROM pages)),
+ k AS (SELECT *, {_anchor_case(0)} AS kind, {_anchor_case(2)} AS weight FROM l)"""
+
+
+@query("semantic_dossier", f"""WITH {_LITERALS}, d AS (SELECT literal, count(*) AS df FROM k WHERE kind IS NOT NULL GROUP BY 1), n AS (SELECT count(DISTINCT owner) AS owners FROM l),
+ s AS (SELECT owner, literal, kind, df, round(weight * ln((owners + 1) / df) * (length(literal) / (length(literal) + {text.HALF_LENGTH})), 6) AS score FROM k JOIN d USING (literal), n WHERE kind IS NOT NULL)
+SELECT owner, literal, kind, df, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY score DESC, literal) AS rank FROM s) WHERE rank <= 4""")
 def semantic_dossier(spark: SparkSession, sf: str) -> DataFrame:
-    """The four best anchors among the lines, words and paths of each owner, by kind, rarity and length."""
+    """The four best anchors among the lines, words and addresses of each conversation and page, by kind, rarity and length."""
     talk = table(spark, sf, "conversations")
     name = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
-    said = talk.select("conv_id", F.explode(F.concat(F.split("text", "\n"), F.split("text", "[ .,\n]+"))).alias("literal"))
-    literals = said.unionByName(table(spark, sf, "pages").select(F.col("page_id").alias("conv_id"), name.alias("literal")))
-    literals = settled(literals.select("conv_id", F.trim("literal", F.lit(" \t\r\n")).alias("literal")).distinct(), "literals")
-    kinds = literals.withColumn("kind", text.anchor_kind(F.col("literal"))).where("kind IS NOT NULL")
+    owner = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string")).alias("owner")
+    said = talk.select(owner("c", "conv_id"), F.explode(F.concat(F.split("text", "\n"), F.split("text", "[ .,\n]+"))).alias("literal"))
+    literals = said.unionByName(table(spark, sf, "pages").select(owner("p", "page_id"), name.alias("literal")))
+    literals = settled(literals.select("owner", F.trim("literal", F.lit(" \t\r\n")).alias("literal")).distinct(), "literals")
+    kinds = literals.withColumn("a", text.anchor(F.col("literal"))).where("a IS NOT NULL").select("owner", "literal", "a.kind", "a.weight")
     frequency = kinds.groupBy("literal").agg(F.count(F.lit(1)).alias("df"))
-    owners = literals.agg(F.count_distinct("conv_id").alias("owners"))
-    score = F.round(text.anchor_score(F.col("kind"), F.col("literal"), F.col("df"), F.col("owners")), 6)
+    owners = literals.agg(F.count_distinct("owner").alias("owners"))
+    score = F.round(text.anchor_score(F.col("weight"), F.col("literal"), F.col("df"), F.col("owners")), 6)
     scored = kinds.join(frequency, "literal").join(F.broadcast(owners)).withColumn("score", score)
-    return matching.best_of_each(scored, "conv_id", "literal", 4).select("conv_id", "literal", "kind", "df", "score", "rank")
+    return matching.best_of_each(scored, "owner", "literal", 4).select("owner", "literal", "kind", "df", "score", "rank")
 
 
 def _front(k: int) -> str:

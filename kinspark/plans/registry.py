@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import checks, diffing, graph, lineage, scoring
+from ..operators import checks, diffing, graph, lineage, matching, scoring
 from ..sources.shared import settled
 from .tables import Catalogue, table, year
 
@@ -34,7 +34,7 @@ def lineage_validation(spark: SparkSession, sf: str) -> DataFrame:
     customer = table(spark, sf, "customer")
     own = customer.select(F.col("c_custkey").alias("entity_id"), status.alias("status"), name.alias("name"), F.when(balance > 5200, balance / 9900).otherwise(0.0).alias("confidence"))
     again = customer.where("c_custkey % 97 = 5").select(F.col("c_custkey").alias("entity_id"), F.lit("UNKNOWN").alias("status"), F.lit(None).cast("string").alias("name"), F.lit(0.0).alias("confidence"))
-    entities = settled(own.unionByName(again).withColumn("name", F.col("name")), "entities")
+    entities = settled(own.unionByName(again), "entities")
     orders = table(spark, sf, "orders").where("o_orderdate >= timestamp '1995-01-01' AND o_orderdate < timestamp '1999-01-01' AND o_totalprice > 450000")
     stray = F.when(F.col("o_orderkey") % 500 == 0, 10000000).otherwise(0)
     path = F.concat((F.col("o_custkey") % 300).cast("string"), F.lit("/"), "o_orderstatus", (F.floor("o_totalprice") % 300).cast("string"))
@@ -98,10 +98,8 @@ WITH p AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS id FROM orders
 SELECT p.id AS known_id, q.id AS older_id FROM p JOIN q USING (o_custkey, o_orderpriority)""")
 def historical_backfill(spark: SparkSession, sf: str) -> DataFrame:
     """The cascade with its sides swapped: what an older build had of the identities of a later one."""
-    from ..operators.matching import cascade
-
     orders = table(spark, sf, "orders")
-    found = cascade(orders.where(year("o_orderdate", 1997)), orders.where(year("o_orderdate", 1995)), [("backfill", ["o_custkey", "o_orderpriority"])], "o_orderkey")
+    found = matching.cascade(orders.where(year("o_orderdate", 1997)), orders.where(year("o_orderdate", 1995)), [("backfill", ["o_custkey", "o_orderpriority"])], "o_orderkey")
     return found.select(F.col("old_id").alias("known_id"), F.col("new_id").alias("older_id"))
 
 
