@@ -11,7 +11,8 @@ each task adds up its parts by entry, and the sums (a row for each part and entr
 merged in the shuffle; the driver holds the codebooks alone.
 
 Defined results: rows with a null vector or a null or non-finite component are left out. Vectors
-shorter than the widest, or whose width does not divide, end in zeros. Rows that repeat are each coded;
+shorter than the widest, or whose width does not divide, end in zeros. Rows that repeat are each coded
+(of one vec_id, those of smaller bytes come first in the codebooks);
 rows without vec_id are coded too but start no codebook. With fewer rows than entries there are as
 many entries as rows with an id, and one of zeros where there is none. An empty table gives no rows;
 other columns are ignored. Components beyond vectors.LIMIT count as that.

@@ -149,7 +149,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR len(list_filter(ws, lambda x: x = upper(x) AND x <> lower(x) AND length(x) > 1)) * 2 > n_words
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words
             OR length(regexp_replace(t, '[^\pL]+', '', 'g')) * 2 < word_chars
-            OR len(list_distinct(ws)) * 10 < n_words AND n_words < 1000
+            OR len(list_distinct(ws)) * 10 < n_words AND len(list_distinct(ws)) * len(list_distinct(ws)) < 10 * n_words
             OR len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) * 10 > n_words * 3
             OR n_dup_lines * 2 > n_lines) AS kept
 FROM f

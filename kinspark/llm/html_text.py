@@ -6,19 +6,22 @@ text-to-tag ratios of the lines are smoothed with a Gaussian kernel, and a
 threshold (their standard deviation) separates content lines from the rest; the
 few largest ratios and lengths are cut to the next one first, so that an outlier
 moves neither. The region that holds most of the text of content lines is the main
-text: articles and main elements, or without them the smallest container with most of
-it, whole, and the content lines elsewhere. A page without a content line has none.
+text: articles and main elements, or without them the deepest container with most of
+it, and the content lines elsewhere. A page without a content line has none.
 
-Structure is evidence beside the ratios. Menus, headers, footers, sidebars, notices,
-adverts, forms, comments and hidden elements go where tags or roles say so, or where
-all parts of a class name or id do (cookie-notice, but not legal-basis). A name that only
-begins so, and a block that is mostly links, go if most of their text is not content
-by its ratio. Short lines of a region, headings and items, stay whatever their ratio.
+Lines of a region are clustered: where most of its text is in content lines, all of it stays, with its headings
+and short items; else only its content lines do, and what stands between two close ones.
+So the ratios choose both the region and its lines.
 
-Forms and blocks with telling names are skipped only when the whole page is
+Elements that are menus, footers, sidebars, forms or hidden by their tags or roles are skipped. Class names and
+ids only lower the ratios of the lines inside them, the more the plainer they name what
+is not main text (HINTS); a block so named goes if most of its text is then not content. A name that only
+begins so lowers them by half, and a block that is mostly links goes by its ratios alone.
+
+Forms are skipped, and names counted, only when the whole page is
 known: one that encloses a region no lighter than those outside, or (with no
 region outside) most of the page's text, is a wrapper of the page and counts as
-not skipped. All regions are kept whole, unless they hold less than half of the
+neither. All regions are taken, unless they hold less than half of the
 content; then the container is looked for as if there were none, and they are kept beside it.
 
 Defined results: null and empty pages have empty text; a tag that the end of the page cuts
@@ -53,16 +56,23 @@ CLOSED_BY = {
     "option": frozenset(["option"]),
     "head": frozenset(["body"]),
 }
-HINTS = re.compile(
-    r"^(ads?|adv|advert\w*|adbox|adslot|banners?|promo\w*|sponsor\w*|side-?bar\w*|sidecol|cookies?|consent|gdpr|notices?|notification\w*|alerts?|newsletter\w*|subscribe\w*|subscription|"
-    r"popup|modal|overlay|nav\w*|menus?|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommended|comments?|commentlist|respond|replies|reply|disqus|"
-    r"login|signin|signup|search\w*|widgets?|toolbar|pagination|pager|skip|copyright|legal|outbrain|taboola)$"
+#: Names of what a page has beside its main text, and by how much each lowers the ratios of lines inside it: remarks of readers,
+#: then adverts, notices, menus and the like, then names that main text may have as well.
+HINTS = (
+    (1 / 64, re.compile(r"^(comments?|commentlist|respond|replies|disqus)$")),
+    (
+        1 / 16,
+        re.compile(
+            r"^(ads?|adv|advert\w*|adbox|adslot|banners?|promo\w*|sponsor\w*|side-?bar\w*|sidecol|cookies?|consent|gdpr|notices?|notification\w*|alerts?|newsletter\w*|subscribe\w*|subscription|"
+            r"popup|modal|nav\w*|menus?|breadcrumbs?|footer|masthead|login|signin|signup|pagination|pager|outbrain|taboola)$"
+        ),
+    ),
+    (1 / 2, re.compile(r"^(header|overlay|share|sharing|social|related|recommended|reply|search\w*|widgets?|toolbar|skip|copyright|legal)$")),
 )
 #: Parts of names that say where or how a block stands, not what it holds.
 NEUTRAL = frozenset(
     "area bar block body bottom box buttons center col column container footer global group holder home icons inner item items layer left links list main mobile module outer page panel posts primary right row section secondary site slot space top unit view wrap wrapper zone".split()
 )
-REMARKS = re.compile(r"^(comments?|commentlist|respond|replies|reply|disqus|related|recommended)$")
 NEGATED = frozenset("has have no not with without is hide show".split())
 TITLED = frozenset("entry post article page content story main section blog".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
@@ -71,6 +81,7 @@ REGIONS = frozenset(["article", "main"])
 PARAGRAPHS = HEADINGS | frozenset("p pre blockquote li dt dd figure figcaption address".split())  # no containers
 SIGMA, RADIUS = 1.0, 2
 NEAR = 3
+SOLID = 0.7
 SPACES = re.compile(r"\s+")
 #: A tag that the page's end cuts off: its name and any number of attributes, the last of them unfinished.
 CUT_OFF = re.compile(r"""<(?:[/!?]?[a-zA-Z][^\s<>/]*(?:\s+[^\s<>"'=/]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))*(?:\s+[^\s<>"'=/]*(?:\s*=\s*(?:"[^"<>]*|'[^'<>]*|[^\s"'<>]*))?)?\s*/?|[/!?]?|!-[^>]*)$""")
@@ -83,31 +94,39 @@ def ended(html: str) -> str:
     return LAST_OPEN.sub("&lt;", cut) if len(cut) == len(html) else cut
 
 
-def hints(value: str) -> tuple[list[str], list[str]]:
-    """Names of a class or id that tell a block to skip: those whose parts all do or are neutral, and those that
-    only begin so. Not those that say what a block has (has-sidebar) or heads (entry-header)."""
-    sure, likely = [], []
+def factor_of(name: str) -> float:
+    return next((f for f, pattern in HINTS if pattern.match(name)), 1.0)
+
+
+def hints(value: str) -> tuple[float, bool]:
+    """By how much a class or id lowers ratios (1: not at all), and whether a name does so as a whole: by itself or by parts
+    that all tell or are neutral. One that only begins so lowers them by half at most; names that say what a block has
+    (has-sidebar) or heads (entry-header) say nothing."""
+    factor, whole = 1.0, False
     for name in value.split():
         parts = [x for x in re.split(r"[-_\d]+", name) if x]
-        told = [x for x in parts if HINTS.match(x)]
-        if not told and not HINTS.match(name) or parts[0] in NEGATED or parts[-1] == "header" and parts[0] in TITLED:
+        if not parts or parts[0] in NEGATED or parts[-1] == "header" and parts[0] in TITLED:
             continue
-        if HINTS.match(name) or all(x in NEUTRAL or HINTS.match(x) for x in parts):
-            sure += [name, *told]
-        elif HINTS.match(parts[0]):
-            likely += told
-    return sure, likely
+        own = min([factor_of(name), *map(factor_of, parts)])
+        if own == 1.0:
+            continue
+        if factor_of(name) < 1 or all(x in NEUTRAL or factor_of(x) < 1 for x in parts):
+            factor, whole = min(factor, own), True
+        elif factor_of(parts[0]) < 1:
+            factor = min(factor, max(own, 1 / 2))
+    return factor, whole
 
 
 class Lines(HTMLParser):
-    """Events to lines: (text, tags, link characters, enclosing containers, enclosing ones that may be skipped);
-    ``hinted`` containers are skipped if their lines are not content, and ``blocks`` if they are links besides."""
+    """Events to lines: (text, tags, link characters, enclosing containers, enclosing ones that are doubtful). A doubtful container has
+    a factor: 0 for forms, else that of its name. ``hinted`` are all containers with a telling name, ``blocks`` the other ones
+    that may be lists of links."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool, bool]] = []  # tag, container number, region, skipped, may be skipped
+        self.open: list[tuple[str, int, bool, bool, bool]] = []  # tag, container number, region, skipped, doubtful
         self.lines: list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]] = []
-        self.remarks: set[int] = set()
+        self.factors: dict[int, float] = {}
         self.blocks: set[int] = set()
         self.hinted: set[int] = set()
         self.regions: dict[int, str] = {}
@@ -123,26 +142,25 @@ class Lines(HTMLParser):
             self.tags = 0
         self.text, self.links = [], 0
 
-    def skipped(self, tag: str, attrs: list) -> tuple[bool, list[str], list[str]]:
-        """Whether an element is skipped, else the hints that it may be, and weaker ones."""
+    def skipped(self, tag: str, attrs: list) -> tuple[bool, float, bool]:
+        """Whether an element is skipped, else its factor, and whether it is doubtful."""
         if tag in SKIPPED:
-            return True, [], []
+            return True, 1.0, False
         inside = any(region for _, _, region, *_ in self.open)
         if tag == "header":
-            return not inside, [], []
-        found, likely = [tag] if tag in WRAPPERS else [], []
+            return not inside, 1.0, False
+        factor, doubtful = (0.0, True) if tag in WRAPPERS else (1.0, False)
         for name, value in attrs:
             value = (value or "").lower()
             if name in ("class", "id"):
                 if tag not in ("body", "html", "main"):
-                    more, weaker = hints(value)
-                    found += more
-                    likely += weaker
+                    own, whole = hints(value)
+                    factor, doubtful = min(factor, own), doubtful or whole
             elif name == "role" and value in ("form", "search"):
-                found.append(value)
+                factor, doubtful = 0.0, True
             elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display:\s*none|visibility:\s*hidden", value):
-                return True, [], []
-        return bool(found) and tag in INLINE, found, likely
+                return True, 1.0, False
+        return doubtful and tag in INLINE and factor <= 1 / 16, factor, doubtful
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
@@ -158,7 +176,7 @@ class Lines(HTMLParser):
         self.tags += not within  # those of what is skipped say nothing about the line after it
         if tag in VOID:
             return
-        skip, found, likely = (True, [], []) if within else self.skipped(tag, attrs)
+        skip, factor, doubtful = (True, 1.0, False) if within else self.skipped(tag, attrs)
         number = 0
         region = tag in REGIONS or any(n == "role" and v == "main" or n == "itemprop" and v == "articleBody" for n, v in attrs)
         if tag not in INLINE:
@@ -168,13 +186,12 @@ class Lines(HTMLParser):
                 self.paragraphs.add(number)
             if region and not skip:
                 self.regions[number] = tag
-            if any(map(REMARKS.match, found)):
-                self.remarks.add(number)
-            if likely:
+            if factor < 1:
+                self.factors[number] = factor
                 self.hinted.add(number)
             elif tag not in PARAGRAPHS:
                 self.blocks.add(number)
-        self.open.append((tag, number, region, skip, bool(number and found)))
+        self.open.append((tag, number, region, skip, bool(number and doubtful)))
         self.anchors += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -220,13 +237,12 @@ def levelled(values: np.ndarray) -> np.ndarray:
     return np.minimum(values, np.sort(values)[-1 - -(-len(values) // 20)])
 
 
-def unskipped(parser: Lines) -> list[tuple]:
-    """The lines outside forms and hinted blocks, those apart that enclose the page's own text."""
+def unskipped(parser: Lines) -> tuple[list[tuple], np.ndarray]:
+    """The lines outside forms, and the factor of each: the product of those of its doubtful and hinted containers, but for
+    containers that enclose the page's own text. These are no reason to lower or leave out anything."""
     size: dict[int, int] = {}
-    around: dict[int, tuple[int, ...]] = {}  # of each region, the blocks that may be skipped
+    around: dict[int, tuple[int, ...]] = {}  # of each region, the doubtful blocks around it
     doubtful = {n for *_, maybe in parser.lines for n in maybe}
-    if not doubtful:
-        return parser.lines
     for text, _, _, path, maybe in parser.lines:
         for n in path:
             size[n] = size.get(n, 0) + len(text)
@@ -239,8 +255,11 @@ def unskipped(parser: Lines) -> list[tuple]:
         if n not in blocks and size[n] >= outside:
             spared.update(blocks)
     if not outside:
-        spared |= {n for n in doubtful if size[n] > total * (0.9 if n in parser.remarks else 0.5)}
-    return [line for line in parser.lines if spared.issuperset(line[4])]
+        spared |= {n for n in doubtful if size[n] > total * (0.9 if 0 < parser.factors[n] < 1 / 16 else 0.5)}
+    parser.hinted -= spared
+    factor = lambda path: float(np.prod([parser.factors[n] for n in path if n in parser.factors and n not in spared]))
+    kept = [(line, f) for line in parser.lines if (f := factor(line[3]))]
+    return [line for line, _ in kept], np.array([f for _, f in kept])
 
 
 def struck(parser: Lines, lines: list[tuple], content: np.ndarray, fair: np.ndarray, region: int) -> set[int]:
@@ -258,6 +277,20 @@ def struck(parser: Lines, lines: list[tuple], content: np.ndarray, fair: np.ndar
     return {n for n in poor if n in parser.hinted or n in parser.blocks and linked[n] > 0.6 * size[n]}
 
 
+def clustered(content: np.ndarray, inside: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The lines of a region that stay: all, where SOLID of its text or more is in content lines, as in a text with headings and
+    short items; else those lines alone, with what stands between two that are RADIUS lines apart or less."""
+    if (size * (content & inside)).sum() >= SOLID * (size * inside).sum():
+        return inside
+    at = np.flatnonzero(content & inside)
+    out = np.zeros(len(content), bool)
+    out[at] = True
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a <= RADIUS:
+            out[a:b] = True
+    return out & inside
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -265,15 +298,20 @@ def main_text(html: str | None) -> str:
     parser.feed(ended(html))
     parser.close()
     parser.end_line()
-    lines = unskipped(parser)
+    lines, factors = unskipped(parser)
     if not lines:
         return ""
     size = np.array([len(text) for text, *_ in lines], float)
-    own_ratio = levelled(size / np.array([max(1, tags) for _, tags, *_ in lines]))
-    ratio = smoothed(own_ratio)
+    own_ratio = levelled(size / np.array([max(1, tags) for _, tags, *_ in lines])) * factors
+    # Lines of firm names say nothing about their neighbours, nor these about them.
+    plain = factors >= 1 / 2 if (factors >= 1 / 2).any() else factors > 0
+    ratio = own_ratio.copy()
+    ratio[plain] = smoothed(own_ratio[plain])
     linked = np.array([links > 0.6 * len(text) for text, _, links, *_ in lines])
-    content = (ratio >= ratio.std()) & (ratio > 0)
-    fair = content | (NEAR * own_ratio >= ratio.std()) & (ratio > 0)  # a short paragraph among long ones is no menu
+    least = ratio.std()
+    content = (ratio >= least) & (ratio > 0)
+    near = np.where(factors >= 1 / 2, NEAR, 1)  # a short paragraph among long ones is no menu
+    fair = content & (factors == 1) | (near * own_ratio >= least) & (ratio > 0)
     by_ratio = content
     if (content & ~linked).any():
         content = content & ~linked
@@ -293,9 +331,12 @@ def main_text(html: str | None) -> str:
     else:
         best = max((n for n, w in inside.items() if w >= 0.7 * weight.sum() and n not in parser.paragraphs), default=0)
         within = np.array([not best or best in path for _, _, _, path, _ in lines])
-        chosen = own | (within | content) & ~linked
+        # Beside the container, lines that only their neighbours lift are not content.
+        chosen = own | (within | content & (own_ratio >= least)) & ~linked
     gone = struck(parser, lines, by_ratio, fair, best)
-    return "\n\n".join(text for (text, _, _, path, _), take in zip(lines, chosen.tolist(), strict=True) if take and gone.isdisjoint(path))
+    left = np.array([gone.isdisjoint(path) for _, _, _, path, _ in lines])
+    stays = clustered(by_ratio, chosen & left, size)
+    return "\n\n".join(text for (text, *_), take in zip(lines, stays.tolist(), strict=True) if take)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ permutations each make a band.
    (1 - 0.85**4)**16 < 1e-5.
 4. Confirmed links give the components.
 
-Shingles are 64-bit hashes of their words' hashes; a class is the 128-bit hash of its
+Shingles are 64-bit hashes of their words' hashes; a class is the SHA-256 of its
 shingles (of the words themselves where it has one shingle only, as two such sets that
 differ are never linked).
 
@@ -78,10 +78,10 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
 
 
 def class_of(text: str, shingles: np.ndarray) -> bytes:
-    """128 bits that equal sets share."""
+    """A digest that equal sets share."""
     if len(shingles) == 1:
-        return hashlib.md5(b" ".join(text.encode().translate(_PLAIN).split()[:WORDS])).digest()
-    return hashlib.md5(shingles.tobytes()).digest()
+        return hashlib.sha256(b" ".join(text.encode().translate(_PLAIN).split()[:WORDS])).digest()
+    return hashlib.sha256(shingles.tobytes()).digest()
 
 
 def min_max(shingles: np.ndarray) -> np.ndarray:

@@ -47,6 +47,8 @@ from .scratch import partitions, ship
 
 SPAN, GRAM = 50, 20
 DIGITS = ((0, 16), (16, 33), (33, 50))
+#: Bytes of a text's SHA-256.
+DIGEST = 32
 #: Bytes of text in one array, and of texts whose grams are merged before they are sent.
 FLUSH, HOLD = 1_000_000, 16_000_000
 #: Strings of a part are sorted in so many shares, one at a time.
@@ -186,7 +188,7 @@ def by_part(batches):
 
 
 def digest(raw: bytes) -> bytes:
-    return hashlib.md5(raw).digest()
+    return hashlib.sha256(raw).digest()
 
 
 def documents_in(batch: pa.RecordBatch):
@@ -249,12 +251,12 @@ def texts_in(blob: bytes) -> list[tuple[int, bytes]]:
 
 def first_of_each(docs: DataFrame, parts: int) -> DataFrame:
     """The smallest doc_id of each distinct text, packed by part."""
-    firsts = docs.where("doc_id IS NOT NULL").groupBy(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+    firsts = docs.where("doc_id IS NOT NULL").groupBy(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
 
     def run(batches):
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
-            sums = np.frombuffer(b"".join(batch.column("digest").to_pylist()), np.uint8).reshape(-1, 16)
+            sums = np.frombuffer(b"".join(batch.column("digest").to_pylist()), np.uint8).reshape(-1, DIGEST)
             order, groups = slices_by(part_of(ids, parts))
             yield rows_of([(part, FIRSTS, squeezed(ids[order[a:b]], sums[order[a:b]])) for part, a, b in groups])
 
@@ -378,7 +380,7 @@ def by_documents(rows):
             ids, sums = spread(blob, "<i8", "u1")
             raw = sums.tobytes()
             for i, d in enumerate(ids.tolist()):
-                firsts.setdefault(d, set()).add(raw[16 * i : 16 * i + 16])
+                firsts.setdefault(d, set()).add(raw[DIGEST * i : DIGEST * (i + 1)])
         elif kind == NOTES:
             said.append(blob)
         else:

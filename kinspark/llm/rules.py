@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade of SQL expressions.
 
 Every rule is a boolean expression on the text's statistics, with the steps that it
-takes on a row. One job over a random sample estimates each rule's cost (mean steps,
+takes on a row. One job over a sample, chosen by a hash of each row, estimates each rule's cost (mean steps,
 weighted by their measured time) and selectivity (share that it rejects); rules then
 run in order of rejections per cost, and a document that one rejects isn't shown to
 the rest. The order changes time, never the verdict, and one table always gives one order.
@@ -42,7 +42,8 @@ RULES = (
     Rule("capitals", f"size(filter({_P}words, w -> w = upper(w) AND w <> lower(w) AND char_length(w) > 1)) * 2 > n_words", "540 * n_words"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words", "20"),
     Rule("few_letters", f"char_length(regexp_replace({_P}text, '[^\\\\p{{L}}]+', '')) * 2 < word_chars", "70 * char_length(__rule_text)"),
-    Rule("same_word", f"size(array_distinct({_P}words)) * 10 < n_words AND n_words < 1000", "450 * n_words"),
+    # The share of different words that is too small falls with length, as texts repeat words the longer they are: a tenth, or the root of ten words to the word.
+    Rule("same_word", f"size(array_distinct({_P}words)) * 10 < n_words AND bigint(size(array_distinct({_P}words))) * size(array_distinct({_P}words)) < 10 * n_words", "450 * n_words"),
     Rule("stutter", f"size(filter({_P}words, (w, i) -> coalesce(w = get({_P}words, i - 1), false))) * 10 > n_words * 3", "470 * n_words"),
     Rule("same_line", "n_dup_lines * 2 > n_lines", "20"),
 )
@@ -96,9 +97,10 @@ def cascade(sample: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Rule]:
 
 
 def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """A random sample of about ``rows`` documents of the whole table, with counts: only the order of rules hangs on it."""
-    share = min(1.0, rows / max(docs.count(), 1))
-    return with_counts(with_words(docs.select("text").sample(share, SEED)))
+    """About ``rows`` documents of the whole table, chosen by a hash of doc_id (of the text where that is null), so that how a table is
+    partitioned changes nothing; with counts. Only the order of rules hangs on it."""
+    key = F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), F.when(F.col("doc_id").isNull(), F.col("text")))
+    return with_counts(with_words(docs.where(F.pmod(key, F.lit(max(docs.count(), 1))) < rows).select("text")))
 
 
 def verdict(order: list[Rule]) -> Column:

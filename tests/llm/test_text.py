@@ -390,3 +390,127 @@ def test_op3_equals_sql(spark):
     df = entry.queries()["op3_quality_rules"](spark, DATA)
     found = c.execute(entry.oracle_sql()["op3_quality_rules"]).df()[df.columns]
     assert Counter(tuple(r) for r in df.collect()) == Counter(tuple(r) for r in found.itertuples(index=False))
+
+
+def variety(n, different):
+    """n words, ``different`` of them distinct and no five-word window twice."""
+    rng = random.Random(n)
+    words = [f"word{i}a" for i in range(different)]
+    while True:
+        out = words + [rng.choice(words) for _ in range(n - different)]
+        rng.shuffle(out)
+        windows = [tuple(out[i : i + 5]) for i in range(n - 4)]
+        if len(set(windows)) == len(windows):
+            return " ".join(out)
+
+
+def test_op3_share_of_different_words_falls_without_a_step(spark):
+    rows = [(1, variety(999, 99)), (2, variety(999, 100)), (3, variety(1000, 99)), (4, variety(1000, 100)), (5, variety(1001, 100)), (6, variety(1001, 101)), (7, variety(4000, 199)), (8, variety(4000, 200)), (9, variety(100, 9)), (10, variety(100, 10))]
+    got = {r.doc_id: r.kept for r in rules.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True, 5: False, 6: True, 7: False, 8: True, 9: False, 10: True}
+
+
+def test_op3_order_does_not_hang_on_partitions(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    orders = [[r.name for r in rules.ordered_rules(docs.repartition(n))] for n in (1, 3, 7)]
+    assert orders[0] == orders[1] == orders[2]
+
+
+NAMES = "legal social search header overlay widget toolbar related copyright reply share".split()
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("tag", ["section class", "p class", "p id", "div id"])
+def test_html_names_alone_strike_nothing(name, tag):
+    told = "A full sentence of the article stands in here, as it should."
+    body = [f"<p>{x}</p>" for x in PARAGRAPHS[:4]] + [f"<{tag}={name}>{told}</{tag.split()[0]}>"] + [f"<p>{x}</p>" for x in PARAGRAPHS[4:]]
+    page = f"<body><nav>Menu</nav><article><h1>The title</h1>{''.join(body)}</article></body>"
+    assert html_text.main_text(page).split("\n\n") == ["The title", *PARAGRAPHS[:4], told, *PARAGRAPHS[4:]]
+
+
+def test_html_keeps_references():
+    works = [f"Author {i}, Title of the work number {i}, Journal of Hollow Stones, 19{i}0." for i in range(6)]
+    page = "<article>" + "".join(f"<p>{x}</p>" for x in PARAGRAPHS) + "<ul>" + "".join(f"<li><a href=x>{w}</a></li>" for w in works) + "</ul></article>"
+    assert html_text.main_text(page).split("\n\n") == PARAGRAPHS + works
+
+
+def given_pages():
+    import pyarrow.parquet as pq
+
+    return pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+
+
+def untagged(page):
+    """The page without tags and names that tell what a block is."""
+    import re
+
+    return re.sub(r'<div class="[^"]*">', "<div>", re.sub(r"<(/?)(article|nav|footer|ul|main|header|aside)\b[^>]*>", r"<\1div>", page))
+
+
+def words_in_common(a, b):
+    a, b = Counter(a.split()), Counter(b.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+def test_html_ratios_alone_find_most_articles(monkeypatch):
+    pages = given_pages()
+    want = [html_text.main_text(p) for p in pages]
+    got = [html_text.main_text(untagged(p)) for p in pages]
+    assert sum(a == b for a, b in zip(got, want, strict=True)) > 0.6 * len(pages)
+    assert sum(words_in_common(a, b) for a, b in zip(got, want, strict=True)) > 0.95 * len(pages)
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(html_text, "smoothed", lambda r: rng.random(len(r)))
+    assert sum(html_text.main_text(untagged(p)) == w for p, w in zip(pages, want, strict=True)) < 0.2 * len(pages)
+    assert sum(html_text.main_text(p) == w for p, w in zip(pages, want, strict=True)) < 0.8 * len(pages)
+
+
+def plain_text(page):
+    """The method on pages of plain structure, line by line: split at block tags, ratios, Gaussian mean, threshold, region, cluster."""
+    import html
+    import math
+    import re
+
+    page = re.sub(r"(?s)<head>.*?</head>|<(nav|footer|script|style)\b.*?</\1>|<!--.*?-->|<!DOCTYPE[^>]*>", "", page)
+    lines, tags, text, inside, advert = [], 0, "", False, False
+    for part in re.split(r"(<[^>]*>)", page + "<p>"):
+        if not part.startswith("<"):
+            text += part
+            continue
+        name = re.match(r"</?(\w+)", part)[1]
+        if name == "br":
+            text += " "
+        elif name not in ("b", "a"):
+            if said := " ".join(html.unescape(text).split()):
+                lines.append((said, max(1, tags), inside, advert))
+                tags = 0
+            text = ""
+        tags += 1
+        if name == "article":
+            inside = not part.startswith("</")
+        if name == "div":
+            advert = "class=\"ad\"" in part
+    if not lines:
+        return ""
+
+    def cut(values):
+        top = sorted(values)[-1 - math.ceil(len(values) / 20)] if len(values) > 2 else max(values)
+        return [min(v, top) for v in values]
+
+    own = [r / (16 if ad else 1) for r, (*_, ad) in zip(cut([len(t) / n for t, n, *_ in lines]), lines, strict=True)]
+    page_lines = [i for i, (*_, ad) in enumerate(lines) if not ad]
+    ratio = list(own)
+    for k, i in enumerate(page_lines):
+        near = [(math.exp(-((k - m) ** 2) / 2), own[j]) for m, j in enumerate(page_lines) if abs(k - m) <= (2 if len(page_lines) > 4 else 99)]
+        ratio[i] = sum(w * r for w, r in near) / sum(w for w, _ in near)
+    mean = sum(ratio) / len(ratio)
+    least = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
+    content = [r >= least and r > 0 for r in ratio]
+    region = [i for i, (_, _, article, _) in enumerate(lines) if article]
+    share = sum(len(lines[i][0]) for i in region if content[i]) / max(1, sum(len(lines[i][0]) for i in region))
+    assert share >= 0.7 or not region
+    return "\n\n".join(lines[i][0] for i in region)
+
+
+def test_html_equals_a_plain_version_on_given_pages():
+    for page in given_pages():
+        assert html_text.main_text(page) == plain_text(page)
