@@ -62,13 +62,13 @@ def resource_equivalence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("runtime_readiness", """
-WITH r AS (SELECT l_suppkey AS subject, count(DISTINCT l_returnflag || l_linestatus) AS inputs FROM lineitem WHERE l_quantity >= 49.5 AND l_discount < 0.04 GROUP BY 1), b AS (SELECT l_suppkey AS subject, count(*) AS blockers FROM lineitem WHERE l_discount >= 0.1 AND l_tax >= 0.08 AND l_quantity > 40 GROUP BY 1)
+WITH r AS (SELECT l_orderkey AS subject, count(DISTINCT l_returnflag || l_linestatus) AS inputs FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey AS subject, count(*) AS blockers FROM lineitem WHERE l_discount >= 0.1 AND l_tax >= 0.08 AND l_quantity > 40 GROUP BY 1)
 SELECT subject, inputs, coalesce(blockers, 0) AS blockers, inputs = 1 AND coalesce(blockers, 0) = 0 AS ready FROM r LEFT JOIN b USING (subject)""")
 def runtime_readiness(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers all of whose largest lines say the same and that nothing blocks."""
+    """Orders all of whose lines say the same and that nothing blocks."""
     lines = table(spark, sf, "lineitem")
-    reports = lines.where("l_quantity >= 49.5 AND l_discount < 0.04").select(F.col("l_suppkey").alias("subject"), F.concat("l_returnflag", "l_linestatus").alias("input"))
-    return plans.readiness(reports, lines.where("l_discount >= 0.1 AND l_tax >= 0.08 AND l_quantity > 40").select(F.col("l_suppkey").alias("subject")))
+    reports = lines.select(F.col("l_orderkey").alias("subject"), F.concat("l_returnflag", "l_linestatus").alias("input"))
+    return plans.readiness(reports, lines.where("l_discount >= 0.1 AND l_tax >= 0.08 AND l_quantity > 40").select(F.col("l_orderkey").alias("subject")))
 
 
 @query("runtime_frontier", """
@@ -82,11 +82,11 @@ def runtime_frontier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("runtime_closure", """
-WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 47), e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM l UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM l WHERE l_partkey % 3 = 0),
+WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM l UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM l WHERE l_partkey % 3 = 0),
  r AS (SELECT 's' || min(s_suppkey) AS v FROM supplier UNION SELECT dst FROM r JOIN e ON src = v) SELECT v FROM r""")
 def runtime_closure(spark: SparkSession, sf: str) -> DataFrame:
-    """What the first supplier reaches over large returned lines; only every third part leads on to other suppliers."""
-    lines = settled(table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity > 47").select("l_suppkey", "l_partkey").distinct(), "lines")
+    """What the first supplier reaches over all lines; only every third part leads on to other suppliers."""
+    lines = settled(table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct(), "lines")
     s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     edges = lines.select(s.alias("src"), p.alias("dst"), F.lit(True).alias("open")).unionByName(lines.select(p.alias("src"), s.alias("dst"), (F.col("l_partkey") % 3 == 0).alias("open")))
     roots = table(spark, sf, "supplier").agg(F.concat(F.lit("s"), F.min("s_suppkey").cast("string")).alias("v"))
@@ -117,18 +117,18 @@ def dynamic_targets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("source_binding", """
-WITH m AS (SELECT doc_id, lower(w) AS name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[a-z]{3,}')) AS w FROM documents WHERE lang = 'en') GROUP BY ALL),
- s AS (SELECT lower(split_part(p_name, ' ', 2)) AS name, p_brand AS symbol FROM part UNION ALL SELECT lang, source FROM documents WHERE doc_id % 100 = 1 UNION ALL SELECT DISTINCT regexp_extract(text, '^([a-zA-Z]+)', 1), 'head' FROM documents WHERE doc_id % 4 = 1),
+WITH m AS (SELECT doc_id, lower(w) AS name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[a-z]{3,}')) AS w FROM documents) GROUP BY ALL),
+ s AS (SELECT lower(split_part(p_name, ' ', 2)) AS name, p_brand AS symbol FROM part UNION ALL SELECT DISTINCT lang, source FROM documents UNION ALL SELECT DISTINCT regexp_extract(text, '^([a-zA-Z]+)', 1), 'head' FROM documents),
  h AS (SELECT name, count(*) AS c, min(symbol) AS symbol FROM s GROUP BY 1)
 SELECT state, count(*) AS mentions, sum(n)::BIGINT AS uses FROM (SELECT n, CASE WHEN c IS NULL THEN 'none' WHEN c = 1 THEN 'exact' ELSE 'ambiguous' END AS state FROM m LEFT JOIN h USING (name)) GROUP BY 1""")
 def source_binding(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of English documents bound to symbols of the same name, if there is one such symbol."""
+    """Words of documents bound to symbols of the same name, if there is one such symbol."""
     docs = table(spark, sf, "documents")
-    words = docs.where("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), 0)).alias("name"))
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), 0)).alias("name"))
     mentions = words.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
     symbols = table(spark, sf, "part").select(F.lower(F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))).alias("name"), F.col("p_brand").alias("symbol"))
-    symbols = symbols.unionByName(docs.where("doc_id % 100 = 1").select(F.col("lang").alias("name"), F.col("source").alias("symbol")))
-    heads = docs.where("doc_id % 4 = 1").select(F.regexp_extract("text", "^([a-zA-Z]+)", 1).alias("name"), F.lit("head").alias("symbol")).distinct()
+    symbols = symbols.unionByName(docs.select(F.col("lang").alias("name"), F.col("source").alias("symbol")).distinct())
+    heads = docs.select(F.regexp_extract("text", "^([a-zA-Z]+)", 1).alias("name"), F.lit("head").alias("symbol")).distinct()
     return plans.bound(mentions, symbols.unionByName(heads), "name").groupBy("state").agg(F.count(F.lit(1)).alias("mentions"), F.sum("n").alias("uses"))
 
 
@@ -142,19 +142,19 @@ def capsule_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("alias_plan", """
-WITH p AS (SELECT DISTINCT c_nationkey || ':' || c_custkey % 50 AS old, c_mktsegment || ':' || c_custkey % 200 AS new FROM customer WHERE c_acctbal > 6000)
+WITH p AS (SELECT DISTINCT c_nationkey || ':' || c_custkey % 120 AS old, c_mktsegment || ':' || c_custkey % 500 AS new FROM customer)
 SELECT old, new, CASE WHEN count(*) OVER (PARTITION BY old) > 1 THEN 'old_twice' WHEN count(*) OVER (PARTITION BY new) > 1 THEN 'new_twice' ELSE 'good' END AS state FROM p""")
 def alias_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Aliases that must be one to one, both ways."""
-    named = table(spark, sf, "customer").where("c_acctbal > 6000").select(F.concat_ws(":", "c_nationkey", F.col("c_custkey") % 50).alias("old"), F.concat_ws(":", "c_mktsegment", F.col("c_custkey") % 200).alias("new"))
+    named = table(spark, sf, "customer").select(F.concat_ws(":", "c_nationkey", F.col("c_custkey") % 120).alias("old"), F.concat_ws(":", "c_mktsegment", F.col("c_custkey") % 500).alias("new"))
     return plans.bijection(named, "old", "new")
 
 
 @query("reverse_alias", """
-WITH p AS (SELECT DISTINCT c_nationkey || ':' || c_custkey % 50 AS old, c_mktsegment || ':' || c_custkey % 200 AS new FROM customer WHERE c_acctbal > 6000),
+WITH p AS (SELECT DISTINCT c_nationkey || ':' || c_custkey % 120 AS old, c_mktsegment || ':' || c_custkey % 500 AS new FROM customer),
  q AS (SELECT *, count(*) OVER (PARTITION BY old) AS a, count(*) OVER (PARTITION BY new) AS b FROM p) SELECT new AS old, old AS new FROM q WHERE a = 1 AND b = 1""")
 def reverse_alias(spark: SparkSession, sf: str) -> DataFrame:
-    named = table(spark, sf, "customer").where("c_acctbal > 6000").select(F.concat_ws(":", "c_nationkey", F.col("c_custkey") % 50).alias("old"), F.concat_ws(":", "c_mktsegment", F.col("c_custkey") % 200).alias("new"))
+    named = table(spark, sf, "customer").select(F.concat_ws(":", "c_nationkey", F.col("c_custkey") % 120).alias("old"), F.concat_ws(":", "c_mktsegment", F.col("c_custkey") % 500).alias("new"))
     return plans.reversed_mapping(named, "old", "new")
 
 

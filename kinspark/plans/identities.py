@@ -90,17 +90,17 @@ def declaration_sandwich(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("runtime_retention", """
 WITH RECURSIVE e AS (SELECT DISTINCT event_type || user_id % 40 AS src, coalesce(nxt || (user_id + floor(value)::INT) % 40, '') AS dst FROM
-  (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE event_type <> 'error' AND nxt IS NOT NULL AND value > 24),
+  (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE event_type <> 'error' AND nxt IS NOT NULL),
  k AS (SELECT DISTINCT event_type || user_id % 40 AS node FROM events), t AS (SELECT min(node) AS node FROM k WHERE node LIKE 'purchase%'),
  r AS (SELECT node FROM t UNION SELECT dst FROM r JOIN e ON src = node)
 SELECT node, CASE WHEN node IN (SELECT node FROM t) THEN 'root' WHEN node IN (SELECT node FROM r) THEN 'needed' ELSE 'dead' END AS state FROM k""")
 def runtime_retention(spark: SparkSession, sf: str) -> DataFrame:
-    """Event types of groups of users as nodes, high-valued steps as edges; edges from errors are not walked."""
+    """Event types of groups of users as nodes, steps as edges; edges from errors are not walked."""
     events = table(spark, sf, "events")
     node = F.concat("event_type", (F.col("user_id") % 40).cast("string"))
     after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     moved = F.concat("nxt", ((F.col("user_id") + F.floor("value").cast("int")) % 40).cast("string"))
-    steps = events.withColumn("nxt", after).where("nxt IS NOT NULL AND value > 24").select("event_type", node.alias("src"), moved.alias("dst"))
+    steps = events.withColumn("nxt", after).where("nxt IS NOT NULL").select("event_type", node.alias("src"), moved.alias("dst"))
     nodes = events.select(node.alias("node")).distinct()
     roots = nodes.where(F.col("node").startswith("purchase")).agg(F.min("node").alias("v"))
     return lineage.retained(nodes, graph.walk(steps, roots, open_=F.col("event_type") != "error"))

@@ -158,14 +158,14 @@ def topology_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("literal_tiers", """
-WITH a AS (SELECT DISTINCT user_id, event_type || floor(value / 12)::INT AS w FROM events WHERE event_id % 2 = 0 AND value > 25), b AS (SELECT DISTINCT user_id, event_type || floor(value / 12)::INT AS w FROM events WHERE event_id % 2 = 1 AND value > 20),
+WITH a AS (SELECT DISTINCT user_id, event_type || floor(value / 12)::INT AS w FROM events WHERE event_id % 2 = 0), b AS (SELECT DISTINCT user_id, event_type || floor(value / 12)::INT AS w FROM events WHERE event_id % 2 = 1),
  h AS (SELECT a.user_id, count(b.w) AS shared, count(*) AS own FROM a LEFT JOIN b ON b.user_id = a.user_id AND b.w = a.w GROUP BY 1), m AS (SELECT user_id, count(*) AS other FROM b GROUP BY 1)
 SELECT user_id, shared, own, CASE WHEN shared = own AND other = own THEN 'exact' WHEN shared / own >= 0.8 THEN 'strong' WHEN shared > 0 THEN 'partial' ELSE 'none' END AS tier FROM h LEFT JOIN m USING (user_id)""")
 def literal_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    """How much of a user's set of high values the other half of the log corroborates."""
+    """How much of a user's set of values the other half of the log corroborates."""
     events = table(spark, sf, "events")
     word = F.concat("event_type", F.floor(F.col("value") / 12).cast("int").cast("string"))
-    a, b = (events.where((F.col("event_id") % 2 == k) & (F.col("value") > least)).select("user_id", word.alias("w")) for k, least in ((0, 25), (1, 20)))
+    a, b = (events.where(F.col("event_id") % 2 == k).select("user_id", word.alias("w")) for k in (0, 1))
     return evidence.tiers(a, b, "user_id", "w")
 
 
@@ -204,12 +204,12 @@ def class_witnesses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("counterfactual_impact", """
-WITH c AS (SELECT event_id % 2 AS k, event_type AS t, user_id % 20 AS g, count(*) AS n FROM events WHERE value > 20 GROUP BY ALL), m AS (SELECT k, CASE WHEN t = 'click' THEN 'view' ELSE t END AS t, g, sum(n)::BIGINT AS n FROM c GROUP BY ALL)
+WITH c AS (SELECT event_id % 2 AS k, event_type AS t, user_id % 20 AS g, count(*) AS n FROM events GROUP BY ALL), m AS (SELECT k, CASE WHEN t = 'click' THEN 'view' ELSE t END AS t, g, sum(n)::BIGINT AS n FROM c GROUP BY ALL)
 SELECT g, count(*) FILTER (WHERE kind = 'now' AND a = b) AS equal_now, count(*) FILTER (WHERE kind = 'then' AND a = b) AS equal_then FROM (
  SELECT 'now' AS kind, g, t, max(n) FILTER (WHERE k = 0) AS a, max(n) FILTER (WHERE k = 1) AS b FROM c GROUP BY ALL UNION ALL SELECT 'then', g, t, max(n) FILTER (WHERE k = 0), max(n) FILTER (WHERE k = 1) FROM m GROUP BY ALL) GROUP BY 1""")
 def counterfactual_impact(spark: SparkSession, sf: str) -> DataFrame:
     """How many counts of a group agree between the halves now, and would if clicks were views."""
-    events = table(spark, sf, "events").where("value > 20").select((F.col("event_id") % 2).alias("k"), F.col("event_type").alias("t"), (F.col("user_id") % 20).alias("g"))
+    events = table(spark, sf, "events").select((F.col("event_id") % 2).alias("k"), F.col("event_type").alias("t"), (F.col("user_id") % 20).alias("g"))
     alias = F.when(F.col("t") == "click", "view").otherwise(F.col("t"))
     kinds = F.explode(F.array(F.struct(F.lit("now").alias("kind"), F.col("t").alias("t")), F.struct(F.lit("then").alias("kind"), alias.alias("t"))))
     counted = events.select("k", "g", kinds.alias("x")).groupBy("g", "x").agg(F.count_if(F.col("k") == 0).alias("a"), F.count_if(F.col("k") == 1).alias("b"))

@@ -399,10 +399,10 @@ def digest_pins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("one_to_one_gate", """
-WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity >= 49)
+WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)
 SELECT 'left' AS side, l_orderkey::VARCHAR AS key, count(*) AS n FROM p GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'right', l_suppkey::VARCHAR, count(*) FROM p GROUP BY ALL HAVING count(*) > 1""")
 def one_to_one_gate(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = table(spark, sf, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_suppkey").distinct()
+    pairs = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     return checks.one_to_one(pairs, "l_orderkey", "l_suppkey")
 
 
