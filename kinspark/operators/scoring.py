@@ -12,19 +12,16 @@ from ..sources.shared import settled
 
 def multiset_jaccard(pairs: DataFrame, counts: DataFrame, left: str, right: str, owner: str, token: str) -> DataFrame:
     """(left, right, jaccard) from token counts (owner, token, n): sum of least over sum of
-    greatest; null where both are empty. Only shared tokens are joined: the greatest sums
-    follow from totals, as greatest(a, b) = a + b - least(a, b). The counts are settled, as both sides and the totals read them."""
-    counts = settled(counts, "counts")
-    totals = counts.groupBy(owner).agg(F.sum("n").alias("total"))
-    a = counts.select(F.col(owner).alias(left), token, F.col("n").alias("__a"))
-    b = counts.select(F.col(owner).alias(right), token, F.col("n").alias("__b"))
-    shared = pairs.join(a, left).join(b, [right, token]).groupBy(left, right).agg(F.sum(F.least("__a", "__b")).alias("both"))
-    ta = totals.select(F.col(owner).alias(left), F.col("total").alias("__ta"))
-    tb = totals.select(F.col(owner).alias(right), F.col("total").alias("__tb"))
-    out = pairs.join(ta, left, "left").join(tb, right, "left").join(shared, [left, right], "left")
-    both = F.coalesce("both", F.lit(0))
-    whole = F.coalesce("__ta", F.lit(0)) + F.coalesce("__tb", F.lit(0)) - both
-    return out.select(left, right, F.when(whole > 0, F.round(both / whole, 6)).alias("jaccard"))
+    greatest; null where both are empty. Each owner's counts go to its pairs once, and greatest(a, b) = a + b - least(a, b), so
+    a pair's tokens are added up where they meet; nothing is written or joined by token."""
+    sides = pairs.select(F.col(left).alias(owner), left, right).unionByName(pairs.select(F.col(right).alias(owner), left, right)).distinct()
+    each = counts.join(sides, owner).repartition(left, right)
+    ends = [F.sum(F.when(F.col(owner) == F.col(e), F.col("n")).otherwise(0)).alias(k) for e, k in ((left, "__a"), (right, "__b"))]
+    by_token = each.groupBy(left, right, token).agg(*ends)
+    sums = by_token.groupBy(left, right).agg(F.sum(F.least("__a", "__b")).alias("__both"), F.sum(F.col("__a") + F.col("__b")).alias("__all"))
+    out = pairs.join(sums, [left, right], "left")
+    whole = F.coalesce("__all", F.lit(0)) - F.coalesce("__both", F.lit(0))
+    return out.select(left, right, F.when(whole > 0, F.round(F.coalesce("__both", F.lit(0)) / whole, 6)).alias("jaccard"))
 
 
 def noisy_or(df: DataFrame, target: str, family: str, weight: Column, most: float = 0.995) -> DataFrame:
@@ -55,14 +52,23 @@ def dominance_votes(pairs: DataFrame, source: str, target: str, least_share: flo
 
 
 def idf_top(tokens: DataFrame, owners: DataFrame, owner: str, token: str, k: int) -> DataFrame:
-    """(owner, token, df, idf, rank): the k rarest tokens of each owner; idf = ln((n + 1) / (df + 1)) + 1. Distinct
-    tokens are settled once, for the frequencies and for the owners that they are joined back to."""
-    each = settled(tokens.select(owner, token).distinct(), "tokens")
+    """(owner, token, df, idf, rank): the k rarest tokens of each owner; idf = ln((n + 1) / (df + 1)) + 1.
+
+    Tokens of more than a 4 P-th of all (owner, token) rows on P partitions, of which there can be no more than 4 P, get their
+    frequency by broadcast and do not travel; the others are joined by token. Each side's k rarest of an owner go on."""
+    spark = tokens.sparkSession
+    each = tokens.select(owner, token).distinct()
     n = owners.agg(F.count(F.lit(1)).alias("__n"))  # one row
-    df = each.groupBy(token).agg(F.count(F.lit(1)).alias("df"))
-    scored = each.join(df, token).join(F.broadcast(n)).withColumn("idf", F.round(F.log((F.col("__n") + 1) / (F.col("df") + 1)) + 1, 6))
+    df = settled(each.groupBy(token).agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    rows = df.agg(F.sum("df")).first()[0] or 0
+    most = rows // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    large = F.broadcast(df.where(F.col("df") > most))
     order = Window.partitionBy(owner).orderBy("df", token)
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).drop("__n")
+    rare = each.join(large.select(token), token, "left_anti").join(df.where(F.col("df") <= most), token)
+    scored = each.join(large, token).unionByName(rare)
+    top = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    idf = F.round(F.log((F.col("__n") + 1) / (F.col("df") + 1)) + 1, 6)
+    return top.join(F.broadcast(n)).select(owner, token, "df", idf.alias("idf"), "rank")
 
 
 def dice(counts: DataFrame, left: str, right: str, token: str) -> DataFrame:

@@ -77,11 +77,14 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "number") -> DataF
 
 
 def successors(df: DataFrame, group: str, key: str) -> DataFrame:
-    """(group, a, b): each key and the next one of its group, whatever the size of a group: rows are numbered over
-    ranges of (group, key), and neighbours meet by their numbers."""
-    found = settled(numbered(df.select(group, key), [group, key]), "numbered")
-    after = found.select(F.col(group).alias("__group"), F.col(key).alias("b"), (F.col("number") - 1).alias("number"))
-    return found.join(after, "number").where(F.col(group).eqNullSafe(F.col("__group"))).select(group, F.col(key).alias("a"), "b")
+    """(group, a, b): each key and the next one of its group, whatever the size of a group: within ranges of (group, key) rows look at
+    the next one, and the last row of a range at the first one of the next range (a row a range)."""
+    dealt = settled(df.select(F.col(group).alias("__g"), F.col(key).alias("a")).repartitionByRange("__g", "a").withColumn("__range", F.spark_partition_id()), "ranges")
+    after = F.lead(F.struct("__g", F.col("a").alias("b"))).over(Window.partitionBy("__range").orderBy("__g", "a"))
+    firsts = dealt.groupBy("__range").agg(F.min(F.struct("__g", F.col("a").alias("b"))).alias("__first"))
+    beyond = settled(firsts.select("__range", F.lead("__first").over(Window.orderBy("__range")).alias("__beyond")), "heads")
+    found = dealt.withColumn("__next", after).join(F.broadcast(beyond), "__range").withColumn("__next", F.coalesce("__next", "__beyond"))
+    return found.where(F.col("__g").eqNullSafe(F.col("__next.__g"))).select(F.col("__g").alias(group), "a", F.col("__next.b").alias("b"))
 
 
 def dense_ids(keys: DataFrame, key: str, prefix: str) -> DataFrame:

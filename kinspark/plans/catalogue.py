@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dependencies, fixpoints, identities, lanes, matching, records, registry, scoring, sequences, spans
+from . import dependencies, files, fixpoints, identities, lanes, matching, records, registry, scoring, sequences, spans
 
-_OWN = (records.query, lanes.query, registry.query, dependencies.query, fixpoints.query, spans.query)
+_OWN = (records.query, lanes.query, registry.query, dependencies.query, fixpoints.query, spans.query, files.query)
 
 
 def queries() -> dict:

@@ -363,17 +363,33 @@ def edit_steps(spark: SparkSession, sf: str) -> DataFrame:
     return edits.edit_scripts(pairs, "user_id", "long")
 
 
-@query("archive_index_scan", "SELECT 'pages-' || page_id % 16 || '.zip' AS archive, page_id || '.html' AS path, octet_length(encode(html))::BIGINT AS size, sha256(html) AS sha256 FROM pages")
+@query("archive_index_scan", "SELECT 'pages-' || page_id // 100 || '.zip' AS archive, page_id || '.html' AS path, octet_length(encode(html))::BIGINT AS size, sha256(html) AS sha256 FROM pages")
 def archive_index_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages packed into archives and found again in their index."""
-    pages = table(spark, sf, "pages").select(F.concat(F.lit("pages-"), (F.col("page_id") % 16).cast("string"), F.lit(".zip")).alias("archive"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
-    return archive.entries_of(archive.packed(pages)).where("error IS NULL").select("archive", "path", "size", "sha256")
+    """Pages packed into archives of a hundred and found again in their index; there are more archives of more pages, none larger."""
+    return archive.entries_of(archive.packed(_packable(spark, sf))).where("error IS NULL").select("archive", "path", "size", "sha256")
 
 
-@query("archive_manifest_gate", "SELECT 'a' || page_id % 4 AS archive, (page_id % 100)::VARCHAR AS path, count(*) AS n FROM pages GROUP BY ALL HAVING count(*) > 1")
+def _packable(spark: SparkSession, sf: str) -> DataFrame:
+    number = F.floor(F.col("page_id") / 100).cast("string")
+    return table(spark, sf, "pages").select(F.concat(F.lit("pages-"), number, F.lit(".zip")).alias("archive"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+
+
+@query("archive_lookup", """
+SELECT 'pages-' || page_id // 100 || '.zip' AS archive, page_id || '.html' AS path, sha256(html) AS sha256 FROM pages WHERE url LIKE '%.html' OR url LIKE '%#top'""")
+def archive_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of some kinds of addresses looked up in those archives: only wanted entries are decompressed."""
+    pages = table(spark, sf, "pages").where("url LIKE '%.html' OR url LIKE '%#top'")
+    number = F.floor(F.col("page_id") / 100).cast("string")
+    wanted = pages.select(F.concat(F.lit("pages-"), number, F.lit(".zip")).alias("archive"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"))
+    missing = wanted.withColumn("path", F.concat("path", F.lit(".gone")))  # no entry, so no row
+    found = archive.lookup(archive.packed(_packable(spark, sf)), wanted.unionByName(missing))
+    return found.select("archive", "path", F.sha2("content", 256).alias("sha256"))
+
+
+@query("archive_manifest_gate", "SELECT 'a' || page_id // 200 AS archive, (page_id % 100)::VARCHAR AS path, count(*) AS n FROM pages GROUP BY ALL HAVING count(*) > 1")
 def archive_manifest_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Names that an archive has more than once, from its directory alone."""
-    pages = table(spark, sf, "pages").select(F.concat(F.lit("a"), (F.col("page_id") % 4).cast("string")).alias("archive"), (F.col("page_id") % 100).cast("string").alias("path"), F.encode("url", "UTF-8").alias("content"))
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("a"), F.floor(F.col("page_id") / 200).cast("string")).alias("archive"), (F.col("page_id") % 100).cast("string").alias("path"), F.encode("url", "UTF-8").alias("content"))
     return archive.duplicates(archive.directory_of(archive.packed(pages)))
 
 
