@@ -1,11 +1,12 @@
-"""Range joins, block graphs and patterns over the driver's tables."""
+"""Range joins, block graphs, patterns and alignments over the driver's tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import blocks, spans
+from ..operators import alignment, blocks, spans
+from ..sources.shared import settled
 from .tables import Catalogue, table
 
 query = Catalogue()
@@ -91,3 +92,30 @@ def write_chains(spark: SparkSession, sf: str) -> DataFrame:
     judged = judged.join(value("first", "__a"), ["user_id", "first"]).join(value("last", "__b"), ["user_id", "last"])
     outcome = F.when(F.col("__b") < F.col("__a"), "falls").when(F.col("entries") > 0, "entered").otherwise("accepted")
     return judged.select("user_id", "first", "last", "entries", outcome.alias("outcome"))
+
+
+_TURNS = """t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, list_filter(string_split(text, ' '), lambda x: x <> '') AS w, lead(list_filter(string_split(text, ' '), lambda x: x <> '')) OVER (PARTITION BY conv_id ORDER BY turn) AS v FROM conversations),
+ p AS (SELECT conv_id, place, w, v FROM t WHERE v IS NOT NULL), a AS (SELECT conv_id, place, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM p), b AS (SELECT conv_id, place, unnest(v) AS token, generate_subscripts(v, 1) AS i FROM p),
+ x AS (SELECT conv_id, place, token, min(i) AS l FROM a GROUP BY ALL HAVING count(*) = 1), y AS (SELECT conv_id, place, token, min(i) AS r FROM b GROUP BY ALL HAVING count(*) = 1),
+ k AS (SELECT conv_id, place, list(r ORDER BY l) AS rs FROM x JOIN y USING (conv_id, place, token) GROUP BY ALL)"""
+# The longest chain that ends at each anchor, from left to right, as pairs of its place and length.
+_RISE = "list_max(list_transform(list_reduce(list_prepend([]::BIGINT[][], list_transform(rs, lambda r: [[r, 0]])), lambda s, r: list_append(s, [r[1][1], 1 + coalesce(list_max(list_transform(list_filter(s, lambda q: q[1] < r[1][1]), lambda q: q[2])), 0)])), lambda q: q[2]))"
+
+
+def _turns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The words of each turn and those of the next, as the two sides of a pair."""
+    talk = table(spark, sf, "conversations")
+    own = Window.partitionBy("conv_id").orderBy("turn")
+    words = F.filter(F.split("text", " "), lambda x: x != "")
+    pairs = talk.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.row_number().over(own).cast("string")).alias("pair"), words.alias("w"), F.lead(words).over(own).alias("v")).where("v IS NOT NULL")
+    each = lambda c: pairs.select("pair", F.posexplode(c).alias("place", "token"))
+    return each("w"), each("v")
+
+
+@query("anchor_alignment", f"WITH {_TURNS} SELECT conv_id || ':' || place AS pair, len(rs) AS anchors, {_RISE} AS chain FROM k")
+def anchor_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Each turn of a conversation beside the next one: words that stand once in both, and the longest chain of them that rises in both."""
+    sides = [df.withColumn("gap", F.lit(0).cast("long")) for df in _turns(spark, sf)]
+    found = settled(alignment.anchors(*sides), "anchors")
+    chain = alignment.chained(found).groupBy("pair").agg(F.count(F.lit(1)).alias("chain"))
+    return found.groupBy("pair").agg(F.count(F.lit(1)).alias("anchors")).join(chain, "pair")
