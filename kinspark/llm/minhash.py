@@ -15,7 +15,10 @@ permutations each make a band.
    candidates that hang together become clusters. In each cluster, pairs of different
    components are confirmed on full sets. Large buckets and clusters are cut into chunks
    that are taken two by two, chunks of the largest component only with others, so
-   nothing is capped and n copies with k stragglers are n + k * n / chunk rows.
+   nothing is capped and n copies with k stragglers are n + k * n / chunk rows. Where more
+   classes than a chunk are outside the largest component, as in pages of one template that
+   are not alike enough, nothing is taken two by two: only classes that share one of their
+   rarest shingles meet, and any two at the threshold do (``prefixes``).
    A pair over the threshold misses all bands with a probability of about
    (1 - 0.85**4)**16 < 1e-5.
 4. Confirmed links give the components.
@@ -197,23 +200,65 @@ def numbered(rows: list[tuple], n: int):
     return group, list(zip(*rows, strict=True))
 
 
-def in_chunks(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """Rows (key, rep, comp) of keys that hold several components, with work items (key, lo, hi):
-    chunks of a key's rows, of about ``most`` rows each, taken two by two; chunks of the key's
-    largest component are only taken with others. ``across``: the two differ; ``side``: which one a row is of."""
+def measured(rows: DataFrame, key: str) -> DataFrame:
+    """(key, large, heavy, light) of keys whose rows (key, rep, comp) are of several components: the largest one, and the rows in it and in the others."""
     top = F.max(F.struct("count", F.col("comp").alias("large")))
     sizes = rows.groupBy(key, "comp").count().groupBy(key).agg(F.count("comp").alias("comps"), F.sum("count").alias("all"), top.alias("top")).where("comps > 1")
-    sizes = sizes.select(key, "top.large", F.ceil(F.col("top.count") / most).alias("heavy"), F.ceil((F.col("all") - F.col("top.count")) / most).alias("light"))
-    rows = rows.join(sizes, key)
+    return sizes.select(key, "top.large", F.col("top.count").alias("heavy"), (F.col("all") - F.col("top.count")).alias("light"))
+
+
+def in_chunks(rows: DataFrame, sizes: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows (key, rep, comp) of the keys in ``sizes``, with work items (key, lo, hi): chunks of a key's rows, of about ``most`` rows
+    each, taken two by two; chunks of the key's largest component are only taken with others. ``across``: the two differ; ``side``: which one a row is of."""
+    return dealt(rows.join(sizes, key).withColumn("alone", F.col("comp") == F.col("large")), key, most)
+
+
+def dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Work items of rows (key, rep, comp, alone, heavy, light), where those that are ``alone``, heavy in number, are not taken with each other."""
+    chunks = lambda c: F.greatest(F.ceil(F.col(c) / most), F.lit(1))
     draw = F.xxhash64("rep")
-    in_large = F.col("comp") == F.col("large")
-    rows = rows.withColumn("own", F.when(in_large, F.col("light") + F.pmod(draw, F.col("heavy"))).otherwise(F.pmod(draw, F.col("light"))))
-    others = F.when(in_large, F.col("light")).otherwise(F.col("light") + F.col("heavy"))
+    rows = rows.withColumn("heavy", chunks("heavy")).withColumn("light", chunks("light"))
+    rows = rows.withColumn("own", F.when(F.col("alone"), F.col("light") + F.pmod(draw, F.col("heavy"))).otherwise(F.pmod(draw, F.col("light"))))
+    others = F.when(F.col("alone"), F.col("light")).otherwise(F.col("light") + F.col("heavy"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
     side, across = F.col("own") <= F.col("other"), F.col("own") != F.col("other")
     return rows.select(key, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), across.alias("across"), "rep", "comp")
 
 
+def prefixes(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Work rows (shingle, rep, comp, alone, heavy, light) in which every two members (rep, comp) at the threshold, of different components, meet.
+
+    Shingles are put in one order, the rarest among all members first. If x and the no smaller y share ``both`` shingles, the first one
+    that they share has no more than |x| - both and |y| - both before it. At the threshold, both * 185 >= 85 * (|x| + |y|). So x has it among its
+    first |x| - ceil(170 |x| / 185) + 1, which are its index rows, and y at a place that leaves enough behind it for a partner of |x|
+    shingles; its rows up to such places are probes. Index rows meet each other and the probes, probes not each other. Texts of one
+    template that are not alike differ in their rarest shingles, which nothing else has."""
+    spark = texts.sparkSession
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = shingle_sets(texts_of(part))
+                size = np.fromiter(map(len, sets), np.int64, len(sets))
+                columns = [np.repeat(part.column(c).to_numpy(), size) for c in ("rep", "comp")]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.repeat(size, size)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["rep", "comp", "size", "shingle"])
+
+    rows = settled(members.join(texts, "rep").select("rep", "comp", "text").mapInArrow(run, "rep long, comp long, size long, shingle long"), "shingles")
+    several = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle")) - 1
+    placed = rows.join(several, "shingle", "left").fillna(1, ["df"]).withColumn("place", place).where("df > 1")
+    whole, size = 100 + PERCENT, F.col("size")
+    index = F.col("place") <= size - F.ceil(2 * PERCENT * size / whole)
+    partner = F.floor((size - F.col("place")) * whole / PERCENT) - size  # the largest one of no more than its own size
+    placed = placed.select("shingle", "rep", "comp", "size", index.alias("index"), F.least(partner, size).alias("partner")).where(F.col("partner") * 100 >= PERCENT * size)
+    placed = settled(placed, "prefixes")
+    least = placed.where("index").groupBy("shingle").agg(F.min("size").alias("least"))
+    met = placed.join(least, "shingle").where("index OR partner >= least").withColumn("alone", ~F.col("index"))
+    sizes = met.groupBy("shingle").agg(F.count_if("alone").alias("heavy"), F.count_if("index").alias("light"), (F.min("comp") != F.max("comp")).alias("several")).where("several")
+    return met.join(sizes, "shingle").select("shingle", "rep", "comp", "alone", "heavy", "light")
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sets of different classes reach the threshold."""
     small, large = sorted((len(x), len(y)))
@@ -261,9 +306,13 @@ def starred(texts: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFram
 
 
 def candidates(classes: DataFrame, shared: DataFrame) -> DataFrame:
-    """Edges (a, b) that join classes of one bucket with agreeing sketches, in different components."""
+    """Edges (a, b) that join classes of one bucket (bucket, rep, comp, pivot) with agreeing sketches, in different components. In a bucket
+    of many small components all are joined to its first class: ``confirmed`` finds which are alike without taking them two by two."""
     spark = classes.sparkSession
-    work = in_chunks(shared.select("bucket", "rep", "comp"), "bucket", BUCKET_ROWS).join(classes.select("rep", "sketch"), "rep")
+    rows = shared.select("bucket", "rep", "comp")
+    sizes = settled(measured(rows, "bucket"), "sizes")
+    wide = shared.join(sizes.where(F.col("light") > BUCKET_ROWS).select("bucket"), "bucket").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    work = in_chunks(rows, sizes.where(F.col("light") <= BUCKET_ROWS), "bucket", BUCKET_ROWS).join(classes.select("rep", "sketch"), "rep")
     keys = ["bucket", "lo", "hi"]
 
     def run(batches):
@@ -275,14 +324,26 @@ def candidates(classes: DataFrame, shared: DataFrame) -> DataFrame:
             seen = [x for a, b in zip(rep[left].tolist(), rep[right].tolist(), strict=True) if forest.join(a, b) for x in (a, b)]
             yield edge_batch([(x, forest.root(x)) for x in seen])
 
-    return work.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return work.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").unionByName(wide)
 
 
 def confirmed(texts: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Links (a, b) between classes of a cluster (rep, cluster, comp) with similar sets, enough of them to join all that are linked."""
+    """Links (a, b) between classes of a cluster (rep, cluster, comp) with similar sets, enough of them to join all that are linked.
+    Clusters of many small components are searched by the rarest shingles of their texts (``prefixes``), others two by two."""
+    sizes = settled(measured(clusters, "cluster"), "sizes")
+    wide = sizes.where(F.col("light") > CLUSTER_ROWS).select("cluster")
+    links = compared(texts, classes, in_chunks(clusters, sizes.where(F.col("light") <= CLUSTER_ROWS), "cluster", CLUSTER_ROWS), "cluster")
+    if wide.isEmpty():
+        return links
+    members = clusters.join(wide, "cluster", "left_semi").select("rep", "comp")
+    return links.unionByName(compared(texts, classes, dealt(prefixes(texts, members), "shingle", CLUSTER_ROWS), "shingle"))
+
+
+def compared(texts: DataFrame, classes: DataFrame, work: DataFrame, key: str) -> DataFrame:
+    """Links (a, b) of the work items (key, lo, hi)."""
     spark = classes.sparkSession
-    work = in_chunks(clusters, "cluster", CLUSTER_ROWS).join(classes.select("rep", "sketch"), "rep").join(texts, "rep")
-    keys = ["cluster", "lo", "hi"]
+    work = work.join(classes.select("rep", "sketch"), "rep").join(texts, "rep")
+    keys = [key, "lo", "hi"]
 
     def run(batches):
         for group, cols in whole_groups(batches, keys, ["side", "across", "rep", "comp", "sketch", "text"]):

@@ -281,3 +281,42 @@ def test_compare(odd, odd_rows, nothing, spark):
     assert lcp.compare(nothing).count() == 0
     one = lcp.compare(spark.createDataFrame([(1, "abc def")], "doc_id long, text string")).first()
     assert one.near_next == 1.0 and one.n_chars == 7
+
+
+def one_template(seed, n, words=60, changed=(1, 1, 1, 2, 0)):
+    """Texts of one template with a word or two replaced, some by words that others have too, some longer or shorter."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.choice(changed)):
+            w[rng.randrange(len(w))] = rng.choice([f"x{rng.randrange(10**9)}", f"y{rng.randrange(5)}"])
+        if rng.random() < 0.2:
+            w += [f"t{rng.randrange(40)}"] * rng.randint(1, 3)
+        if rng.random() < 0.1:
+            del w[: rng.randint(1, 5)]
+        rows.append((i * 11 % 100003, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("bound", "seed"), [(24, 1), (8, 2), (64, 3)])
+def test_texts_of_one_template(spark, monkeypatch, bound, seed):
+    monkeypatch.setattr(minhash, "BUCKET_ROWS", bound)
+    monkeypatch.setattr(minhash, "CLUSTER_ROWS", bound)
+    check_linked(spark, one_template(seed, 260) + [(200000 + i, t) for i, (_, t) in enumerate(near_copies(seed, 40, 80, 4))])
+
+
+def test_prefixes_meet_all_pairs_at_the_threshold(spark):
+    rows = one_template(5, 160, 30, (1, 2, 3, 0)) + near_copies(6, 60, 50, 5)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    texts = spark.createDataFrame(rows, "rep long, text string")
+    work = minhash.prefixes(texts, texts.selectExpr("rep", "rep AS comp")).collect()
+    by = {}
+    for r in work:
+        by.setdefault(r.shingle, []).append((r.rep, r.alone))
+    met = {tuple(sorted((a, b))) for held in by.values() for a, x in held for b, y in held if a < b and not (x and y)}
+    sets = [shingles(t) for _, t in rows]
+    close = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert close and close <= met
+    assert len(met) < len(rows) ** 2 / 4
