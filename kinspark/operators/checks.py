@@ -70,3 +70,31 @@ def stable_digest(df: DataFrame, columns: Sequence[str], bits: int = 12) -> Data
     joined = lambda: F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256).alias("d")
     buckets = df.select(F.sha2(line, 256).alias("d")).groupBy(F.substring("d", 1, -(-bits // 4)).alias("bucket")).agg(joined(), F.count(F.lit(1)).alias("n"))
     return buckets.agg(joined(), F.sum("n").alias("n")).withColumnRenamed("d", "digest")
+
+
+def digest_of(df: DataFrame, *part: str) -> DataFrame:
+    """(part, n, digest) of a table, or of each part of it: whatever the order of rows, with repeated ones counted. Every row's SHA-256 is
+    cut into four numbers, which are added up, so rows are combined before they are shuffled and no list is made."""
+    row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    cut = [F.conv(F.substring(row, 15 * k + 1, 15), 16, 10).cast("decimal(38,0)").alias(f"__{k}") for k in range(4)]
+    sums = df.select(*part, *cut).groupBy(*part).agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"__{k}").alias(f"__{k}") for k in range(4)))
+    return sums.select(*part, "n", F.sha2(F.concat_ws("|", *(F.coalesce(F.col(f"__{k}"), F.lit(0)).cast("string") for k in range(4))), 256).alias("digest"))
+
+
+def frozen(df: DataFrame, path: str) -> DataFrame:
+    """The rows of df from a table at ``path`` that is written once. Where one stands already it is not touched: it is read if it
+    has the same digest, and else this is an error. The digest is written last, so a table without one was never finished; that is an error too."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    own = digest_of(df).first()
+    if there.exists(where):
+        if not there.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/digest")):
+            raise ValueError(f"{path} was never finished")
+        held = spark.read.json(f"{path}/digest").first()
+        if (held["n"], held["digest"]) != (own["n"], own["digest"]):
+            raise ValueError(f"{path} is frozen with other rows")
+    else:
+        df.write.mode("errorifexists").parquet(f"{path}/rows")
+        spark.createDataFrame([(own["n"], own["digest"])], "n long, digest string").coalesce(1).write.mode("errorifexists").json(f"{path}/digest")
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")

@@ -1,10 +1,13 @@
-"""Which class a name means where it is used: candidates from every channel by which it could be visible."""
+"""Which class a name means where it is used, by every channel through which it could be visible, and which names collide."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+from . import graph
+
 #: Channels by falling precedence: what an earlier one finds hides what later ones do.
 CHANNELS = ("qualified", "nested", "explicit_import", "same_package", "wildcard_import", "base")
 
@@ -50,3 +53,22 @@ def triaged(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
     out = mentions.select("unit", "token").distinct().join(counts, ["unit", "token"], "left").join(kinds.select("unit", "token", channels.alias("channels")), ["unit", "token"], "left")
     state = F.when(F.col("candidates").isNull(), "missing").when(F.col("candidates") == 1, "exact").otherwise("ambiguous")
     return out.select("unit", "token", state.alias("state"), F.when(F.col("candidates") == 1, F.col("name")).alias("name"), F.coalesce("channels", F.lit("")).alias("channels"), F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("hidden", F.lit(0)).alias("hidden"))
+
+
+def colliding(names: DataFrame) -> DataFrame:
+    """(name, component, size, relation) of the distinct names (column ``name``; parts between "/") that collide with another: equal but for
+    case, or one the folder of the other. Names that collide hang together in a component, known by its smallest name; the relation
+    is folder (of another), inside (another), both, or case (neither). Every name meets its own folders by equality."""
+    keyed = settled(names.select("name").dropna().distinct().withColumn("key", F.lower("name")), "names")
+    parts = F.split("key", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.when(k < F.size(parts), F.array_join(F.slice(parts, 1, k), "/")))
+    above = keyed.select(F.col("name").alias("a"), F.explode(F.array_compact(folders)).alias("key")).join(keyed.withColumnRenamed("name", "b"), "key").select("a", "b", F.lit(True).alias("inside"))
+    first = keyed.groupBy("key").agg(F.min("name").alias("b"))
+    case = keyed.join(first, "key").where("name <> b").select(F.col("name").alias("a"), "b", F.lit(False).alias("inside"))
+    links = settled(above.unionByName(case), "collisions")
+    found = graph.components(links.select("a", "b")).withColumnRenamed("v", "name")
+    ends = links.where("inside").select(F.explode(F.array(F.struct(F.col("a").alias("name"), F.lit(1).alias("i"), F.lit(0).alias("f")), F.struct(F.col("b").alias("name"), F.lit(0).alias("i"), F.lit(1).alias("f")))).alias("e")).select("e.*")
+    sides = ends.groupBy("name").agg(F.max("i").alias("i"), F.max("f").alias("f"))
+    relation = F.when((F.col("i") == 1) & (F.col("f") == 1), "both").when(F.col("i") == 1, "inside").when(F.col("f") == 1, "folder").otherwise("case")
+    size = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return found.join(size, "component").join(sides, "name", "left").select("name", "component", "size", relation.alias("relation"))

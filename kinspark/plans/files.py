@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import checks
 from ..sources import documents
 from ..sources.shared import shared_folder
 from .tables import Catalogue, table
@@ -85,3 +86,15 @@ SELECT owner, key, value, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.owner = l.ow
 def property_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """The same properties with the references in their values resolved: chains, unknown keys and cycles."""
     return documents.interpolated(_properties(spark, sf))
+
+
+_CUT = ", ".join(f"sum(('0x' || h[{15 * k + 1}:{15 * k + 15}])::BIGINT::HUGEINT)::VARCHAR" for k in range(4))
+
+
+@query("frozen_snapshot", f"""
+WITH r AS (SELECT o_orderstatus, sha256('{{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}}') AS h FROM orders)
+SELECT o_orderstatus, count(*) AS n, sha256(concat_ws('|', {_CUT})) AS digest FROM r GROUP BY 1""")
+def frozen_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders frozen to a table that is written once, and the digest of each of its parts as it is read back."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return checks.digest_of(checks.frozen(rows, _fresh(spark, "frozen")), "o_orderstatus")

@@ -135,10 +135,12 @@ def flow_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return fixpoints.flowed(edges, steps.where("value > 120").select("v", F.col("event_type").alias("name"))).fillna("", ["name"])
 
 
+_NAMES = r"""d AS (SELECT lang, doc_id, list_transform(string_split(text, ' ')[1:3], lambda x: regexp_replace(x, '[^A-Za-z]+', '', 'g')) AS w FROM documents),
+ w AS (SELECT DISTINCT unnest([lang || '/' || w[1], lang || '/' || w[1] || '/' || w[2], lang || '/' || w[2] || '$' || w[3], lang || '/' || upper(w[3]), lang || '/' || upper(w[3]) || CASE WHEN doc_id % 5 = 0 THEN '_1' ELSE '' END]) AS name FROM d WHERE len(w) = 3 AND w[1] <> '' AND w[2] <> '' AND w[3] <> '')"""
+
+
 def _repair_sql(rounds: int) -> str:
-    step = [r"""d AS (SELECT lang, doc_id, list_transform(string_split(text, ' ')[1:3], lambda x: regexp_replace(x, '[^A-Za-z]+', '', 'g')) AS w FROM documents),
- w AS (SELECT DISTINCT unnest([lang || '/' || w[1], lang || '/' || w[1] || '/' || w[2], lang || '/' || w[2] || '$' || w[3], lang || '/' || upper(w[3]), lang || '/' || upper(w[3]) || CASE WHEN doc_id % 5 = 0 THEN '_1' ELSE '' END]) AS name FROM d WHERE len(w) = 3 AND w[1] <> '' AND w[2] <> '' AND w[3] <> ''),
- t0 AS (SELECT DISTINCT string_split(name, '$')[1] AS was, string_split(name, '$')[1] AS top, 0 AS round FROM w)"""]
+    step = [_NAMES, """t0 AS (SELECT DISTINCT string_split(name, '$')[1] AS was, string_split(name, '$')[1] AS top, 0 AS round FROM w)"""]
     for k in range(1, rounds + 1):
         step.append(f"""k{k} AS MATERIALIZED (SELECT *, lower(top) AS key, row_number() OVER (PARTITION BY lower(top) ORDER BY was) - 1 AS rank FROM t{k - 1}),
  f{k} AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS key FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT string_split(key, '/') AS p FROM k{k}))),
@@ -149,10 +151,24 @@ def _repair_sql(rounds: int) -> str:
 @query("collision_repair", _repair_sql(6))
 def collision_repair(spark: SparkSession, sf: str) -> DataFrame:
     """Names made from the first words of documents, renamed until no two differ by case alone and none is a folder of another."""
+    return fixpoints.repaired(_word_names(spark, sf), 20)
+
+
+def _word_names(spark: SparkSession, sf: str) -> DataFrame:
     words = F.transform(F.slice(F.split("text", " "), 1, 3), lambda x: F.regexp_replace(x, "[^A-Za-z]+", ""))
     docs = table(spark, sf, "documents").select("lang", "doc_id", words.alias("w")).where("size(w) = 3").select("lang", "doc_id", *(F.col("w")[k].alias(f"w{k}") for k in range(3))).where("w0 <> '' AND w1 <> '' AND w2 <> ''")
     made = F.array(F.concat_ws("/", "lang", "w0"), F.concat_ws("/", "lang", "w0", "w1"), F.concat(F.concat_ws("/", "lang", "w1"), F.lit("$"), "w2"), F.concat_ws("/", "lang", F.upper("w2")), F.concat(F.concat_ws("/", "lang", F.upper("w2")), F.when(F.col("doc_id") % 5 == 0, "_1").otherwise("")))
-    return fixpoints.repaired(docs.select(F.explode(made).alias("name")), 20)
+    return docs.select(F.explode(made).alias("name"))
+
+
+@query("collision_components", f"""WITH RECURSIVE {_NAMES}, k AS (SELECT name, lower(name) AS key, string_split(lower(name), '/') AS p FROM w),
+ u AS (SELECT a.name AS a, b.name AS b FROM (SELECT name, array_to_string(p[1:i], '/') AS key FROM (SELECT name, p, unnest(range(1, len(p))) AS i FROM k)) a JOIN k b USING (key)),
+ c AS (SELECT name AS a, min(name) OVER (PARTITION BY key) AS b FROM k), l AS (SELECT a, b FROM u UNION SELECT a, b FROM c WHERE a <> b), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+ r AS (SELECT DISTINCT a AS v, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v WHERE r.c < e.b), m AS (SELECT v, min(c) AS component FROM r GROUP BY 1)
+SELECT v AS name, component, count(*) OVER (PARTITION BY component) AS size, CASE WHEN v IN (SELECT a FROM u) AND v IN (SELECT b FROM u) THEN 'both' WHEN v IN (SELECT a FROM u) THEN 'inside' WHEN v IN (SELECT b FROM u) THEN 'folder' ELSE 'case' END AS relation FROM m""")
+def collision_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Which of those names hang together by collisions, and how each collides."""
+    return scopes.colliding(_word_names(spark, sf))
 
 
 _COLOURS, _THINGS = "red blue hot small cold large green black".split(), "ring widget bolt gear gizmo nut screw panel".split()

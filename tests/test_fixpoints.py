@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from kinspark.operators import assignment, fixpoints, scopes
+from kinspark.operators import assignment, checks, fixpoints, scopes
 
 
 def walk_of(pairs):
@@ -156,3 +156,26 @@ def test_visible_classes_by_channel_and_precedence(spark):
     assert got[1, "Str"] == ("exact", "p/Str", "same_package,base", 1, 1) and got[2, "Str"] == ("exact", "base/Str", "base", 1, 0)
     assert got[3, "Cup.Rim"] == ("exact", "q/Cup$Rim", "explicit_import", 1, 0) and got[3, "Cup"][:2] == ("exact", "q/Cup")
     assert got[1, "deep.pkg.Cls.In"] == ("exact", "deep/pkg/Cls$In", "qualified", 1, 0) and got[1, "Nope"] == ("missing", None, "", 0, 0)
+
+
+def test_collisions_hang_together(spark):
+    names = ["p/A", "p/a", "p/a/x", "P/A/x/y", "q", "q/r", "lone/one", "lone2", None, "p/A", "s/T", "s/t"]
+    got = {r.name: (r.component, r.size, r.relation) for r in scopes.colliding(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    first = min(n for n in names if n and n.lower().startswith("p"))
+    assert got == {"p/A": (first, 4, "folder"), "p/a": (first, 4, "folder"), "p/a/x": (first, 4, "both"), "P/A/x/y": (first, 4, "inside"), "q": ("q", 2, "folder"), "q/r": ("q", 2, "inside"), "s/T": ("s/T", 2, "case"), "s/t": ("s/T", 2, "case")}
+
+
+def test_a_frozen_table_is_written_once(spark, tmp_path):
+    path = f"file://{tmp_path}/frozen"
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "k int, v string")
+    assert sorted(map(str, checks.frozen(df, path).collect())) == sorted(map(str, df.collect()))
+    before = sorted(p.name for p in (tmp_path / "frozen/rows").iterdir())
+    assert checks.frozen(df.repartition(5), path).count() == 3  # the same rows in another order
+    for other in (df.distinct(), df.where("k = 2"), df.withColumn("v", F.coalesce("v", F.lit("null"))), df.withColumnRenamed("v", "w")):
+        with pytest.raises(ValueError, match="other rows"):
+            checks.frozen(other, path)
+    assert sorted(p.name for p in (tmp_path / "frozen/rows").iterdir()) == before
+    df.write.parquet(f"{path}-half/rows")
+    with pytest.raises(ValueError, match="never finished"):
+        checks.frozen(df, f"{path}-half")
+    assert checks.digest_of(df.where("false")).first()["n"] == 0
