@@ -40,7 +40,11 @@ def lane(frontier: DataFrame, old: DataFrame, new: DataFrame, owner: str, target
     """(owner, target, outcome) of every frontier row: no_usage, one_sided, changed (the multisets of observations
     differ), too_few (fewer than ``least``), not_single (not ``exactly`` so many kinds), not_unique (another
     target of the owner has the same multiset on a side; only if ``unique``), or accepted."""
-    both = compared(frontier, old, new, owner, target, parts)
+    return outcomes(compared(frontier, old, new, owner, target, parts), owner, target, least, exactly, unique)
+
+
+def outcomes(both: DataFrame, owner: str, target: str, least: int = 1, exactly: int | None = None, unique: bool = True) -> DataFrame:
+    """(owner, target, outcome) of the rows of ``compared``, as ``lane`` says."""
     outcome = (
         F.when(F.col("old_n").isNull() & F.col("new_n").isNull(), "no_usage")
         .when(F.col("old_n").isNull() | F.col("new_n").isNull(), "one_sided")

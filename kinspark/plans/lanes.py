@@ -84,7 +84,7 @@ def lane_raw_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tokens(k: int) -> str:
-    return f"SELECT user_id, target, CASE WHEN count(*) OVER (PARTITION BY op_mix) = 1 THEN op_mix ELSE 'shape' || n END AS token FROM (SELECT user_id, target, count(*) AS n, string_agg(op, '' ORDER BY op) || '/' || sum(size)::BIGINT AS op_mix FROM ({OBSERVED.format(k=k)}) GROUP BY ALL)"
+    return f"SELECT user_id, target, CASE WHEN count(*) OVER (PARTITION BY op_mix) = 1 THEN op_mix ELSE 'shape' || n END AS token FROM (SELECT user_id, target, sum(c)::BIGINT AS n, string_agg(op || '*' || c, ',' ORDER BY op) || '/' || sum(sizes)::BIGINT AS op_mix FROM (SELECT user_id, target, op, count(*) AS c, sum(size) AS sizes FROM ({OBSERVED.format(k=k)}) GROUP BY ALL) GROUP BY ALL)"
 
 
 @query("lane_shared_tokens", f"""
@@ -93,7 +93,8 @@ def lane_shared_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Targets named by a token of their operations and sizes where that names one target on each side; others have their shape's."""
 
     def side(k: int, name: str) -> DataFrame:
-        grouped = _side(spark, sf, k).groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_list("op")), "").alias("ops"), F.sum("size").alias("sizes"))
+        counted = _side(spark, sf, k).groupBy(*KEY, "op").agg(F.concat_ws("*", "op", F.count(F.lit(1)).cast("string")).alias("line"), F.sum("size").alias("sizes"))
+        grouped = counted.groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_list("line")), ",").alias("ops"), F.sum("sizes").alias("sizes"))
         mix = F.concat_ws("/", "ops", F.col("sizes").cast("string"))
         alone = F.count(F.lit(1)).over(Window.partitionBy("token")) == 1
         found = grouped.select(*KEY, mix.alias("token")).withColumn("alone", alone).where("alone")
@@ -137,12 +138,15 @@ def _chain_sql() -> str:
 @query("evidence_ledger", _chain_sql())
 def evidence_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Four lanes, each on what the one before rejected for one reason; every frontier row has one outcome."""
+    frontier = settled(_frontier(spark, sf), "frontier")
     old, new = (settled(_side(spark, sf, k).select(*KEY, "method", "op"), "observations") for k in (0, 1))
+    # Lanes that look at the same parts share their signatures.
+    both = {parts: settled(evidence.compared(frontier, old, new, *KEY, parts.split(", ")), "signatures") for parts in dict.fromkeys(c[2] for c in _CHAIN)}
 
     def judge(parts: str, how: dict):
-        return lambda rows: settled(evidence.lane(rows, old, new, *KEY, parts.split(", "), **how), "outcomes")
+        return lambda rows: evidence.outcomes(both[parts].join(rows, KEY, "left_semi"), *KEY, **how)
 
-    return evidence.chain(_frontier(spark, sf), KEY, [(name, reason, judge(parts, how)) for name, reason, parts, how in _CHAIN])
+    return evidence.chain(frontier, KEY, [(name, reason, judge(parts, how)) for name, reason, parts, how in _CHAIN])
 
 
 @query("topology_match", """
