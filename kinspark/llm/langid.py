@@ -33,7 +33,8 @@ from .scratch import ship
 
 SEGMENT = 1024
 DENSE = 62
-SAMPLE_CHARS = 40_000
+#: Characters that are learned from: of a language, and of all together, which bounds the tables however many languages there are.
+SAMPLE_CHARS, TOTAL_CHARS = 40_000, 400_000
 CHUNK = 2_000_000
 
 
@@ -178,10 +179,11 @@ class Model:
         return total * self.bits[:, None] / np.maximum(lengths, 1), letters
 
 
-def samples(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """About ``chars`` characters of each language: whole documents in the order of a hash of doc_id."""
+def samples(labelled: DataFrame, chars: int = SAMPLE_CHARS, most: int = TOTAL_CHARS) -> dict[str, str]:
+    """About ``chars`` characters of each language, fewer where all would be more than ``most``: whole documents in the order of a hash of doc_id."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
     totals = rows.groupBy("lang").agg(F.count("text").alias("n"), F.sum(F.char_length("text")).alias("chars")).collect()  # a row a language
+    chars = max(1, min(chars, most // max(1, len(totals))))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
     share = F.lit(None).cast("double")
     for r in totals:
@@ -197,7 +199,7 @@ def samples(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> dict[str, str]:
 
 def identify(docs: DataFrame, learned: dict[str, str]) -> DataFrame:
     """doc_id, lang_pred and score of every document. The tables are made once and broadcast: at most
-    two states for each of SAMPLE_CHARS characters a language, of DENSE + 2 numbers, whatever the input."""
+    two states for each of TOTAL_CHARS characters, of DENSE + 2 numbers of four bytes (200 MB), whatever the input and its languages."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(Model(learned))

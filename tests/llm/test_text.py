@@ -514,3 +514,18 @@ def plain_text(page):
 def test_html_equals_a_plain_version_on_given_pages():
     for page in given_pages():
         assert html_text.main_text(page) == plain_text(page)
+
+
+def test_many_languages_share_a_bounded_sample(spark):
+    """Sixty made-up languages of their own syllables: the tables stay bounded, and most texts are told apart."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    of = {f"l{k:02d}": ["".join(rng.choice(letters) for _ in range(rng.randint(2, 4))) for _ in range(40)] for k in range(60)}
+    rows = [(60 * i + k, " ".join(rng.choice(w) for _ in range(80)), lang) for k, (lang, w) in enumerate(of.items()) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, unseen = (docs.where(f"floor(doc_id / 60) % 2 = {k}") for k in (0, 1))
+    learned = langid.samples(seen, 2000, 30_000)
+    assert len(learned) == 60 and all(len(x) <= 500 for x in learned.values())
+    found = langid.identify(unseen, learned).collect()
+    right = {d: lang for d, _, lang in rows}
+    assert len(found) == 240 and sum(r.lang_pred == right[r.doc_id] for r in found) > 0.9 * len(found)
