@@ -37,11 +37,11 @@ def test_stages_do_what_their_operators_say(spark):
     assert corpus_pipeline.run(spark, DATA).count() == packed.count()
 
 
-def test_eleven_queries_are_registered():
+def test_all_queries_are_registered():
     import __spark_entry__ as e
 
     found = [n for n in e.queries() if n.startswith("op") or n == "pipeline"]
-    assert len(found) == 11 and {n.split("_")[0] for n in entry.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert len(found) == 14 and {n.split("_")[0] for n in entry.queries()} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_stages_on_odd_and_empty_tables(spark, odd, odd_rows, nothing, tmp_path):
