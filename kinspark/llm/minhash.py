@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from .components import components, rooted
 from .packing import texts_of
 from .ragged import chunks, combined, mix, slice_hashes
-from .scratch import partitions, passing, settled, ship
+from .scratch import partitions, passing, settled, ship, tidy
 
 WORDS, PERCENT = 5, 85
 PERMUTATIONS, PER_BAND = 32, 2
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             )
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class binary, sketch binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, class binary, sketch binary, bands array<long>")
 
 
 class Forest:
@@ -244,7 +244,7 @@ def prefixes(texts: DataFrame, members: DataFrame) -> DataFrame:
                 columns = [np.repeat(part.column(c).to_numpy(), size) for c in ("rep", "comp")]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.repeat(size, size)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["rep", "comp", "size", "shingle"])
 
-    rows = settled(members.join(texts, "rep").select("rep", "comp", "text").mapInArrow(run, "rep long, comp long, size long, shingle long"), "shingles")
+    rows = settled(members.join(texts, "rep").select("rep", "comp", "text").mapInArrow(tidy(run), "rep long, comp long, size long, shingle long"), "shingles")
     several = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle")) - 1
     placed = rows.join(several, "shingle", "left").fillna(1, ["df"]).withColumn("place", place).where("df > 1")
@@ -302,7 +302,7 @@ def starred(texts: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFram
             heads = {int(group[i]): i for i in range(len(rep)) if rep[i] == pivot[i]}
             yield edge_batch([(pivot[i], rep[i]) for i in range(len(rep)) if rep[i] != pivot[i] and similar(sets[i], sets[heads[int(group[i])]])])
 
-    return work.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return work.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), "a long, b long")
 
 
 def candidates(classes: DataFrame, shared: DataFrame) -> DataFrame:
@@ -324,7 +324,7 @@ def candidates(classes: DataFrame, shared: DataFrame) -> DataFrame:
             seen = [x for a, b in zip(rep[left].tolist(), rep[right].tolist(), strict=True) if forest.join(a, b) for x in (a, b)]
             yield edge_batch([(x, forest.root(x)) for x in seen])
 
-    return work.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").unionByName(wide)
+    return work.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), "a long, b long").unionByName(wide)
 
 
 def confirmed(texts: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -360,7 +360,7 @@ def compared(texts: DataFrame, classes: DataFrame, work: DataFrame, key: str) ->
                     links.append((int(rep[i]), int(rep[j])))
             yield edge_batch(links)
 
-    return work.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return work.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), "a long, b long")
 
 
 def with_components(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pretokens import library_encoder
-from .scratch import partitions, settled, ship
+from .scratch import partitions, settled, ship, tidy
 
 SIZE = 1024
 END_ID = 2
@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
             )
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), PIECES)
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -205,4 +205,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID
             sequence = bases[at] + rank - (keys[at] - (length << _SHIFT))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offsets[at])], [*names, "sequence_id", "offset"])
 
-    return ranked(cut_up, max(32, partitions(spark))).select(*names, "rank").mapInArrow(place, PACKED)
+    return ranked(cut_up, max(32, partitions(spark))).select(*names, "rank").mapInArrow(tidy(place), PACKED)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .langid import held_out
 from .packing import texts_of
-from .scratch import settled, ship
+from .scratch import settled, ship, tidy
 
 SHRINK, FLOOR, SMOOTH = 0.3, 0.05, 0.02
 THRESHOLD = 0.7
@@ -70,7 +70,7 @@ def vectors(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(edges, flat)], ["doc_id", "x"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, x array<double>")
 
 
 def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -87,7 +87,7 @@ def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarra
         where = np.arange(total.size)
         yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(total.reshape(-1))], ["at", "v"])
 
-    found = labelled.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    found = labelled.mapInArrow(tidy(run), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
     total = np.zeros(2 * (1 + D + D * D))
     for r in found:
         total[r["at"]] = r["v"]
@@ -133,7 +133,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
             values = model.score(np.asarray(batch.column("x").flatten()).reshape(-1, D))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "score"])
 
-    out = x.mapInArrow(run, "doc_id long, score double").withColumn("held_out", held_out(4, 2))
+    out = x.mapInArrow(tidy(run), "doc_id long, score double").withColumn("held_out", held_out(4, 2))
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
@@ -149,4 +149,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, l
             x = np.array([statistics(t) for t in texts_of(batch)], np.float64).reshape(-1, D)
             yield batch.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ragged import Rolling, mix, take_runs, words_at
-from .scratch import partitions, ship
+from .scratch import partitions, ship, tidy
 
 SPAN, GRAM = 50, 20
 DIGITS = ((0, 16), (16, 33), (33, 50))
@@ -233,7 +233,7 @@ def addressed(docs: DataFrame, parts: int, carry: bool = False) -> DataFrame:
                     rows.append((part, TEXTS, squeezed(ids[order[a:b]], size, np.frombuffer(b"".join(own), np.uint8), packed)))
                 yield rows_of(rows)
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(tidy(run), ROWS)
 
 
 def written(table: pa.Table) -> pa.Buffer:
@@ -260,7 +260,7 @@ def first_of_each(docs: DataFrame, parts: int) -> DataFrame:
             order, groups = slices_by(part_of(ids, parts))
             yield rows_of([(part, FIRSTS, squeezed(ids[order[a:b]], sums[order[a:b]])) for part, a, b in groups])
 
-    return firsts.mapInArrow(run, ROWS)
+    return firsts.mapInArrow(tidy(run), ROWS)
 
 
 def notes(kind: int, doc_ids: np.ndarray, values: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
@@ -338,7 +338,7 @@ def send_grams(docs: DataFrame, parts: int) -> DataFrame:
                     rows.append((part, WORK, squeezed(ids[own], sums[own], count.astype("<u4"), single[a:b], common[c:d])))
                 yield rows_of(rows)
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(tidy(run), ROWS)
 
 
 def find_grams(sent: DataFrame, parts: int) -> DataFrame:
@@ -368,7 +368,7 @@ def find_grams(sent: DataFrame, parts: int) -> DataFrame:
             if out:
                 yield rows_of(out)
 
-    return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(run, ROWS)
+    return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(run), ROWS)
 
 
 def by_documents(rows):
@@ -454,7 +454,7 @@ def send_strings(rows: DataFrame, parts: int) -> DataFrame:
             if out:
                 yield rows_of(out)
 
-    return rows.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, ROWS)
+    return rows.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(tidy(run), ROWS)
 
 
 def told(start: np.ndarray, text: np.ndarray, texts: Texts, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -492,7 +492,7 @@ def find_strings(sent: DataFrame, parts: int) -> DataFrame:
             if out:
                 yield rows_of(out)
 
-    return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(run, ROWS)
+    return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(run), ROWS)
 
 
 def covered(runs: list[np.ndarray], size: int) -> tuple[np.ndarray, int]:
@@ -550,7 +550,7 @@ def removed(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64()] * 4 + [pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in OUT.split(", ")])
 
-    found = rows.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, OUT)
+    found = rows.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(tidy(run), OUT)
     text = F.coalesce("text", F.lit("")).cast("binary")
     whole = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
     return found.unionByName(whole)
@@ -570,5 +570,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 table = pa.table([text if c == "text" else others.column(c) for c in names], names)
                 yield from table.combine_chunks().to_batches()
 
-    found = rows.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, docs.schema)
+    found = rows.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(tidy(run), docs.schema)
     return found.unionByName(docs.where("doc_id IS NULL"))
