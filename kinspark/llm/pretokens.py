@@ -18,7 +18,7 @@ import regex
 from .ragged import chunks, slice_hashes, take_runs
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
-CHUNK = 2_000_000
+CHUNK = 500_000
 MEMO = 1_500_000
 _CLASSES: list[np.ndarray] = []
 
