@@ -7,7 +7,8 @@ stage is written. All but the last return the columns of ``documents``.
 Defined results: null, empty and blank texts fail the rules and go in the first stage; rows
 without doc_id are kept by every later stage and packed with a null doc_id; of rows that repeat
 a doc_id, near_dedup keeps one; an empty table passes through every stage and gives no rows;
-columns beside those of ``documents`` are carried to the last stage, whatever their names.
+columns beside those of ``documents`` are carried to the last stage, whatever their names; bytes of
+a text that are not UTF-8 become U+FFFD in the first stage, since later ones read texts in Python.
 """
 
 from __future__ import annotations
@@ -20,9 +21,14 @@ from kinspark.llm.scratch import passing, settled
 from kinspark.sources.shared import release
 
 
+def decodable(docs: DataFrame) -> DataFrame:
+    """docs with U+FFFD for what is not UTF-8 in a text; other texts stay as they are."""
+    return docs.withColumn("text", F.make_valid_utf8("text"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects; null, empty and blank texts have too few words."""
-    return rules.accepted(docs)
+    return decodable(rules.accepted(docs))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +36,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     rules, which leave few documents of low quality to learn from; without labels of both kinds
     every score is the share of label 1."""
     labels, raw = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "documents"))
-    return quality.accepted(docs, labels, learn_from=raw)
+    return quality.accepted(docs, labels, learn_from=decodable(raw))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

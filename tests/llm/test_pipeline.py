@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from kinspark.llm import entry, minhash, quality, repeats, rules
 from kinspark.llm.scratch import settled
@@ -71,3 +73,22 @@ def test_a_run_leaves_one_stage_s_table(spark):
     corpus_pipeline.run(spark, DATA)
     left = {x.rsplit("-", 1)[0] for x in set(folder.list()) - before}
     assert left == {"suffix_dedup", "pieces"}
+
+
+def test_texts_that_are_not_utf_8_pass_all_stages(spark, tmp_path):
+    """Texts that end inside a character, or hold a byte that no character has."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    raw = "CASE WHEN doc_id % 20 = 1 THEN concat(binary(text), X'20C3') WHEN doc_id % 20 = 2 THEN concat(X'61FF6220', binary(text)) ELSE binary(text) END"
+    where = str(tmp_path)
+    docs.selectExpr("doc_id", f"string({raw}) AS text", "lang", "source", "n_chars").write.parquet(f"{where}/documents.parquet")
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{where}/labels.parquet")
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    assert docs.where("NOT is_valid_utf8(text)").count() > 10
+    kept = settled(corpus_pipeline.quality_rules(spark, docs, where), "quality_rules")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in rules.measure(docs).where("kept").collect())
+    both = kept.join(docs.select("doc_id", F.col("text").alias("given")), "doc_id")
+    assert both.where("is_valid_utf8(given) AND text <> given").count() == 0
+    assert {r.text[-2:] for r in both.where("doc_id % 20 = 1").collect()} == {" \ufffd"}
+    assert {r.text[:4] for r in both.where("doc_id % 20 = 2").collect()} == {"a\ufffdb "}
+    assert settled(corpus_pipeline.quality_classifier(spark, kept, where), "quality_classifier").exceptAll(kept).count() == 0
+    assert corpus_pipeline.run(spark, where).count() > 0
