@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import assignment, fixpoints, scopes
-from .matching import PAIRS, scored_pairs
+from ..operators import assignment, fixpoints, near, scopes
+from .matching import PAIRS, balances
 from .tables import Catalogue, table
 
 query = Catalogue()
@@ -23,7 +23,7 @@ WITH RECURSIVE {PAIRS}, o AS (SELECT *, row_number() OVER (ORDER BY score DESC,
 SELECT c_custkey, s_suppkey, score FROM t JOIN p USING (c_custkey, s_suppkey)""")
 def greedy_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """Customers and suppliers of near balances, one to one, as a walk over falling scores assigns them."""
-    return assignment.greedy(scored_pairs(spark, sf), "c_custkey", "s_suppkey").drop("round")
+    return near.assigned(*balances(spark, sf)).drop("round")
 
 
 _BROAD = 8

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import diffing, matching
+from ..operators import diffing, matching, near
 from .tables import halves, table, year
 
 QUERIES, SQL = {}, {}
@@ -100,11 +100,16 @@ PAIRS = f"""p AS (SELECT c_custkey, s_suppkey, round(1 - abs(c_acctbal - s_acctb
   FROM customer JOIN supplier ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) <= {BAND})"""
 
 
-def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def balances(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, str, str, str, str, str, float]:
+    """Customers and suppliers of a nation by balance, as the operators on near rows take them."""
     left = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
     right = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
-    near = matching.within_band(left, right, "nation", "c_acctbal", "s_acctbal", BAND)
-    return near.select("c_custkey", "s_suppkey", F.round(1 - F.abs(F.col("c_acctbal") - F.col("s_acctbal")) / BAND, 6).alias("score"))
+    return left, right, "nation", "c_custkey", "s_suppkey", "c_acctbal", "s_acctbal", BAND
+
+
+def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    left, right, nation, _, _, *band = balances(spark, sf)
+    return near.scored(left, right, nation, *band)
 
 
 @query("scored_pairs_topk", f"""WITH {PAIRS}

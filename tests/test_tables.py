@@ -5,7 +5,9 @@ from __future__ import annotations
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
+from kinspark.operators import matching
 from kinspark.plans import catalogue
 
 
@@ -14,7 +16,7 @@ def beside(spark, folder, name, **tables):
     duck = duckdb.connect()
     duck.execute("SET TimeZone = 'UTC'")
     for t, columns in tables.items():
-        pq.write_table(pa.table(columns), f"{folder}/{t}.parquet")
+        pq.write_table(pa.table({c: list(v) for c, v in columns.items()}), f"{folder}/{t}.parquet")
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     df = catalogue.queries()[name](spark, str(folder))
     wanted = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
@@ -26,3 +28,20 @@ def test_weighted_signal_mean_of_customers_without_orders(spark, tmp_path):
     got, wanted = beside(spark, tmp_path, "weighted_signal_mean", customer=customer, orders={"o_custkey": [1, 1, 2]})
     assert got == wanted
     assert dict(got)[3] == 0.7 and dict(got)[4] == 1.0
+
+
+@pytest.mark.parametrize("name", ["greedy_assignment", "mutual_best_outcomes", "mutual_best_margin"])
+def test_near_balances_do_not_make_all_pairs(spark, tmp_path, monkeypatch, name):
+    n, made, band = 120, [], matching.within_band
+
+    def counted(*given):
+        found = band(*given)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(matching, "within_band", counted)
+    customer = {"c_custkey": range(n), "c_nationkey": [3] * n, "c_acctbal": [i * 37 % n // 2 * 3.5 for i in range(n)]}
+    supplier = {"s_suppkey": range(n), "s_nationkey": [3] * n, "s_acctbal": [i * 29 % n * 4.5 for i in range(n)]}
+    got, wanted = beside(spark, tmp_path, name, customer=customer, supplier=supplier)
+    assert got == wanted and got
+    assert sum(made) <= 16 * 2 * n
