@@ -1,6 +1,7 @@
 """Assignment, containment and rules that look at their own results, over the driver's tables.
 
-The SQL of a fixpoint spells out more rounds than it takes; those after the last one change nothing."""
+The SQL of a fixpoint spells out more rounds than it takes on the given tables; those after the last one change nothing. On larger
+tables names may flow for more rounds than that; the queries go on until nothing changes."""
 
 from __future__ import annotations
 
